@@ -13,7 +13,7 @@ Result of `passages`: a row per passage and document pair: doc_id, source_id (th
 source_length, matched. A document's passages may overlap.
 
 Null, empty and short texts have no seeds and no rows. Repeats within one document are not reported (op1 does
-that). Rows with the same doc_id are taken for one document. Empty table: no rows. Other columns are ignored.
+that). Rows with the same doc_id are taken for one document. Rows without a doc_id take no part. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -247,7 +247,7 @@ PASSAGES = "doc_id long, source_id long, start long, length long, source_start l
 
 
 def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    docs = docs.select("doc_id", "text").where("text is not null")
+    docs = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
     found = seeds(docs).repartition("f").sortWithinPartitions("f", "doc_id", "pos").mapInArrow(_link, "doc_id long, source_id long, x int, y int")
     pairs = found.repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "x", "y")
     chains = stash(pairs.mapInArrow(_chains, "doc_id long, source_id long, x0 long, x1 long, y0 long, y1 long, matched long").where(F.col("x1") - F.col("x0") >= LEAST_SEED).withColumn("id", F.xxhash64("doc_id", "source_id", "x0", "y0")))

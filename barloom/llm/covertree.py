@@ -12,7 +12,7 @@ A task returns, by point, how many rows it links to (counts, not pairs), and onl
 Components come from those edges by distributed star rounds.
 
 Vectors that are null, empty, zero or hold null or non-finite parts link with nothing: n_links 0, their own component.
-Vectors of another length than the most common one are compared among themselves. Repeated vec_ids count as
+Vectors of another length than the most common one are compared among themselves. Rows without a vec_id take no part and have no row. Repeated vec_ids count as
 separate rows and get a row each. Empty table: no rows. Other columns are ignored.
 """
 
@@ -56,7 +56,7 @@ def unit_rows(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
             u = unit(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else x.tobytes() for x in u], pa.binary())], names=["vec_id", "u"])
 
-    return df.select(vec_id, embedding).mapInArrow(scale, "vec_id long, u binary")
+    return df.where(F.col(vec_id).isNotNull()).select(vec_id, embedding).mapInArrow(scale, "vec_id long, u binary")
 
 
 def nets(x: np.ndarray, most: int) -> list[np.ndarray]:

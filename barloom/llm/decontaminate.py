@@ -11,7 +11,7 @@ beyond that the same joins are shuffled. Documents are matched by fingerprints o
 alphabets, so a superset), the exact comparison lowers A-Z alone.
 
 Null and empty texts: no words. Items without words have no windows. Equal items each count. Rows with the same
-doc_id are one document for hits. Empty benchmark: nothing is hit. Other columns are ignored.
+doc_id are one document for hits. Rows without a doc_id are hit by nothing. Empty benchmark: nothing is hit. Other columns are ignored.
 """
 
 from __future__ import annotations

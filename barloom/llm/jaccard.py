@@ -16,7 +16,8 @@ So no link between components is lost, and the components are exact. Set ids and
 fingerprints; candidates are verified on the whole sets.
 
 Null, empty and wordless texts: n_shingles 0, linked with nothing. Fewer words than WIDTH: one shingle of all.
-Equal texts and repeated rows link. Empty table: no rows. Other columns are ignored.
+Equal texts and repeated rows link. Rows without a
+doc_id take no part and have no row. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def _need(n, m, share):
 def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
 
     def repeated(batches):
         seen, counts, n = [], [], 0

@@ -15,7 +15,7 @@ collected or broadcast: only totals and counts of counts reach the driver. Then
 the bigram if it is known, else backoff weight times unigram.
 
 Null and empty texts: the end token alone. Repeated rows are counted and scored each. No training rows: every token is
-unknown with probability 1 (score 0). Other columns are ignored.
+unknown with probability 1 (score 0). Rows without a doc_id take no part and have no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         if held:
             yield made()
 
-    return docs.select("doc_id", "text", (~is_held_out()).alias("train")).mapInArrow(run, "block long, words binary, tokens binary, sizes binary, ids binary, train binary")
+    return docs.where("doc_id is not null").select("doc_id", "text", (~is_held_out()).alias("train")).mapInArrow(run, "block long, words binary, tokens binary, sizes binary, ids binary, train binary")
 
 
 class Block:
@@ -262,7 +262,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     uni = count_keys(blocks.mapInArrow(words, MESSAGE))
     bi = count_keys(blocks.mapInArrow(bigrams, MESSAGE))
-    uni_totals, starts = totals_of(uni), docs.where(~is_held_out()).count()
+    uni_totals, starts = totals_of(uni), docs.where(F.col("doc_id").isNotNull() & ~is_held_out()).count()
     p1, d2 = Unigram(uni_totals), discounts(totals_of(bi), CUTOFF)
 
     def sums(batches):

@@ -8,7 +8,7 @@ two or three leading ones, or all) is the one with the best likelihood less PENA
 language more. lang_pred is the largest share in that set, score its share.
 
 Null, empty and letterless texts: und, score 0. No training rows: und for all. Ties go to the language first
-by name. Very long texts are read whole. Other columns are ignored.
+by name. Without a doc_id: held_out is null, and the row teaches nothing. Very long texts are read whole. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ identifiers. A document's identifiers in order are then matched against ordered
 identifiers follow each other with no other known sentence between.
 
 A known sentence may be followed by more words only where it ends in a star. Null and empty texts have no sentences
-and no rows; repeated rows give repeated results only for equal doc_ids counted once. Result: a row per
+and no rows, and so have rows without a doc_id; repeated rows give repeated results only for equal doc_ids counted once. Result: a row per
 document and rule found: doc_id, license_id, n_matches, first_sentence, last_sentence.
 """
 
@@ -79,7 +79,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     in_sentence = F.lit(False)
     for h in _HINTS:
         in_sentence = in_sentence | F.col("s").contains(h)
-    sentences = docs.select("doc_id", low.alias("low")).where(hint).select("doc_id", F.posexplode(F.split("low", SPLIT)).alias("n", "s")).where(in_sentence)
+    sentences = docs.where("doc_id is not null").select("doc_id", low.alias("low")).where(hint).select("doc_id", F.posexplode(F.split("low", SPLIT)).alias("n", "s")).where(in_sentence)
     named = sentences.select("doc_id", "n", known(F.trim(F.regexp_replace("s", "[^a-z0-9]+", " "))).alias("k")).where("k is not null").distinct()
     # a document's identifiers, in order, as one text: "|a|b|c|"
     seq = named.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "k"))).alias("a"))
@@ -102,7 +102,7 @@ def _sql() -> str:
     case = " ".join(f"WHEN {f"starts_with(s, '{s[:-1].rstrip()}')" if s.endswith('*') else f"s = '{s}'"} THEN '{k}'" for k, s in SENTENCES.items())
     rules = " UNION ALL ".join(f"SELECT {i} AS rule, '{r}' AS license_id, {ids!r} AS ids" for i, (r, ids) in enumerate(RULES))
     return f"""
-    WITH parts AS (SELECT doc_id, regexp_split_to_array(translate(text, '{_UPPER}', '{_LOWER}'), '{SPLIT}') AS p FROM documents WHERE text IS NOT NULL),
+    WITH parts AS (SELECT doc_id, regexp_split_to_array(translate(text, '{_UPPER}', '{_LOWER}'), '{SPLIT}') AS p FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
     one AS (SELECT doc_id, unnest(range(len(p))) AS n, unnest(p) AS s FROM parts),
     norm AS (SELECT doc_id, n, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS s FROM one),
     named AS (SELECT DISTINCT doc_id, n, CASE {case} END AS k FROM norm),

@@ -16,7 +16,8 @@ anchor are neighbours and make a segment (at most 2 * WIDTH - KEY bytes).
 
 Repeated windows come back by document, their union is removed. Null text: empty. Repeated rows and equal texts
 remove each other wherever they have WIDTH bytes. Rows with the same doc_id get their own results only if equal.
-Empty table: no rows. Other columns are ignored.
+Rows without a doc_id take
+no part and have no row. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -268,7 +269,7 @@ def _runs(batches):
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, key: int = KEY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the remaining bytes (kept)."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     runs = repeated_windows(docs, width, key)
     by_doc = stash(runs.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")))
 
