@@ -14,65 +14,92 @@ doc_id then repeats). Empty table: no rows. Other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
-from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import textkit as tk
 from .common import table
 
 TOP, TIERS, END_ID = 2048, (256, 512, 1024, 2048), 1
+END = np.uint32(END_ID).tobytes()
 #: Leftover tokens a task holds before it packs them, windows in a step group, words a task's cache holds.
-BUFFER_TOKENS, STEP_WINDOWS, CACHE_WORDS = 1 << 20, 8, 1 << 20
+BUFFER_TOKENS, STEP_WINDOWS, CACHE_WORDS = 1 << 20, 8, 3 << 19
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
 class WordTokenizer:
-    """Ids of whole texts through a cache of the ids of their words.
+    """Ids (unsigned 32-bit, as bytes) of whole texts through a cache of the ids of their words.
 
-    Right for tokenizers that drop white space and never look across it: the ids of a text are then
-    those of its words in turn. A word that ends in one mark of punctuation after plain letters is the
-    letters and the mark, and a plain word's case doesn't count (`lower`).
+    Right for tokenizers that drop white space and never look across it, ignore case, and split letters from other
+    signs (`word_bpe_49k.json`): the ids of a text are then those of its words in turn, and a mark of punctuation after a letter at the
+    end of a word is a word. Words of letters are looked up together, a line of them at a time; the model's
+    ends of words part the ids again.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model, self.cache = Tokenizer.from_file(path), {}
+        self.model = Tokenizer.from_file(path)
+        vocab = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.cache = {"": b""}
 
-    def _fill(self, missing: set[str]) -> None:
+    def _fill(self, missing: list[str]) -> None:
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache, plain, parts = self.cache, set(), []
-        for w in missing:
-            core, mark = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,;:!?" else (w, "")
-            if core.isascii() and core.isalpha():
-                core = core.lower()
-                parts.append((w, core, mark))
-                plain.update(x for x in (core, mark) if x and x not in cache)
-            elif w not in cache:
-                plain.add(w)
-        plain = list(plain)
-        for w, e in zip(plain, self.model.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            cache[w] = tuple(e.ids)
-        for w, core, mark in parts:
-            cache[w] = cache[core] + cache[mark] if mark else cache[core]
-
-    def ids(self, text: str) -> array:
-        words = text.split(" ") if "\n" not in text and "\t" not in text else text.replace("\n", " ").replace("\t", " ").split(" ")
-        if missing := set(words).difference(self.cache):
-            self._fill(missing)
-            if len(self.cache) < len(missing):
-                self._fill(set(words))
-        try:
-            return array("I", chain.from_iterable(map(self.cache.__getitem__, words)))
-        except KeyError:  # the cache was emptied meanwhile
-            self._fill(set(words))
-            return array("I", chain.from_iterable(map(self.cache.__getitem__, words)))
+            self.cache = {"": b""}
+        plain = [w for w in missing if w.isalpha()]
+        lines = [plain[i : i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
+        for words, e in zip(lines, self.model.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cut) == len(words):
+                data, at = ids.tobytes(), 0
+                for w, k in zip(words, cut.tolist(), strict=True):
+                    self.cache[w] = data[at:k]
+                    at = k
+        rest = [w for w in missing if w not in self.cache]
+        for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.cache[w] = np.array(e.ids, np.uint32).tobytes()
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        data, offs = tk.bounds(texts)
+        lo = int(offs[0])
+        buf, ends = data[lo : offs[-1]], offs[1:] - lo
+        if b"<|" not in buf.tobytes():  # special tokens keep their case
+            buf = tk.LOWER[buf]
+        buf = _SPACE[buf]
+        # a space before marks that end a word after a letter
+        kind = _KINDS[buf]
+        follows = np.append(kind[1:], np.uint8(0))
+        follows[ends[(ends > 0) & (ends <= len(buf))] - 1] = 0
+        mark = np.flatnonzero((kind == 2) & (np.append(np.uint8(0), kind[:-1]) == 1) & (follows == 0))
+        starts = offs[:-1] - lo
+        mark = mark[~np.isin(mark, starts)]
+        buf = np.insert(buf, mark, 32)
+        starts, ends = starts + np.searchsorted(mark, starts), ends + np.searchsorted(mark, ends)
+        raw = buf.tobytes()
+        words = [raw[a:b].decode().split(" ") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        missing = set().union(*words).difference(self.cache)
+        if missing:
+            self._fill(list(missing))
+            if len(self.cache) <= len(missing) + 1:  # it was emptied before
+                self._fill([w for w in set().union(*words) if w not in self.cache])
+        get = self.cache.__getitem__
+        return [b"".join(map(get, w)) for w in words]
+
+
+_SPACE = np.arange(256, dtype=np.uint8)
+_SPACE[9:14] = 32
+_KINDS = np.full(256, 3, np.uint8)  # 0 space, 1 plain letter, 2 mark, 3 other
+_KINDS[32], _KINDS[97:123] = 0, 1
+_KINDS[[ord(x) for x in ".,;:!?"]] = 2
+LINE_WORDS = 200
 
 
 class Packer:
@@ -180,6 +207,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, text: str = "t
     def packed(batches):
         from pyspark import TaskContext
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         path = tokenizer
         if path is None:
             import public_tokenizers
@@ -188,10 +216,9 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, text: str = "t
         tok = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, WordTokenizer(path))
         p = Packer(TaskContext.get().partitionId() << 32)
         for b in batches:
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = tok.ids(t or "")
-                ids.append(END_ID)
-                p.add(doc, np.frombuffer(ids, np.uint32))
+            if b.num_rows:
+                for doc, ids in zip(b.column(0).to_pylist(), tok.batch(b.column(1)), strict=True):
+                    p.add(doc, np.frombuffer(ids + END, np.uint32))
             if len(p.out) > 4096:
                 yield p.rows()
         p.flush(True)
