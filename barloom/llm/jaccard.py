@@ -6,7 +6,8 @@ puts shingles that many documents share (the FREQUENT most frequent of those tha
 task) last, and is by fingerprint otherwise. Index lists are the sets under such a prefix shingle, in
 blocks by size and with the shingle's position:
 
-- Blocks whose sizes or positions cannot reach the overlap are skipped as a whole.
+- Blocks whose sizes or positions cannot reach the overlap are skipped as a whole, and so are pairs that share too
+  few prefix shingles to reach it with all shingles beyond.
 - A list of more than PAIRWISE sets is first compared with one hub only, the set with the fewest rare shingles.
   Sets linked to one hub are one component, so most long lists are answered by the hub's answers.
 - Lists that then still hold several components are compared across components only, and from the hub's
@@ -104,7 +105,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
         for c in tk.chunks(batches):
             sh, bound = sets_of(c, roll, width)
             n = np.diff(bound)
-            ids, sid = c.ids(), set_ids(sh, bound)
+            sid = set_ids(sh, bound)
             doc = np.repeat(np.arange(len(c)), n)
             common = np.zeros(len(sh), bool)
             if len(last) and len(sh):
@@ -120,13 +121,20 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
             ok[one] = True
             k = ok[d]
             d = d[k]
-            yield _batch(doc_id=np.concatenate([ids, np.zeros(len(d), np.int64)]), f=np.concatenate([np.zeros(len(c), np.int64), tok[k].view(np.int64)]), sid=np.concatenate([sid, sid[d]]), n=np.concatenate([n, n[d]]).astype(np.int32), pos=np.concatenate([np.full(len(c), -1), p[k]]).astype(np.int32), rare=np.concatenate([rare, rare[d]]).astype(np.int32))
+            yield _batch(f=tok[k].view(np.int64), sid=sid[d], n=n[d].astype(np.int32), pos=p[k].astype(np.int32), rare=rare[d].astype(np.int32))
 
-    both = docs.mapInArrow(index, "doc_id long, f long, sid long, n int, pos int, rare int")
-    # one scan feeds the sets (pos = -1) and the index lists
     sets = stash(docs.mapInArrow(_ids_only(width), "doc_id long, sid long, n long"))
-    lists = both.where("pos >= 0").select("f", "sid", "n", "pos", "rare").repartition("f").sortWithinPartitions("f", "n", "sid")
-    found = stash(lists.mapInArrow(_lists(share), "kind int, f long, a long, b long, n int, pos int, d double").dropDuplicates(["kind", "f", "a", "b"]))
+    lists = docs.mapInArrow(index, "f long, sid long, n int, pos int, rare int").repartition("f").sortWithinPartitions("f", "n", "sid")
+    found = lists.mapInArrow(_lists(share), "kind int, f long, a long, b long, n int, m int, c int")
+    found = stash(found.groupBy("kind", "f", "a", "b", "n", "m").agg(F.sum("c").alias("c")))
+    long = found.where("kind = 1")
+    # prefix shingles that two sets share: counted in short lists, at most those of either in long ones; the overlap is
+    # no more than these and what either set has beyond its prefix
+    in_long = stash(long.groupBy("a").agg(F.count(F.lit(1)).alias("k")))
+    low = F.coalesce(F.least("ka", "kb"), F.lit(0)) + F.col("c")
+    beyond = F.greatest(F.ceil(F.greatest("n", "m") * share / 100), F.lit(1)) - 1
+    counted = found.where("kind = 0").join(in_long.select("a", F.col("k").alias("ka")), "a", "left").join(in_long.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b", "left")
+    likely = counted.where(F.when(F.col("ka").isNull() | F.col("kb").isNull(), F.col("c")).otherwise(low) + beyond >= F.ceil(share * (F.col("n") + F.col("m")) / (100 + share)))
     first_id = stash(sets.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("id")))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -134,22 +142,21 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
         pairs = stash(pairs.select("a", "b").distinct())
         some = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "sid")
         at = stash(some.join(first_id, "sid").select("sid", F.col("id").alias("doc_id")))
-        full = stash(docs.join(at, "doc_id").select("sid", "text").mapInArrow(_members(width), "sid long, s binary").dropDuplicates(["sid"]))
+        full = stash(docs.join(at, "doc_id").select("sid", "text").mapInArrow(_members(width), "sid long, s binary"))
         pair = pairs.join(full.withColumnRenamed("sid", "a").withColumnRenamed("s", "x"), "a").join(full.withColumnRenamed("sid", "b").withColumnRenamed("s", "y"), "b")
         return stash(pair.mapInArrow(_overlap, "a long, b long, n int, m int, both int"))
 
     def links(v: DataFrame) -> DataFrame:
         return v.where(F.col("both") * 100 >= share * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
 
-    v1 = verify(found.where("kind = 0"))
+    v1 = verify(likely)
     comp = components(links(v1))
     # long lists again, where several components are left
     d1 = 1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
     to_hub = v1.select("a", "b", d1.alias("d")).union(v1.select(F.col("b").alias("a"), F.col("a").alias("b"), d1.alias("d")))
-    long = stash(found.where("kind = 1"))
     v = v1
     if long.limit(1).count():
-        known = long.select("f", F.col("a"), F.col("b"), "n", "pos").join(comp.select(F.col("node").alias("a"), "component"), "a", "left").join(to_hub, ["a", "b"], "left")
+        known = long.select("f", F.col("a"), F.col("b"), "n", F.col("m").alias("pos")).join(comp.select(F.col("node").alias("a"), "component"), "a", "left").join(to_hub, ["a", "b"], "left")
         known = known.select("f", "a", "n", "pos", F.coalesce("component", "a").alias("c"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")).alias("d"))
         several = stash(known.groupBy("f").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("f"))
         rest = stash(known).join(several, "f").repartition("f").sortWithinPartitions("f", "n", "a")
@@ -245,7 +252,7 @@ def _lists(share):
             i, j = np.concatenate(a_out), np.concatenate(b_out)
             ok = reachable(n[i], pos[i], n[j], pos[j], share) & (sid[i] != sid[j])
             i, j = i[ok], j[ok]
-            yield _pairs(sid[i], sid[j])
+            yield _pairs(sid[i], sid[j], n[i], n[j])
             hubs, rows = [], []
             for g in np.flatnonzero(size > PAIRWISE):
                 at = np.arange(cut[g], cut[g + 1])
@@ -258,16 +265,19 @@ def _lists(share):
             if rows:
                 r, h = np.concatenate(rows).astype(int), np.concatenate(hubs).astype(int)
                 other = sid[r] != sid[h]
-                yield _pairs(sid[r[other]], sid[h[other]])
-                yield _batch(kind=np.ones(len(r), np.int32), f=f[r], a=sid[r], b=sid[h], n=n[r], pos=pos[r], d=np.zeros(len(r)))
+                yield _pairs(sid[r[other]], sid[h[other]], n[r[other]], n[h[other]])
+                yield _batch(kind=np.ones(len(r), np.int32), f=f[r], a=sid[r], b=sid[h], n=n[r], m=pos[r], c=np.ones(len(r), np.int32))
 
     return run
 
 
-def _pairs(a, b):
-    p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    z = np.zeros(p.shape[1], np.int32)
-    return _batch(kind=z, f=np.zeros(p.shape[1], np.int64), a=p[0], b=p[1], n=z, pos=z, d=np.zeros(p.shape[1]))
+def _pairs(a, b, n, m):
+    """Pairs, smaller id first, with their sizes and how often each came."""
+    up = a > b
+    p = np.stack([np.where(up, b, a), np.where(up, a, b), np.where(up, m, n), np.where(up, n, m)])
+    p, c = np.unique(p, axis=1, return_counts=True)
+    k = p.shape[1]
+    return _batch(kind=np.zeros(k, np.int32), f=np.zeros(k, np.int64), a=p[0], b=p[1], n=p[2].astype(np.int32), m=p[3].astype(np.int32), c=c.astype(np.int32))
 
 
 def reachable(n, i, m, j, share):

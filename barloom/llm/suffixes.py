@@ -33,7 +33,7 @@ from . import textkit as tk
 from .common import stash, table
 from .jaccard import _batch, grouped
 
-WIDTH, KEY, HOT, BATCH = 200, 72, 2048, 4096
+WIDTH, KEY, HOT, BATCH = 200, 72, 256, 4096
 
 
 def anchors(c: tk.Chunk, roll: tk.Roller, width: int, key: int):
