@@ -22,25 +22,28 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .common import stash, table
 
-BLOCK, CUTOFF, RELIABLE = 1 << 20, 2, 7
+BLOCK, CUTOFF, RELIABLE = 3 << 18, 2, 7
 _END, _START = np.uint64(1), np.uint64(2)
 MESSAGE = "p int, block long, kind int, keys binary, a binary, b binary"
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Bytes of an array, all first bytes, then all second ones: small numbers then compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
+    """Bytes of an array, all first bytes, then all second ones, compressed: most numbers here are small or alike."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()) if len(x) else b""
 
 
 def unplanes(b: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).reshape(-1).view(kind) if len(b) else np.zeros(0, kind)
+    if not len(b):
+        return np.zeros(0, kind)
+    raw = zstandard.ZstdDecompressor().decompress(b)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -184,7 +187,7 @@ def count_keys(messages: DataFrame) -> DataFrame:
             low = np.bincount(seen[seen <= RELIABLE + 1], minlength=RELIABLE + 2)
             yield _stats(p, [(-1, int(seen.sum())), (0, len(seen)), *((r, int(low[r])) for r in range(1, RELIABLE + 2))])
 
-    return stash(_dealt(messages).mapInArrow(run, ANSWER))
+    return stash(_dealt(messages).mapInArrow(run, ANSWER), large=True)
 
 
 def _dealt(messages: DataFrame) -> DataFrame:
@@ -305,7 +308,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 out.append(planes(x))
             yield _answers(p, ask, out)
 
-    backoff = stash(_dealt(_joined(blocks, uni, bi).mapInArrow(sums, MESSAGE)).mapInArrow(weights, ANSWER))
+    backoff = stash(_dealt(_joined(blocks, uni, bi).mapInArrow(sums, MESSAGE)).mapInArrow(weights, ANSWER), large=True)
 
     def score(batches):
         for r in _rows(batches):
