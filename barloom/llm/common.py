@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,21 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared folder and read back: later steps reread it instead of computing it again, also after executors are lost."""
+def stash(df: DataFrame, large: bool = False) -> DataFrame:
+    """`df` written once to the shared folder and read back: later steps reread it instead of computing it again, also after executors are lost.
+
+    large: its shuffle files are worth deleting at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
-    release(spark)
+    if large:
+        release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now; it does so only when the driver collects garbage, which may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

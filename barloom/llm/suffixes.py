@@ -166,8 +166,8 @@ def _match(width, key):
     side = width - key
 
     def run(batches):
-        for cols, cut in grouped(batches):
-            k, a, lo, hi, sid, seg = cols
+        for cols, _ in grouped(batches):
+            k, a, lo, hi, sid, seg = cols  # a batch ends at a whole key
             # families of whole keys, BATCH segments at a time
             n = len(k)
             right, left = np.zeros((n, side), np.uint8), np.zeros((n, side), np.uint8)
@@ -178,13 +178,11 @@ def _match(width, key):
                 right[i, : len(r)], left[i, : len(l)] = r, l
             hit = np.zeros((n, side + 1), bool)
             fam = Family(hit, width, key)
-            whole = np.diff(cut)
             order = np.arange(n)
             for at in range(0, n, BATCH):
                 i = order[at : at + BATCH]
                 fam.add(Level(k[i], right[i], left[i], a[i] - (hi[i] - lo[i]), a[i].copy(), i, np.zeros(len(i), np.int8)))
             fam.close()
-            del whole
             some = np.flatnonzero(hit.any(1))
             yield _batch(s=sid[some], k=k[some], bits=pa.array([x.tobytes() for x in np.packbits(hit[some], axis=1)], pa.binary()))
 
@@ -195,18 +193,16 @@ def repeated_windows(docs: DataFrame, width: int, key: int) -> DataFrame:
     """doc_id, lo, hi: runs of window starts (bytes) whose windows also occur elsewhere."""
     seg = stash(docs.mapInArrow(_segments(width, key), "k long, s1 long, s2 long, doc_id long, at int, lo int, hi int"))
     keys = seg.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    some = stash(seg.join(stash(keys), "k"))
+    some = stash(seg.join(stash(keys), "k"), large=True)
     classes = stash(some.groupBy("k", "s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "lo", "hi", "at")).alias("one")))
     whole = some.join(classes.where("n > 1").select("s1", "s2", "k"), ["k", "s1", "s2"], "left_semi").select("doc_id", "lo", "hi")
     several = stash(classes.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     part = stash(classes.join(several, "k").select("k", F.xxhash64("s1", "s2", "k").alias("s"), "n", "m", "one.*"))
     asked = part.select("doc_id", F.struct("k", "s", "m", "lo", "hi", "at").alias("e")).groupBy("doc_id").agg(F.collect_list("e").alias("e"))
-    cool = F.col("m") <= HOT
     # bytes of the segments that need a comparison
-    texts = stash(asked.join(docs, "doc_id").mapInArrow(_bytes(width), "k long, a int, lo int, hi int, s long, seg binary, hot boolean, w long"))
+    texts = stash(asked.join(docs, "doc_id").mapInArrow(_bytes(width), "k long, a int, lo int, hi int, s long, seg binary, hot boolean, w long"), large=True)
     index = texts.where("not hot").select("k", "a", "lo", "hi", "s", "seg").repartition("k").sortWithinPartitions("k")
     bits = index.mapInArrow(_match(width, key), "s long, k long, bits binary")
-    del cool
     hot = texts.where("hot").select("s", "k", "a", "lo", "w")
     twice = hot.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
     hot_hits = hot.join(stash(twice), "w").select("s", "k", "lo")
