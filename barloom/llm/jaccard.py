@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import components, stash, table
 
-WIDTH, SHARE, PAIRWISE = 5, 75, 6
+WIDTH, SHARE, PAIRWISE, PARTNERS = 5, 75, 6, 64
 #: Bound of the list of frequent shingles that is sent to tasks (any list gives right results), least count for it.
 FREQUENT, LEAST = 1 << 17, 8
 
@@ -126,7 +126,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
     sets = stash(docs.mapInArrow(_ids_only(width), "doc_id long, sid long, n long"))
     lists = docs.mapInArrow(index, "f long, sid long, n int, pos int, rare int").repartition("f").sortWithinPartitions("f", "n", "sid")
     found = lists.mapInArrow(_lists(share), "kind int, f long, a long, b long, n int, m int, c int")
-    found = stash(found.groupBy("kind", "f", "a", "b", "n", "m").agg(F.sum("c").alias("c")))
+    found = stash(found.groupBy("kind", "f", "a", "b", "n", "m").agg(F.sum("c").alias("c")), large=True)
     long = found.where("kind = 1")
     # prefix shingles that two sets share: counted in short lists, at most those of either in long ones; the overlap is
     # no more than these and what either set has beyond its prefix
@@ -138,13 +138,22 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
     first_id = stash(sets.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("id")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """a, b, d: Jaccard distances of the pairs, from the whole sets."""
+        """a, b, n, m, both: sizes and overlaps of the pairs, from the whole texts.
+
+        Of a pair, the set in more pairs is the hub. A hub's text is sent once for PARTNERS partners, not once a pair.
+        """
         pairs = stash(pairs.select("a", "b").distinct())
-        some = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "sid")
-        at = stash(some.join(first_id, "sid").select("sid", F.col("id").alias("doc_id")))
-        full = stash(docs.join(at, "doc_id").select("sid", "text").mapInArrow(_members(width), "sid long, s binary"))
-        pair = pairs.join(full.withColumnRenamed("sid", "a").withColumnRenamed("s", "x"), "a").join(full.withColumnRenamed("sid", "b").withColumnRenamed("s", "y"), "b")
-        return stash(pair.mapInArrow(_overlap, "a long, b long, n int, m int, both int"))
+        ends = pairs.select(F.col("a").alias("s")).union(pairs.select("b"))
+        degree = stash(ends.groupBy("s").agg(F.count(F.lit(1)).alias("k")))
+        of = pairs.join(degree.select(F.col("s").alias("a"), F.col("k").alias("ka")), "a").join(degree.select(F.col("s").alias("b"), F.col("k").alias("kb")), "b")
+        more = F.col("ka") >= F.col("kb")
+        of = of.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("sid"), F.greatest("ka", "kb").alias("k"))
+        of = of.withColumn("part", F.pmod(F.xxhash64("sid"), F.ceil(F.col("k") / PARTNERS)))
+        asked = of.select("hub", "part", "sid").union(of.select("hub", "part", F.col("hub").alias("sid")).distinct())
+        asked = stash(asked.join(first_id, "sid").select("hub", "part", "sid", F.col("id").alias("doc_id")))
+        texts = docs.join(asked, "doc_id").select("hub", "part", (F.col("sid") != F.col("hub")).alias("other"), "sid", "text")
+        dealt = texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "other")
+        return stash(dealt.mapInArrow(_overlap(width), "a long, b long, n int, m int, both int"), large=True)
 
     def links(v: DataFrame) -> DataFrame:
         return v.where(F.col("both") * 100 >= share * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
@@ -183,29 +192,28 @@ def _ids_only(width):
     return run
 
 
-def _members(width):
+def _overlap(width):
+    """Overlaps of hubs with their partners (rows sorted by hub and part, the hub first)."""
+
     def run(batches):
-        roll = tk.Roller()
+        roll, hub, own, part = tk.Roller(), None, None, None
         for c in tk.chunks(batches):
             sh, bound = sets_of(c, roll, width)
-            yield _batch(sid=c.ids("sid"), s=pa.array([sh[a:b].tobytes() for a, b in zip(bound, bound[1:], strict=False)], pa.binary()))
+            hubs, parts, sids = c.ids("hub"), c.ids("part"), c.ids("sid")
+            out = []
+            for i in range(len(c)):
+                x = sh[bound[i] : bound[i + 1]]
+                if hubs[i] == sids[i]:
+                    hub, part, own = hubs[i], parts[i], x
+                elif (hubs[i], parts[i]) == (hub, part):
+                    at = np.minimum(np.searchsorted(own, x), len(own) - 1)
+                    out.append((hub, sids[i], len(own), len(x), int((own[at] == x).sum())))
+            o = np.array(out, np.int64).reshape(-1, 5).T
+            yield _batch(a=o[0], b=o[1], n=o[2].astype(np.int32), m=o[3].astype(np.int32), both=o[4].astype(np.int32))
 
     return run
 
 
-def _overlap(batches):
-    for b in batches:
-        n, m, both = [], [], []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-            n.append(len(x))
-            m.append(len(y))
-            both.append(int((y[at] == x).sum()) if len(y) else 0)
-        names = b.schema.names
-        yield _batch(a=b.column(names.index("a")), b=b.column(names.index("b")), n=np.array(n, np.int32), m=np.array(m, np.int32), both=np.array(both, np.int32))
-
-
 def grouped(batches, key: int = 0):
     """Rows of an input sorted by a column as (columns, bounds of whole groups), a few batches at a time; a group is never split."""
     held: list[list[np.ndarray]] = []
