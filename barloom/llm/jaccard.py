@@ -12,6 +12,8 @@ blocks by size and with the shingle's position:
   Sets linked to one hub are one component, so most long lists are answered by the hub's answers.
 - Lists that then still hold several components are compared across components only, and from the hub's
   overlaps (Jaccard distance is a metric: |d(x, hub) - d(y, hub)| <= d(x, y)) pairs that cannot link are skipped.
+  Where more pairs are left than twice the list's sets, no pair is listed: the list's sets join the hub's family, whose
+  overlaps are computed together, block by block, and only a spanning forest of the links comes back.
 
 So no link between components is lost, and the components are exact. Set ids and shingles are 64-bit
 fingerprints; candidates are verified on the whole sets.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import components, stash, table
 
-WIDTH, SHARE, PAIRWISE, PARTNERS = 5, 75, 6, 64
+WIDTH, SHARE, PAIRWISE, PARTNERS, PART = 5, 75, 6, 64, 256
 #: Bound of the list of frequent shingles that is sent to tasks (any list gives right results), least count for it.
 FREQUENT, LEAST = 1 << 17, 8
 
@@ -155,6 +157,18 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
         dealt = texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "other")
         return stash(dealt.mapInArrow(_overlap(width), "a long, b long, n int, m int, both int"), large=True)
 
+    def families(members: DataFrame, comp: DataFrame) -> DataFrame:
+        """a, b: links between components inside each hub's family; its texts are compared in blocks, a task for each pair of parts of about PART members."""
+        members = stash(members.distinct())
+        size = stash(members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")))
+        m = members.join(size, "hub").join(comp.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("mine", F.pmod(F.xxhash64("a", "hub"), "parts"))
+        m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        m = m.select("hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", F.col("a").alias("sid"), F.coalesce("component", "a").alias("c"))
+        asked = stash(m.join(first_id, "sid").select("hub", "i", "j", "mine", "sid", "c", F.col("id").alias("doc_id")))
+        texts = docs.join(asked, "doc_id").select("hub", "i", "j", "mine", "sid", "c", "text")
+        dealt = texts.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+        return stash(dealt.mapInArrow(_family(width, share), "a long, b long"), large=True)
+
     def links(v: DataFrame) -> DataFrame:
         return v.where(F.col("both") * 100 >= share * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
 
@@ -166,12 +180,12 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
     v = v1
     if long.limit(1).count():
         known = long.select("f", F.col("a"), F.col("b"), "n", F.col("m").alias("pos")).join(comp.select(F.col("node").alias("a"), "component"), "a", "left").join(to_hub, ["a", "b"], "left")
-        known = known.select("f", "a", "n", "pos", F.coalesce("component", "a").alias("c"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")).alias("d"))
+        known = known.select("f", "a", "b", "n", "pos", F.coalesce("component", "a").alias("c"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")).alias("d"))
         several = stash(known.groupBy("f").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("f"))
         rest = stash(known).join(several, "f").repartition("f").sortWithinPartitions("f", "n", "a")
-        pairs = rest.mapInArrow(_across(share), "a long, b long").distinct()
-        v2 = verify(pairs)
-        comp = components(links(v1).union(links(v2)))
+        left = stash(rest.mapInArrow(_across(share), "a long, b long, family boolean").distinct(), large=True)
+        v2 = verify(left.where("not family"))
+        comp = components(links(v1).union(links(v2)).union(families(left.where("family").select("a", F.col("b").alias("hub")), comp)))
     own = sets.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", "sid", F.coalesce("component", "sid").alias("c"))
     own = stash(own)
     low = stash(own.where("sid <> 0").groupBy("c").agg(F.min("doc_id").alias("low")))
@@ -214,6 +228,66 @@ def _overlap(width):
     return run
 
 
+def _family(width, share, columns: int = 4096):
+    """Links between components among the sets of a family's part pair (rows sorted by it), as a spanning forest."""
+
+    def run(batches):
+        roll, key, held = tk.Roller(), None, []
+
+        def compare():
+            sets = [x for x, _, _, _ in held]
+            n = np.array([len(x) for x in sets])
+            sid, comp, mine = (np.array(v) for v in zip(*((b, c, m) for _, b, c, m in held), strict=True))
+            u, at, freq = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(sets)), n)
+            dense = np.cumsum(freq > 1) - 1
+            ok = freq[at] > 1
+            row, col = row[ok], dense[at[ok]]
+            order = np.argsort(col, kind="stable")
+            row, col = row[order], col[order]
+            both = np.zeros((len(sets), len(sets)), np.float32)
+            for k in range(0, int(dense[-1]) + 1 if len(dense) else 0, columns):
+                lo, hi = np.searchsorted(col, [k, k + columns])
+                m = np.zeros((len(sets), columns), np.float32)
+                m[row[lo:hi], col[lo:hi] - k] = 1
+                both += m @ m.T
+            both = np.rint(both).astype(np.int64)
+            ok = (100 * both >= share * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :])
+            if key[1] != key[2]:  # pairs within a part belong to another task
+                ok &= mine[:, None] != mine[None, :]
+            up = {}
+
+            def find(v):
+                while up.setdefault(v, v) != v:
+                    up[v] = up[up[v]]
+                    v = up[v]
+                return v
+
+            out = []
+            for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True):
+                p, q = find(int(comp[i])), find(int(comp[j]))
+                if p != q:
+                    up[p] = q
+                    out.append((sid[i], sid[j]))
+            o = np.array(out, np.int64).reshape(-1, 2).T
+            return _batch(a=o[0], b=o[1])
+
+        for c in tk.chunks(batches):
+            sh, bound = sets_of(c, roll, width)
+            cols = [c.ids(k) for k in ("hub", "i", "j", "sid", "c", "mine")]
+            for r in range(len(c)):
+                k = tuple(int(x[r]) for x in cols[:3])
+                if k != key and held:
+                    yield compare()
+                    held = []
+                key = k
+                held.append((sh[bound[r] : bound[r + 1]], int(cols[3][r]), int(cols[4][r]), int(cols[5][r])))
+        if held:
+            yield compare()
+
+    return run
+
+
 def grouped(batches, key: int = 0):
     """Rows of an input sorted by a column as (columns, bounds of whole groups), a few batches at a time; a group is never split."""
     held: list[list[np.ndarray]] = []
@@ -299,13 +373,14 @@ def _across(share, block: int = 512):
 
     def run(batches):
         far = 1 - share / 100 + 1e-9
-        for (f, sid, n, pos, comp, d), cut in grouped(batches):
-            out = []
+        for (f, sid, hub, n, pos, comp, d), cut in grouped(batches):
+            out, kin = [], []
             for lo, hi in zip(cut, cut[1:], strict=False):
                 at = np.arange(lo, hi)
                 if len(np.unique(comp[at])) < 2:
                     continue
                 at = at[np.lexsort((sid[at], n[at]))]
+                own, count = [], 0
                 for p in range(0, len(at), block):
                     x = at[p : p + block]
                     for q in range(p, len(at), block):
@@ -318,10 +393,21 @@ def _across(share, block: int = 512):
                         if p == q:
                             keep = i < j
                             i, j = i[keep], j[keep]
-                        out.append(np.stack([np.minimum(sid[x[i]], sid[y[j]]), np.maximum(sid[x[i]], sid[y[j]])]))
-            if out:
-                u = np.unique(np.concatenate(out, axis=1), axis=1)
-                yield _batch(a=u[0], b=u[1])
+                        count += len(i)
+                        if count > 2 * len(at):  # too many to list: all that have one are a family
+                            own = [np.unique(sid[at])]
+                            break
+                        own.append(np.stack([np.minimum(sid[x[i]], sid[y[j]]), np.maximum(sid[x[i]], sid[y[j]])]))
+                    if count > 2 * len(at):
+                        break
+                if count > 2 * len(at):
+                    kin.append(np.stack([own[0], np.full(len(own[0]), hub[lo])]))
+                else:
+                    out += own
+            for rows, family in ((out, False), (kin, True)):
+                if rows:
+                    u = np.unique(np.concatenate(rows, axis=1), axis=1)
+                    yield _batch(a=u[0], b=u[1], family=np.full(u.shape[1], family))
 
     return run
 
