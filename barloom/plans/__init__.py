@@ -1,4 +1,34 @@
 """Named queries over the driver's tables, and the same in SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from ..operators.features import FEATURES, feature, feature_sql
+from ..sources.bars import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars
+from .reports import QUERIES as _REPORTS
+from .reports import SQL as _REPORTS_SQL
+
+WHOLE = ("quantile_veto", "barrier_label", "volume_share_rank", "volume_quartile")
+#: Digits where six would round halves.
+DIGITS = {"atr_band": 9, "entropy_decay": 9}
+
+
+def _rounded(name: str):
+    def query(spark, sf_dir):
+        df = feature(event_bars(spark.read.parquet(f"{sf_dir}/events.parquet")), name)
+        return df.selectExpr("symbol", "timestamp", "bigint(value) AS value" if name in WHOLE else f"round(double(value), {DIGITS.get(name, 6)}) AS value")
+
+    return query
+
+
+def _rounded_sql(name: str) -> str:
+    v = "CAST(value AS BIGINT)" if name in WHOLE else f"round(CAST(value AS DOUBLE), {DIGITS.get(name, 6)})"
+    return f"SELECT symbol, timestamp, {v} AS value FROM ({feature_sql(EVENT_BARS_SQL, name)})"
+
+
+QUERIES = {
+    "bars_hourly": lambda spark, d: event_bars(spark.read.parquet(f"{d}/events.parquet")),
+    "bars_daily": lambda spark, d: line_bars(spark.read.parquet(f"{d}/lineitem.parquet")),
+    **{name: _rounded(name) for name in FEATURES},
+    **_REPORTS,
+}
+SQL = {"bars_hourly": EVENT_BARS_SQL, "bars_daily": LINE_BARS_SQL, **{name: _rounded_sql(name) for name in FEATURES}, **_REPORTS_SQL}
