@@ -254,7 +254,7 @@ def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     asked = chains.select("doc_id", F.struct("id", F.lit(0).alias("side"), F.col("x0").alias("lo"), F.col("x1").alias("hi")).alias("e")).union(chains.select("source_id", F.struct("id", F.lit(1).alias("side"), F.col("y0").alias("lo"), F.col("y1").alias("hi"))))
     # a document that is the source of many is asked in portions
     asked = stash(asked.groupBy("doc_id", F.pmod(F.xxhash64("e.id"), F.lit(64)).alias("part")).agg(F.collect_set("e").alias("ends")).select("doc_id", "ends"))
-    ends = stash(asked.join(docs, "doc_id").select("text", "ends").mapInArrow(_ends, "id long, side int, before binary, after binary, inside binary").dropDuplicates(["id", "side"]), large=True)
+    ends = stash(asked.hint("merge").join(docs, "doc_id").select("text", "ends").mapInArrow(_ends, "id long, side int, before binary, after binary, inside binary").dropDuplicates(["id", "side"]), large=True)
     a = ends.where("side = 0").select("id", F.col("before").alias("b0"), F.col("after").alias("a0"), F.col("inside").alias("i0"))
     b = ends.where("side = 1").select("id", F.col("before").alias("b1"), F.col("after").alias("a1"), F.col("inside").alias("i1"))
     full = chains.join(a, "id").join(b, "id").select("doc_id", "source_id", "x0", "x1", "y0", "y1", "b0", "a0", "i0", "b1", "a1", "i1")
@@ -277,8 +277,8 @@ def cut_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     # only documents with passages go through Python
-    hit = docs.join(by_doc, "doc_id").mapInArrow(cut, docs.schema)
-    return docs.join(by_doc.select("doc_id"), "doc_id", "left_anti").select(*names).unionByName(hit)
+    hit = docs.join(by_doc.hint("merge"), "doc_id").mapInArrow(cut, docs.schema)
+    return docs.join(by_doc.select("doc_id").hint("merge"), "doc_id", "left_anti").select(*names).unionByName(hit)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

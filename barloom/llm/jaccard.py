@@ -153,7 +153,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
         of = of.withColumn("part", F.pmod(F.xxhash64("sid"), F.ceil(F.col("k") / PARTNERS)))
         asked = of.select("hub", "part", "sid").union(of.select("hub", "part", F.col("hub").alias("sid")).distinct())
         asked = stash(asked.join(first_id, "sid").select("hub", "part", "sid", F.col("id").alias("doc_id")))
-        texts = docs.join(asked, "doc_id").select("hub", "part", (F.col("sid") != F.col("hub")).alias("other"), "sid", "text")
+        texts = docs.join(asked.hint("merge"), "doc_id").select("hub", "part", (F.col("sid") != F.col("hub")).alias("other"), "sid", "text")
         dealt = texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "other")
         return stash(dealt.mapInArrow(_overlap(width), "a long, b long, n int, m int, both int"), large=True)
 
@@ -165,7 +165,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
         m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         m = m.select("hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", F.col("a").alias("sid"), F.coalesce("component", "a").alias("c"))
         asked = stash(m.join(first_id, "sid").select("hub", "i", "j", "mine", "sid", "c", F.col("id").alias("doc_id")))
-        texts = docs.join(asked, "doc_id").select("hub", "i", "j", "mine", "sid", "c", "text")
+        texts = docs.join(asked.hint("merge"), "doc_id").select("hub", "i", "j", "mine", "sid", "c", "text")
         dealt = texts.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
         return stash(dealt.mapInArrow(_family(width, share), "a long, b long"), large=True)
 

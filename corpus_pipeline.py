@@ -24,7 +24,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     small_batches(spark)
     names = docs.columns
     kept = stash(jaccard.jaccard_components(docs).where("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows")))
-    stay = docs.join(kept, "doc_id")
+    stay = docs.join(kept.hint("merge"), "doc_id")
     if not kept.where("n_rows > 1").limit(1).count():
         return stay.select(*names)
     return stay.where("n_rows = 1").select(*names).unionByName(stay.where("n_rows > 1").select(*names).dropDuplicates(["doc_id"]))
