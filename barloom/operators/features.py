@@ -78,7 +78,7 @@ for _k in range(1, 20):
 add("frac_diff", [DELTA], " + ".join(f"({w!r}) * coalesce({lag('delta', k) if k else 'delta'}, 0)" for k, w in enumerate(_FD)))
 add("eigen_weight", [PC, {"pv": lag("volume")}, {"a": "close - pc", "b": "volume - pv"}], f"(1 + abs({roll('corr({x}, b)', 'a', 24, 12)})) / 2")
 add("cauchy_kernel", [PC, {"tr": "greatest(high - low, abs(high - coalesce(pc, close)), abs(low - coalesce(pc, close)))"}, {"g": roll("avg", "tr", 24, 2, prior=True), "key": roll("max", "high", 24, 2, prior=True)}], "1 / (1 + power((close - key) / nullif(g, 0), 2))")
-add("power_law_slicing", [{"s": "volume / count"}, {"ls": "ln(s)"}], f"({roll('count', 'ls', 24, 12, prior=True)}) / nullif({roll('sum', 'ls', 24, 12, prior=True)} - ({roll('count', 'ls', 24, 12, prior=True)}) * {roll('min', 'ls', 24, 12, prior=True)}, 0)")
+add("power_law_slicing", [{"s": "volume / count"}, {"ls": "CASE WHEN s > 0 THEN ln(s) END"}], f"({roll('count', 'ls', 24, 12, prior=True)}) / nullif({roll('sum', 'ls', 24, 12, prior=True)} - ({roll('count', 'ls', 24, 12, prior=True)}) * {roll('min', 'ls', 24, 12, prior=True)}, 0)")
 add("entropy_decay", [{"e": "volume / count"}, {"lo": roll("min", "e", 24, 12, prior=True), "hi": roll("max", "e", 24, 12, prior=True)}], "0.99 * (1 - " + clip("(e - lo) / nullif(hi - lo, 0)", 0.0, 1.0) + ")")
 add("volume_weighted_price", [{"x": "close * volume"}], f"{roll('sum', 'x', 24)} / nullif({roll('sum', 'volume', 24)}, 0)")
 add("information_weighted", [*SR, {"h": "greatest(sr, 1e-6)"}, {"x": "close * h"}], f"{roll('sum', 'x', 24, 12)} / nullif({roll('sum', 'h', 24, 12)}, 0)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.kernels import KERNELS, by_symbol
 from ..operators.features import FEATURES, feature, feature_sql
 from ..sources.bars import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars
 from .reports import QUERIES as _REPORTS
@@ -25,10 +26,15 @@ def _rounded_sql(name: str) -> str:
     return f"SELECT symbol, timestamp, {v} AS value FROM ({feature_sql(EVENT_BARS_SQL, name)})"
 
 
+def _kernel(name: str):
+    return lambda spark, d: by_symbol(event_bars(spark.read.parquet(f"{d}/events.parquet")), [name])
+
+
 QUERIES = {
     "bars_hourly": lambda spark, d: event_bars(spark.read.parquet(f"{d}/events.parquet")),
     "bars_daily": lambda spark, d: line_bars(spark.read.parquet(f"{d}/lineitem.parquet")),
     **{name: _rounded(name) for name in FEATURES},
+    **{f"kernel_{k}": _kernel(k) for k in KERNELS},
     **_REPORTS,
 }
 SQL = {"bars_hourly": EVENT_BARS_SQL, "bars_daily": LINE_BARS_SQL, **{name: _rounded_sql(name) for name in FEATURES}, **_REPORTS_SQL}

@@ -14,7 +14,7 @@ from ..sources.bars import EVENT_BARS_SQL, HOUR_MS, LINE_BARS_SQL, event_bars, l
 TEXTS: dict[str, str] = {}
 ANN, S = 8760, "PARTITION BY symbol ORDER BY timestamp"
 #: Returns of every bar, the base of the backtest reports.
-_RET = f"SELECT symbol, timestamp, close, volume, close / pc - 1 AS r, row_number() OVER ({S}) AS i FROM (SELECT *, lag(close) OVER ({S}) AS pc FROM {{bars}}) WHERE pc IS NOT NULL"
+_RET = f"SELECT symbol, timestamp, close, volume, close / pc - 1 AS r, row_number() OVER ({S}) AS i FROM (SELECT *, lag(close) OVER ({S}) AS pc FROM {{bars}}) WHERE pc IS NOT NULL AND close IS NOT NULL"
 
 # 2.1, 2.2 sources, filters
 TEXTS["inventory"] = "SELECT count(*) AS symbols, sum(n) AS bars, round(avg(n), 6) AS avg_bars, min(n) AS least, max(n) AS most FROM (SELECT symbol, count(*) AS n FROM {bars} GROUP BY symbol)"
@@ -81,7 +81,7 @@ _REG = f"SELECT *, CASE WHEN vol >= q70 - 1e-12 THEN 'h' ELSE 'l' END || CASE WH
 TEXTS["regime"] = f"SELECT symbol, timestamp, regime FROM ({_REG})"
 TEXTS["regime_stats"] = f"SELECT regime, count(*) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(avg(r) / stddev_samp(r) * sqrt({ANN}), 6) AS sharpe, round(sum(r), 6) AS total FROM ({_REG}) GROUP BY regime HAVING count(*) >= 3"
 _CURVE = f"SELECT *, c / max(c) {frame(None)} - 1 AS dd FROM (SELECT *, exp(sum(ln(1 + r)) {frame(None)}) AS c FROM ({{ret}}))"
-_METRICS = f"""SELECT {{key}}, count(*) AS n, round(exp(sum(ln(1 + r))) - 1, 6) AS total, round(sum(CASE WHEN r > 0 THEN r ELSE 0 END) / nullif(abs(sum(CASE WHEN r < 0 THEN r ELSE 0 END)), 0), 6) AS profit_factor, round(avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate,
+_METRICS = f"""SELECT {{key}}, count(*) AS n, round(sum(ln(1 + r)), 6) AS log_total, round(sum(CASE WHEN r > 0 THEN r ELSE 0 END) / nullif(abs(sum(CASE WHEN r < 0 THEN r ELSE 0 END)), 0), 6) AS profit_factor, round(avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate,
  round(avg(r) / stddev_samp(r) * sqrt({ANN}), 6) AS sharpe, round(avg(r) / nullif(stddev_samp(CASE WHEN r < 0 THEN r END), 0) * sqrt({ANN}), 6) AS sortino, round(min(dd), 6) AS mdd, round(PCT(r, 0.05), 6) AS var, round(abs(PCT(r, 0.95)) / abs(PCT(r, 0.05)), 6) AS tail_ratio,
  round(count(*) / ((count(*) - 1.0) * (count(*) - 2.0)) * sum(r * r * r) / power(var_samp(r), 1.5) - count(*) / ((count(*) - 1.0) * (count(*) - 2.0)) * (3 * avg(r) * sum(r * r) - 2 * count(*) * power(avg(r), 3)) / power(var_samp(r), 1.5), 5) AS skew FROM ({{curve}}) GROUP BY {{key}}"""
 
@@ -94,7 +94,7 @@ _SCALED = _RET.replace("close / pc - 1 AS r", "(close / pc - 1) / 100 AS r")
 TEXTS["metrics"] = metrics(_SCALED)
 TEXTS["metrics_aggregate"] = f"SELECT round(avg(sharpe), 5) AS mean_sharpe, round(stddev_pop(sharpe), 5) AS std_sharpe, round(avg(mdd), 5) AS mean_mdd FROM ({metrics(_SCALED)})"
 _EDGE = f"SELECT *, CASE WHEN r > 0 THEN 1 ELSE -1 END AS sg FROM ({_SCALED})"
-TEXTS["trades"] = f"SELECT symbol, trade, min(sg) AS side, count(*) AS bars, round(exp(sum(ln(1 + r))) - 1, 6) AS ret FROM (SELECT *, sum(new) {frame(None)} AS trade FROM (SELECT *, CASE WHEN sg = lag(sg) OVER ({S}) THEN 0 ELSE 1 END AS new FROM ({_EDGE}))) GROUP BY symbol, trade"
+TEXTS["trades"] = f"SELECT symbol, trade, min(sg) AS side, count(*) AS bars, round(sum(ln(1 + r)), 6) AS log_ret FROM (SELECT *, sum(new) {frame(None)} AS trade FROM (SELECT *, CASE WHEN sg = lag(sg) OVER ({S}) THEN 0 ELSE 1 END AS new FROM ({_EDGE}))) GROUP BY symbol, trade"
 _COST = _SCALED.replace("(close / pc - 1) / 100 AS r", "(close / pc - 1) / 100 - 0.00013 AS r")
 TEXTS["costs"] = metrics(_COST)
 TEXTS["position_size"] = f"SELECT symbol, round(least(greatest(0.1 * least(0.18 / greatest(s * sqrt({ANN}), 0.005), 1.5) * (0.5 + 0.5 * sqrt(0.72)), 0.05), 1.5), 9) AS size FROM (SELECT symbol, stddev_samp(r) / 1000 AS s FROM ({_SCALED}) GROUP BY symbol)"
@@ -110,7 +110,7 @@ TEXTS["cpcv_paths"] = "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{','.join(ma
 TEXTS["dsr"] = f"SELECT symbol, round(sr - sqrt(2 * ln(100.0)) * sqrt(greatest(1 - sk * sr + (ku - 1) * sr * sr / 4, 0.0) / n), 6) AS dsr FROM (SELECT symbol, count(*) AS n, avg(r) / stddev_samp(r) AS sr, (avg(r * r * r) - 3 * avg(r) * avg(r * r) + 2 * power(avg(r), 3)) / power(stddev_samp(r), 3) AS sk, (avg(r * r * r * r) - 4 * avg(r) * avg(r * r * r) + 6 * power(avg(r), 2) * avg(r * r) - 3 * power(avg(r), 4)) / power(stddev_samp(r), 4) AS ku FROM ({_SCALED}) GROUP BY symbol)"
 TEXTS["var_es"] = f"SELECT s.symbol, round(max(greatest(-q, 0.0)), 6) AS var, round(-avg(CASE WHEN s.r <= q + 1e-12 THEN s.r END), 6) AS es FROM ({_SCALED}) s JOIN (SELECT symbol, PCT(r, 0.05) AS q FROM ({_SCALED}) GROUP BY symbol) v ON s.symbol = v.symbol GROUP BY s.symbol"
 TEXTS["hill"] = f"SELECT symbol, count(*) AS k, round(avg(ln(x / m)), 6) AS xi FROM (SELECT *, min(x) OVER (PARTITION BY symbol) AS m FROM (SELECT symbol, -r AS x, row_number() OVER (PARTITION BY symbol ORDER BY r, timestamp) AS k FROM ({_SCALED}) WHERE r < 0) WHERE k <= 20) GROUP BY symbol"
-TEXTS["linex_loss"] = f"SELECT symbol, round(avg((exp(0.5 * r) - 0.5 * r - 1) / 0.25), 9) AS loss FROM ({_SCALED}) GROUP BY symbol HAVING count(*) >= 50"
+TEXTS["linex_loss"] = f"SELECT symbol, round(ln(1 + avg((exp(0.5 * r) - 0.5 * r - 1) / 0.25)), 6) AS log_loss FROM ({_SCALED}) GROUP BY symbol HAVING count(*) >= 50"
 TEXTS["weighted_loss"] = f"SELECT symbol, round(sum(w * r * r) / sum(w), 9) AS loss FROM (SELECT symbol, r, volume AS w FROM ({_SCALED})) GROUP BY symbol"
 TEXTS["cusum"] = f"SELECT symbol, round(max(abs(c)), 6) AS stat, CASE WHEN max(abs(c)) > 1.36 * sqrt(max(n)) THEN 1 ELSE 0 END AS broken FROM (SELECT symbol, n, sum((r - m) / s) OVER ({S} ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT *, avg(r) OVER (PARTITION BY symbol) AS m, stddev_pop(r) OVER (PARTITION BY symbol) AS s, count(*) OVER (PARTITION BY symbol) AS n FROM ({_SCALED}))) GROUP BY symbol"
 TEXTS["spearman"] = f"SELECT symbol, round(corr(a, b), 6) AS rho FROM (SELECT symbol, CAST(rank() OVER (PARTITION BY symbol ORDER BY close) AS DOUBLE) AS a, CAST(rank() OVER (PARTITION BY symbol ORDER BY volume) AS DOUBLE) AS b FROM {{bars}}) GROUP BY symbol"

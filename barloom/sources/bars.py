@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "timestamp LONG, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, close_time LONG, quote_volume DOUBLE, count LONG, taker_buy_base_volume DOUBLE, taker_buy_quote_volume DOUBLE, ignore STRING, amount DOUBLE"
 HOUR_MS = 3_600_000
+PRICES = ("open", "high", "low", "close")
 
 
 def read_shards(spark: SparkSession, path: str, timeframe: str = "1h", fmt: str = "parquet") -> DataFrame:
@@ -49,19 +50,19 @@ def select_markets(markets: DataFrame, quote: str = "USDT", kind: str = "swap",
 
 
 def event_bars(events: DataFrame) -> DataFrame:
-    """Hourly bars of each event type; even event ids stand for bought volume."""
+    """Hourly bars of each event type; even event ids stand for bought volume. Prices that aren't positive are null."""
     e = events.select(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("hour"), F.struct("ts", "event_id").alias("k"), "value", F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(0.0).alias("bought"))
     b = e.groupBy("symbol", "hour").agg(F.min_by("value", "k").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "k").alias("close"), F.round(F.sum("value"), 6).alias("volume"), F.count(F.lit(1)).alias("count"), F.round(F.sum("bought"), 6).alias("taker_buy_base_volume"))
-    return b.select("symbol", F.unix_millis(F.col("hour").cast("timestamp")).alias("timestamp"), "open", "high", "low", "close", "volume", F.round(F.col("volume") * F.col("close"), 6).alias("quote_volume"), "count", "taker_buy_base_volume")
+    return b.select("symbol", F.unix_millis(F.col("hour").cast("timestamp")).alias("timestamp"), *[F.when(F.col(c) > 0, F.col(c)).alias(c) for c in PRICES], "volume", F.round(F.col("volume") * F.col("close"), 6).alias("quote_volume"), "count", "taker_buy_base_volume")
 
 
-EVENT_BARS_SQL = """SELECT symbol, epoch_ms(hour) AS timestamp, open, high, low, close, volume, round(volume * close, 6) AS quote_volume, count, taker_buy_base_volume FROM (
+EVENT_BARS_SQL = """SELECT symbol, epoch_ms(hour) AS timestamp, CASE WHEN open > 0 THEN open END AS open, CASE WHEN high > 0 THEN high END AS high, CASE WHEN low > 0 THEN low END AS low, CASE WHEN close > 0 THEN close END AS close, volume, round(volume * CASE WHEN close > 0 THEN close END, 6) AS quote_volume, count, taker_buy_base_volume FROM (
  SELECT event_type AS symbol, date_trunc('hour', ts) AS hour, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, round(sum(value), 6) AS volume, count(*) AS count, round(sum(CASE WHEN event_id % 2 = 0 THEN value ELSE 0.0 END), 6) AS taker_buy_base_volume FROM events GROUP BY 1, 2)"""
 
 
 def line_bars(lineitem: DataFrame) -> DataFrame:
     """Daily bars of each supplier from its order lines (price: extended price a unit)."""
-    k = F.struct("l_orderkey", "l_linenumber")
+    k = F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     p = F.col("l_extendedprice") / F.col("l_quantity")
     e = lineitem.select(F.col("l_suppkey").cast("string").alias("symbol"), F.date_trunc("day", "l_shipdate").alias("day"), k.alias("k"), p.alias("p"), F.col("l_quantity").alias("q"), F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).otherwise(0.0).alias("b"))
     b = e.groupBy("symbol", "day").agg(F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "k").alias("close"), F.sum("q").alias("volume"), F.count(F.lit(1)).alias("count"), F.sum("b").alias("taker_buy_base_volume"))
@@ -69,7 +70,7 @@ def line_bars(lineitem: DataFrame) -> DataFrame:
 
 
 LINE_BARS_SQL = """SELECT symbol, epoch_ms(day) AS timestamp, open, high, low, close, volume, volume * close AS quote_volume, count, taker_buy_base_volume FROM (
- SELECT l_suppkey::VARCHAR AS symbol, date_trunc('day', l_shipdate) AS day, arg_min(p, (l_orderkey, l_linenumber)) AS open, max(p) AS high, min(p) AS low, arg_max(p, (l_orderkey, l_linenumber)) AS close, sum(l_quantity) AS volume, count(*) AS count, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0.0 END) AS taker_buy_base_volume
+ SELECT l_suppkey::VARCHAR AS symbol, date_trunc('day', l_shipdate) AS day, arg_min(p, (l_orderkey, l_linenumber, l_extendedprice, l_quantity)) AS open, max(p) AS high, min(p) AS low, arg_max(p, (l_orderkey, l_linenumber, l_extendedprice, l_quantity)) AS close, sum(l_quantity) AS volume, count(*) AS count, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0.0 END) AS taker_buy_base_volume
  FROM (SELECT *, l_extendedprice / l_quantity AS p FROM lineitem) GROUP BY 1, 2)"""
 
 
