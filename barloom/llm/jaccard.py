@@ -130,13 +130,13 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
     found = lists.mapInArrow(_lists(share), "kind int, f long, a long, b long, n int, m int, c int")
     found = stash(found.groupBy("kind", "f", "a", "b", "n", "m").agg(F.sum("c").alias("c")), large=True)
     long = found.where("kind = 1")
-    # prefix shingles that two sets share: counted in short lists, at most those of either in long ones; the overlap is
-    # no more than these and what either set has beyond its prefix
-    in_long = stash(long.groupBy("a").agg(F.count(F.lit(1)).alias("k")))
-    low = F.coalesce(F.least("ka", "kb"), F.lit(0)) + F.col("c")
+    # prefix shingles that two sets share, in short lists (counted) and in long ones (compared): the overlap is no more
+    # than these and what either set has beyond its prefix
+    in_long = stash(long.groupBy("a").agg(F.collect_set("f").alias("fs")))
+    counted = found.where("kind = 0").join(in_long.withColumnRenamed("fs", "fa"), "a", "left").join(in_long.select(F.col("a").alias("b"), F.col("fs").alias("fb")), "b", "left")
+    shared = F.col("c") + F.coalesce(F.size(F.array_intersect("fa", "fb")), F.lit(0))
     beyond = F.greatest(F.ceil(F.greatest("n", "m") * share / 100), F.lit(1)) - 1
-    counted = found.where("kind = 0").join(in_long.select("a", F.col("k").alias("ka")), "a", "left").join(in_long.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b", "left")
-    likely = counted.where(F.when(F.col("ka").isNull() | F.col("kb").isNull(), F.col("c")).otherwise(low) + beyond >= F.ceil(share * (F.col("n") + F.col("m")) / (100 + share)))
+    likely = counted.where(shared + beyond >= F.ceil(share * (F.col("n") + F.col("m")) / (100 + share))).select("a", "b")
     first_id = stash(sets.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("id")))
 
     def verify(pairs: DataFrame) -> DataFrame:
