@@ -15,6 +15,10 @@ blocks by size and with the shingle's position:
   Where more pairs are left than twice the list's sets, no pair is listed: the list's sets join the hub's family, whose
   overlaps are computed together, block by block, and only a spanning forest of the links comes back.
 
+Before any text is read again, pairs are pruned by odd sketches (Mitzenmacher, Pagh and Pham 2014): one bit for each
+bucket of shingles, whether the set has an odd number there. Bits that differ are at most the shingles that differ, so a
+pair with more of them than a link allows is none; a sketch has two to four bits a word.
+
 So no link between components is lost, and the components are exact. Set ids and shingles are 64-bit
 fingerprints; candidates are verified on the whole sets.
 
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import components, stash, table
 
-WIDTH, SHARE, PAIRWISE, PARTNERS, PART = 5, 75, 6, 64, 256
+WIDTH, SHARE, PAIRWISE, PARTNERS, PART, BITS = 5, 75, 6, 64, 256, 2
 #: Bound of the list of frequent shingles that is sent to tasks (any list gives right results), least count for it.
 FREQUENT, LEAST = 1 << 17, 8
 
@@ -60,6 +64,28 @@ def set_ids(sh: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketches(sh: np.ndarray, bound: np.ndarray) -> pa.Array:
+    """Odd sketches of the sets, each of the least power of two of bits that is no less than BITS times the set (64 at least)."""
+    n = np.diff(bound)
+    bits = 64 << np.ceil(np.log2(np.maximum(BITS * n, 64) / 64)).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(bits)])
+    where = np.repeat(at[:-1], n) + (tk.mix(sh) & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(where, minlength=at[-1]) & 1).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((at // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd, bitorder="little"))])
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two sketches, the longer folded to the shorter: a lower bound of the symmetric difference."""
+    size = 8 * min(len(x), len(y))
+    i, j = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    for length, v in ((8 * len(x), i), (8 * len(y), j)):
+        while length > size:
+            length //= 2
+            v = (v >> length) ^ (v & ((1 << length) - 1))
+        i, j = j, v
+    return (i ^ j).bit_count()
+
+
 def _need(n, m, share):
     """Least overlap of sets of n and m that link: ceil(share (n + m) / (100 + share))."""
     return -(-share * (n + m) // (100 + share))
@@ -125,7 +151,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
             d = d[k]
             yield _batch(f=tok[k].view(np.int64), sid=sid[d], n=n[d].astype(np.int32), pos=p[k].astype(np.int32), rare=rare[d].astype(np.int32))
 
-    sets = stash(docs.mapInArrow(_ids_only(width), "doc_id long, sid long, n long"))
+    sets = stash(docs.mapInArrow(_ids_only(width), "doc_id long, sid long, n long, sketch binary"))
     lists = docs.mapInArrow(index, "f long, sid long, n int, pos int, rare int").repartition("f").sortWithinPartitions("f", "n", "sid")
     found = lists.mapInArrow(_lists(share), "kind int, f long, a long, b long, n int, m int, c int")
     found = stash(found.groupBy("kind", "f", "a", "b", "n", "m").agg(F.sum("c").alias("c")), large=True)
@@ -137,7 +163,12 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
     shared = F.col("c") + F.coalesce(F.size(F.array_intersect("fa", "fb")), F.lit(0))
     beyond = F.greatest(F.ceil(F.greatest("n", "m") * share / 100), F.lit(1)) - 1
     likely = counted.where(shared + beyond >= F.ceil(share * (F.col("n") + F.col("m")) / (100 + share))).select("a", "b")
-    first_id = stash(sets.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("id")))
+    first_id = stash(sets.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """a, b: the pairs that their sketches allow to link."""
+        one, two = (first_id.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")).hint("merge") for k in ("a", "b"))
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_allowed(share), "a long, b long")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """a, b, n, m, both: sizes and overlaps of the pairs, from the whole texts.
@@ -152,7 +183,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
         of = of.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("sid"), F.greatest("ka", "kb").alias("k"))
         of = of.withColumn("part", F.pmod(F.xxhash64("sid"), F.ceil(F.col("k") / PARTNERS)))
         asked = of.select("hub", "part", "sid").union(of.select("hub", "part", F.col("hub").alias("sid")).distinct())
-        asked = stash(asked.join(first_id, "sid").select("hub", "part", "sid", F.col("id").alias("doc_id")))
+        asked = stash(asked.join(first_id.select("sid", "id"), "sid").select("hub", "part", "sid", F.col("id").alias("doc_id")))
         texts = docs.join(asked.hint("merge"), "doc_id").select("hub", "part", (F.col("sid") != F.col("hub")).alias("other"), "sid", "text")
         dealt = texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "other")
         return stash(dealt.mapInArrow(_overlap(width), "a long, b long, n int, m int, both int"), large=True)
@@ -164,7 +195,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
         m = members.join(size, "hub").join(comp.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("mine", F.pmod(F.xxhash64("a", "hub"), "parts"))
         m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         m = m.select("hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", F.col("a").alias("sid"), F.coalesce("component", "a").alias("c"))
-        asked = stash(m.join(first_id, "sid").select("hub", "i", "j", "mine", "sid", "c", F.col("id").alias("doc_id")))
+        asked = stash(m.join(first_id.select("sid", "id"), "sid").select("hub", "i", "j", "mine", "sid", "c", F.col("id").alias("doc_id")))
         texts = docs.join(asked.hint("merge"), "doc_id").select("hub", "i", "j", "mine", "sid", "c", "text")
         dealt = texts.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
         return stash(dealt.mapInArrow(_family(width, share), "a long, b long"), large=True)
@@ -172,7 +203,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
     def links(v: DataFrame) -> DataFrame:
         return v.where(F.col("both") * 100 >= share * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
 
-    v1 = verify(likely)
+    v1 = verify(near(likely))
     comp = components(links(v1))
     # long lists again, where several components are left
     d1 = 1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
@@ -184,9 +215,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
         several = stash(known.groupBy("f").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("f"))
         rest = stash(known).join(several, "f").repartition("f").sortWithinPartitions("f", "n", "a")
         left = stash(rest.mapInArrow(_across(share), "a long, b long, family boolean").distinct(), large=True)
-        v2 = verify(left.where("not family"))
+        v2 = verify(near(left.where("not family").select("a", "b")))
         comp = components(links(v1).union(links(v2)).union(families(left.where("family").select("a", F.col("b").alias("hub")), comp)))
-    own = sets.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", "sid", F.coalesce("component", "sid").alias("c"))
+    own = sets.select("doc_id", "sid", "n").join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", "sid", F.coalesce("component", "sid").alias("c"))
     own = stash(own)
     low = stash(own.where("sid <> 0").groupBy("c").agg(F.min("doc_id").alias("low")))
     return own.join(low, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid") == 0, F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
@@ -201,7 +232,20 @@ def _ids_only(width):
         roll = tk.Roller()
         for c in tk.chunks(batches):
             sh, bound = sets_of(c, roll, width)
-            yield _batch(doc_id=c.ids(), sid=set_ids(sh, bound), n=np.diff(bound).astype(np.int64))
+            yield _batch(doc_id=c.ids(), sid=set_ids(sh, bound), n=np.diff(bound).astype(np.int64), sketch=sketches(sh, bound))
+
+    return run
+
+
+def _allowed(share):
+    """Pairs whose sketches differ in no more bits than the shingles in which sets of these sizes that link may differ."""
+
+    def run(batches):
+        for b in batches:
+            n = b.column(2).to_numpy() + b.column(3).to_numpy()
+            far = np.array([apart(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], np.int64)
+            keep = far * (100 + share) <= n * (100 - share)
+            yield b.select([0, 1]).filter(pa.array(keep))
 
     return run
 

@@ -95,6 +95,18 @@ def test_suffix_family_levels():
     assert [bool(x) for x in hits[0][:, w]] == [code[k[i], bytes(ctx[0][i][: width - key - w]), bytes(ctx[1][i][:w])] > 1 for i in range(n)]
 
 
+def test_odd_sketches_bound_differences():
+    rng = np.random.default_rng(5)
+    for n, m, both in [(0, 0, 0), (1, 1, 0), (1, 1, 1), (40, 50, 40), (300, 420, 290), (1000, 1030, 900), (7, 5000, 3)]:
+        every = rng.choice(1 << 62, n + m - both, replace=False).astype(np.uint64)
+        x, y = every[:n], every[n - both :]
+        sketch = jaccard.sketches(np.concatenate([x, y]), np.array([0, n, n + m])).to_pylist()
+        assert jaccard.apart(*sketch) <= n + m - 2 * both
+        assert jaccard.apart(sketch[0], sketch[0]) == 0
+        assert jaccard.apart(*sketch) == jaccard.apart(*reversed(sketch))
+        assert n != m or both or not n or jaccard.apart(*sketch) > 0
+
+
 def test_jaccard(docs, monkeypatch):
     s = {i: {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for i, t in rows_of(docs).items()}
     up = {i: i for i in s}
