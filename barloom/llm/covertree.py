@@ -6,7 +6,8 @@ nets with halving radii over a bounded sample (SAMPLE points, at most CELLS cent
 point goes to the cell of its nearest centre, and a cell knows its covering radius. Pairs of cells further
 apart than their radii and the threshold are pruned on the way down. What is left is dealt out as pairs of
 blocks of at most about BLOCK points (a large cell is several blocks), and each task builds the lower levels for its
-two blocks, traverses them together with the same bound and compares leaves in double precision.
+two blocks, traverses them together with the same bound and compares leaves in double precision (where single precision
+does not show that all their pairs are below the threshold by more than its error).
 
 A task returns, by point, how many rows it links to (counts, not pairs), and only the edges of a spanning forest.
 Components come from those edges by distributed star rounds.
@@ -76,12 +77,12 @@ def nets(x: np.ndarray, most: int) -> list[np.ndarray]:
 class Node:
     """A subtree: its points, a centre that is one of them, and the covering radius."""
 
-    __slots__ = ("at", "centre", "kids", "radius")
+    __slots__ = ("at", "centre", "kids", "radius", "short")
 
     def __init__(self, x: np.ndarray, at: np.ndarray, depth: int = 0):
         self.at, self.centre = at, x[at[0]]
         d = np.linalg.norm(x[at] - self.centre, axis=1)
-        self.radius, self.kids = float(d.max()), []
+        self.radius, self.kids, self.short = float(d.max()), [], None
         if len(at) > LEAF and self.radius > 1e-9 and depth < 24:
             centres, near = [0], d
             of = np.zeros(len(at), int)
@@ -98,6 +99,12 @@ class Node:
                         own[[0, np.flatnonzero(own == at[centres[i]])[0]]] = own[[np.flatnonzero(own == at[centres[i]])[0], 0]]
                         self.kids.append(Node(x, own, depth + 1))
 
+    def single(self, x: np.ndarray) -> np.ndarray:
+        """The points in single precision, kept for the next pair."""
+        if self.short is None:
+            self.short = x[self.at].astype(np.float32)
+        return self.short
+
 
 class Forest:
     def __init__(self, n: int):
@@ -118,15 +125,19 @@ class Forest:
 
 def dual(a: Node, b: Node, x: np.ndarray, w: np.ndarray, links: np.ndarray, forest: Forest, edges: list, reach: float) -> None:
     """Links between the points of two nodes; each pair once. Same node: pairs within it."""
-    todo = [(a, b)]
+    todo, below = [(a, b)], COSINE - x.shape[1] * 2.0**-22 - SLACK  # more than single precision can be off for unit vectors
     while todo:
         a, b = todo.pop()
         if a is not b and float(np.linalg.norm(a.centre - b.centre)) > a.radius + b.radius + reach + SLACK:
             continue
         if not a.kids and not b.kids or len(a.at) * len(b.at) <= LEAF * LEAF * 4:
+            if a is not b and (a.single(x) @ b.single(x).T).max() < below:
+                continue
             hit = x[a.at] @ x[b.at].T >= COSINE
             if a is b:
                 hit &= ~np.eye(len(a.at), dtype=bool)
+            if not hit.any():
+                continue
             links[a.at] += hit @ w[b.at]
             if a is not b:
                 links[b.at] += w[a.at] @ hit
