@@ -27,7 +27,7 @@ from . import textkit as tk
 from .common import stash, table
 from .jaccard import _batch, grouped
 
-K, WINDOW, GAP, LEAST_SEED, LEAST, IDENTITY, REACH, MISSES, MOST_GAP = 6, 12, 0.2, 12, 50, 0.8, 48, 2, 40
+K, WINDOW, GAP, LEAST_SEED, LEAST, IDENTITY, REACH, MISSES, MOST_GAP, PORTION = 6, 12, 0.2, 12, 50, 0.8, 48, 2, 40, 256
 
 
 def word_prints(c: tk.Chunk, roll: tk.Roller):
@@ -56,7 +56,7 @@ def minima(h: np.ndarray, bound: np.ndarray, window: int) -> np.ndarray:
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """f, doc_id, pos: the seeds of every document."""
+    """f, doc_id, at: the seeds of every document and their places in it."""
 
     def run(batches):
         roll = tk.Roller()
@@ -68,25 +68,30 @@ def seeds(docs: DataFrame) -> DataFrame:
             doc = np.searchsorted(b, at, "right") - 1
             ok = count[doc] >= K
             at, doc = at[ok], doc[ok]
-            yield _batch(f=sh[at].view(np.int64), doc_id=c.ids()[doc], pos=(at - b[doc]).astype(np.int32))
+            order = np.lexsort((at, sh[at], doc))
+            at, doc = at[order], doc[order]
+            f = sh[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (f[1:] != f[:-1])
+            first = np.flatnonzero(new)
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array((at - b[doc]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(f[first].view(np.int64)), pa.array(c.ids()[doc[first]]), places], names=["f", "doc_id", "at"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "f long, doc_id long, pos int")
+    return docs.select("doc_id", "text").mapInArrow(run, "f long, doc_id long, at array<int>")
 
 
-def _link(batches):
-    """Each seed's places to its first document: a document's nth place to the nth there (or the last)."""
-    for (f, doc, pos), cut in grouped(batches):
-        size = np.diff(cut)
-        head = np.repeat(cut[:-1], size)
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (f[1:] != f[:-1])
-        run = np.flatnonzero(new)
-        length = np.diff(np.append(run, len(doc)))
-        nth = np.arange(len(doc)) - np.repeat(run, length)
-        source = length[np.searchsorted(run, head)]
-        at = head + np.minimum(nth, source - 1)
-        ok = doc != doc[head]
-        yield _batch(doc_id=doc[ok], source_id=doc[head][ok], x=pos[ok], y=pos[at][ok])
+def links(docs: DataFrame) -> DataFrame:
+    """doc_id, source_id, x, y: each seed's places to those in its first document, the nth to the nth there (or the last).
+
+    The first document is a partial minimum, and a row per repeated seed meets the seed's rows in merge joins of written
+    tables, which AQE splits: a seed that a third of all documents hold is no single task's.
+    """
+    own = stash(seeds(docs))
+    heads = stash(own.groupBy("f").agg(F.min("doc_id").alias("source_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("f", "source_id"), large=True)
+    rows = stash(own.join(heads.hint("merge"), "f"), large=True)
+    first = stash(rows.where("doc_id = source_id").groupBy("f").agg(F.min("at").alias("there")))
+    both = rows.where("doc_id <> source_id").join(first.hint("merge"), "f").select("doc_id", "source_id", "there", F.posexplode("at").alias("nth", "x"))
+    return both.select("doc_id", "source_id", "x", F.element_at("there", F.least(F.col("nth") + 1, F.size("there"))).alias("y"))
 
 
 class Fenwick:
@@ -248,12 +253,13 @@ PASSAGES = "doc_id long, source_id long, start long, length long, source_start l
 
 def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     docs = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
-    found = seeds(docs).repartition("f").sortWithinPartitions("f", "doc_id", "pos").mapInArrow(_link, "doc_id long, source_id long, x int, y int")
-    pairs = found.repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "x", "y")
+    pairs = links(docs).repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "x", "y")
     chains = stash(pairs.mapInArrow(_chains, "doc_id long, source_id long, x0 long, x1 long, y0 long, y1 long, matched long").where(F.col("x1") - F.col("x0") >= LEAST_SEED).withColumn("id", F.xxhash64("doc_id", "source_id", "x0", "y0")), large=True)
     asked = chains.select("doc_id", F.struct("id", F.lit(0).alias("side"), F.col("x0").alias("lo"), F.col("x1").alias("hi")).alias("e")).union(chains.select("source_id", F.struct("id", F.lit(1).alias("side"), F.col("y0").alias("lo"), F.col("y1").alias("hi"))))
-    # a document that is the source of many is asked in portions
-    asked = stash(asked.groupBy("doc_id", F.pmod(F.xxhash64("e.id"), F.lit(64)).alias("part")).agg(F.collect_set("e").alias("ends")).select("doc_id", "ends"))
+    # a document that is the source of many is asked in portions of about PORTION ends
+    portions = stash(asked.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / PORTION).alias("portions")))
+    asked = asked.join(portions.hint("merge"), "doc_id").select("doc_id", F.pmod(F.xxhash64("e.id"), "portions").alias("part"), "e")
+    asked = stash(asked.groupBy("doc_id", "part").agg(F.collect_set("e").alias("ends")).select("doc_id", "ends"))
     ends = stash(asked.hint("merge").join(docs, "doc_id").select("text", "ends").mapInArrow(_ends, "id long, side int, before binary, after binary, inside binary").dropDuplicates(["id", "side"]), large=True)
     a = ends.where("side = 0").select("id", F.col("before").alias("b0"), F.col("after").alias("a0"), F.col("inside").alias("i0"))
     b = ends.where("side = 1").select("id", F.col("before").alias("b1"), F.col("after").alias("a1"), F.col("inside").alias("i1"))

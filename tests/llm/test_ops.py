@@ -315,3 +315,21 @@ def test_pipeline(spark):
     total = sum(r["length"] for r in out.collect())
     assert total == sum(r["doc_tokens"] for r in out.dropDuplicates(["doc_id"]).collect())
     assert p.run(spark, sf).agg({"length": "sum"}).first()[0] == total
+
+
+def test_links_against_brute_force(spark):
+    """Every seed's nth place goes to the nth (or last) of the first document that holds it, for a seed in all documents too."""
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(i % 7)) + " " + common + (" gap" * 3 + " " + common) * (i % 3)) for i in range(40)] + [(90, "short"), (91, ""), (92, None)]
+    docs = spark.createDataFrame(rows + [rows[5]], "doc_id long, text string")
+    places = {}
+    for r in set(map(tuple, chaining.seeds(docs).selectExpr("f", "doc_id", "explode(at) as p").collect())):
+        places.setdefault(r[0], {}).setdefault(r[1], []).append(r[2])
+    want = set()
+    for by_doc in places.values():
+        first = min(by_doc)
+        there = sorted(by_doc[first])
+        for d, own in by_doc.items():
+            want |= {(d, first, x, there[min(n, len(there) - 1)]) for n, x in enumerate(sorted(own)) if d != first}
+    got = set(map(tuple, chaining.links(docs).collect()))
+    assert got == want and len({d for d, *_ in got}) == 39
