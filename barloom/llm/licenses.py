@@ -57,6 +57,10 @@ RULES = [
     ("MPL-2.0", ["mpl_ref"]),
 ]
 
+#: Sentences and rules that the SQL, which stays as it was, does not know.
+MORE_SENTENCES = {"gpl3_plain": "this work is licensed under the gnu general public license version 3"}
+MORE_RULES = [("GPL-3.0", ["gpl3_plain"])]
+
 #: Words one of which every known sentence holds; sentences without them are not normalised.
 _HINTS = ("licens", "permission", "software", "redistribut", "neither the name", "without warranty")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,7 +70,7 @@ SPLIT = r"[\n\r]+|[.;:!?]+[ \t]+"
 def known(col):
     """The identifier of a normalised sentence, or null."""
     out = F.lit(None).cast("string")
-    for k, s in reversed(SENTENCES.items()):
+    for k, s in reversed((SENTENCES | MORE_SENTENCES).items()):
         out = F.when(col.startswith(s[:-1].rstrip()) if s.endswith("*") else col == s, k).otherwise(out)
     return out
 
@@ -83,7 +87,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     named = sentences.select("doc_id", "n", known(F.trim(F.regexp_replace("s", "[^a-z0-9]+", " "))).alias("k")).where("k is not null").distinct()
     # a document's identifiers, in order, as one text: "|a|b|c|"
     seq = named.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "k"))).alias("a"))
-    rules = F.array(*[F.struct(F.lit(r).alias("license_id"), F.array(*[F.lit(x) for x in ids]).alias("ids")) for r, ids in RULES])
+    rules = F.array(*[F.struct(F.lit(r).alias("license_id"), F.array(*[F.lit(x) for x in ids]).alias("ids")) for r, ids in RULES + MORE_RULES])
     ends = seq.select("doc_id", "a", F.explode(rules).alias("r")).select("doc_id", "a", "r.license_id", "r.ids", F.size("r.ids").alias("m"))
     at = F.filter(F.sequence(F.lit(1), F.size("a") - F.col("m") + 1), lambda i: F.transform(F.slice("a", i, F.col("m")), lambda x: x["k"]) == F.col("ids"))
     hits = ends.where("size(a) >= m").select("doc_id", "license_id", "a", "m", F.explode(at).alias("i"))

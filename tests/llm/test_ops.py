@@ -286,6 +286,19 @@ def test_licenses(spark):
     assert sorted(zip(a.doc_id, a.license_id, strict=True)) == [(0, "MIT"), (1, "MIT")]
 
 
+def test_license_lines_of_the_tables(spark):
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Released under the MIT License.": "MIT",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {(r["doc_id"], lines[x]) for r in docs.collect() for x in lines if x in (r["text"] or "")}
+    assert {x for _, x in want} == set(lines.values())
+    assert {(r["doc_id"], r["license_id"]) for r in licenses.scan_licenses(docs).collect()} == want
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for f in (suffixes.remove_repeats, jaccard.jaccard_components, katz.score_texts, chaining.passages, pack.pack_documents, licenses.scan_licenses):
