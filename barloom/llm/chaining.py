@@ -3,8 +3,8 @@
 Seeds are the window minima (of WINDOW neighbouring K-word shingles the one with the smallest fingerprint),
 so texts that share WINDOW + K - 1 words share a seed. Every seed of a document is linked to the
 first document (smallest doc_id) that holds it, not to all others: a passage in m documents makes m - 1
-links. The links of a pair of documents are chained: a Fenwick tree of prefix maxima gives, in the order of the
-documents' words, the best chain whose gaps cost GAP a word of drift between the two; the best chains are
+links. The links of a pair of documents are chained: in the order of the documents' words, each link follows the best of
+those within MOST_GAP words before it, and gaps cost GAP a word of drift between the two; the best chains are
 taken until none covers LEAST_SEED words. Chains are then aligned: between seeds by the links' words, at both ends word by
 word on the texts, through up to REACH words and MISSES of them that differ. A passage is a chain of LEAST
 words or more of which IDENTITY match.
@@ -94,70 +94,50 @@ def links(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "source_id", "x", F.element_at("there", F.least(F.col("nth") + 1, F.size("there"))).alias("y"))
 
 
-class Fenwick:
-    """Prefix maxima with their places."""
-
-    def __init__(self, n: int):
-        self.best, self.at, self.n = [float("-inf")] * (n + 1), [-1] * (n + 1), n
-
-    def put(self, i: int, v: float, k: int) -> None:
-        i += 1
-        while i <= self.n:
-            if v > self.best[i]:
-                self.best[i], self.at[i] = v, k
-            i += i & -i
-
-    def get(self, i: int) -> tuple[float, int]:
-        """Over places below i."""
-        v, k = float("-inf"), -1
-        while i > 0:
-            if self.best[i] > v:
-                v, k = self.best[i], self.at[i]
-            i -= i & -i
-        return v, k
-
-
 def chain(x: list[int], y: list[int]) -> list[list[int]]:
-    """The best chains of links (x, y ascending), best first, without common links.
+    """The best chains of links, best first, without common links; each covers LEAST_SEED words or more.
 
-    A link scores K words, less where it overlaps the link before; a gap costs GAP for each word of drift. The
-    drift |dx - dy| is dx - dy or dy - dx, so links are looked up in two trees by diagonal, on and below or on and above.
+    A link scores K words, less where it overlaps the link before; a gap costs GAP for each word of drift. A link's
+    predecessors are the links at most MOST_GAP + K words before it, a few of them, which are all looked at: links
+    further behind can neither be chained nor hide others. After a chain is taken, the links outside its words are
+    chained again, in parts that no gap bridges.
     """
-    order = sorted(range(len(x)), key=lambda i: (x[i], y[i]))
-    out, free = [], set(order)
-    while free:
-        own = [i for i in order if i in free]
-        rank = {v: r for r, v in enumerate(sorted({x[i] - y[i] for i in own}))}
-        low, high = Fenwick(len(rank)), Fenwick(len(rank))
-        score, back, best = {}, {}, -1
-        pending: list[int] = []
-        for i in own:
-            while pending and x[pending[0]] < x[i]:
-                j = pending.pop(0)
-                r, g = rank[x[j] - y[j]], x[j] - y[j]
-                low.put(r, score[j] + GAP * g, j)
-                high.put(len(rank) - 1 - r, score[j] - GAP * g, j)
-            r, g = rank[x[i] - y[i]], x[i] - y[i]
-            score[i], back[i] = float(K), -1
-            for v, j in ((low.get(r + 1)[0] - GAP * g, low.get(r + 1)[1]), (high.get(len(rank) - r)[0] + GAP * g, high.get(len(rank) - r)[1])):
-                if j >= 0 and y[j] < y[i] and x[i] - x[j] <= MOST_GAP + K and y[i] - y[j] <= MOST_GAP + K:
-                    s = v + min(K, x[i] - x[j], y[i] - y[j])
-                    if s > score[i]:
-                        score[i], back[i] = s, j
-            pending.append(i)
-            if best < 0 or score[i] > score[best]:
-                best = i
+    most = MOST_GAP + K
+    places = sorted({(a, b): i for i, (a, b) in enumerate(zip(x, y, strict=True))}.values(), key=lambda i: (x[i], y[i]))
+    out, parts = [], [places]
+    while parts:
+        part = parts.pop()
+        cut = [0, *(k for k in range(1, len(part)) if x[part[k]] - x[part[k - 1]] > most), len(part)]
+        if len(cut) > 2:
+            parts += [part[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+            continue
+        if not part or x[part[-1]] - x[part[0]] + K < LEAST_SEED:
+            continue
+        score, back, start, best, low = [], [], [], -1, 0
+        for k, i in enumerate(part):
+            xi, yi = x[i], y[i]
+            while xi - x[part[low]] > most:
+                low += 1
+            s, p = float(K), -1
+            for q in range(low, k):
+                dx, dy = xi - x[part[q]], yi - y[part[q]]
+                if dx > 0 and 0 < dy <= most and (v := score[q] + min(K, dx, dy) - GAP * abs(dx - dy)) > s:
+                    s, p = v, q
+            score.append(s)
+            back.append(p)
+            start.append(xi if p < 0 else start[p])
+            if xi - start[k] + K >= LEAST_SEED and (best < 0 or s > score[best]):
+                best = k
+        if best < 0:
+            continue
         got, k = [], best
         while k >= 0:
-            got.append(k)
+            got.append(part[k])
             k = back[k]
-        got.reverse()
-        if x[got[-1]] - x[got[0]] + K < LEAST_SEED:
-            break
-        out.append(got)
-        a, b = x[got[0]], x[got[-1]]
-        free = {i for i in free if not a <= x[i] <= b}
-    return out
+        out.append((score[best], got[::-1]))
+        a, b = x[got[-1]], x[got[0]]
+        parts.append([i for i in part if not a <= x[i] <= b])
+    return [g for _, g in sorted(out, key=lambda o: -o[0])]
 
 
 def _chains(batches):

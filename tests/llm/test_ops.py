@@ -196,6 +196,18 @@ def test_chain_takes_the_collinear_links():
     assert chaining.chain(x, y)[0] == [0, 1, 2, 3]
 
 
+def test_chain_is_not_hidden_by_a_stray():
+    body = list(range(100, 400, 10))
+    for stray in ([0], [0, 5]):
+        x = stray + body
+        assert chaining.chain(x, x)[0] == list(range(len(stray), len(x)))
+        assert chaining.chain(x, [v + (20 if v >= 100 else 0) for v in x])[0] == list(range(len(stray), len(x)))
+    # a short chain that scores more than a longer one with drift
+    assert chaining.chain([0, 5, 100, 106], [0, 5, 200, 220]) == [[2, 3]]
+    x, y = [0, 5, *range(60, 300, 12)], [0, 5, *range(60, 300, 12)]
+    assert [x[i] for i in chaining.chain(x, y)[0]] == x[2:]
+
+
 def test_pack(docs):
     from tokenizers import Tokenizer
 
