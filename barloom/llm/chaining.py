@@ -5,9 +5,9 @@ so texts that share WINDOW + K - 1 words share a seed. Every seed of a document
 first document (smallest doc_id) that holds it, not to all others: a passage in m documents makes m - 1
 links. The links of a pair of documents are chained: in the order of the documents' words, each link follows the best of
 those within MOST_GAP words before it, and gaps cost GAP a word of drift between the two; the best chains are
-taken until none covers LEAST_SEED words. Chains are then aligned: between seeds by the links' words, at both ends word by
-word on the texts, through up to REACH words and MISSES of them that differ. A passage is a chain of LEAST
-words or more of which IDENTITY match.
+taken until none covers LEAST_SEED words. Chains are then aligned on the texts: each stretch between two seeds by itself, both ends word by
+word through up to REACH words and MISSES of them that differ. A passage is a chain of LEAST
+words or more of which IDENTITY match; a chain in which fewer do is split at its largest gap and its parts are judged.
 
 Result of `passages`: a row per passage and document pair: doc_id, source_id (the earlier document), start, length (words of doc_id), source_start,
 source_length, matched. A document's passages may overlap.
@@ -145,7 +145,7 @@ def _chains(batches):
     for (doc, source, x, y), _ in grouped(batches):
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]), [True]])
         cut = np.flatnonzero(new)
-        out = []
+        out, seeds_x, seeds_y = [], [], []
         for a, b in zip(cut, cut[1:], strict=False):
             xs, ys = x[a:b], y[a:b]
             if xs.max() - xs.min() + K < LEAST_SEED:
@@ -156,11 +156,14 @@ def _chains(batches):
                 got = chain(xs.tolist(), ys.tolist())
             for g in got:
                 gx, gy = xs[list(g)], ys[list(g)]
-                m = K + int(np.minimum(np.minimum(np.diff(gx), np.diff(gy)), K).sum()) + int(sum(max(0, p - K) for p, q in zip(np.diff(gx), np.diff(gy), strict=True) if p == q))
-                out.append((doc[a], source[a], gx[0], gx[-1] + K, gy[0], gy[-1] + K, m))
+                out.append((doc[a], source[a], gx[0], gx[-1] + K, gy[0], gy[-1] + K))
+                seeds_x.append(gx - gx[0])
+                seeds_y.append(gy - gy[0])
         if out:
             o = np.array(out, np.int64).T
-            yield _batch(doc_id=o[0], source_id=o[1], x0=o[2], x1=o[3], y0=o[4], y1=o[5], matched=o[6])
+            at = np.cumsum([0, *map(len, seeds_x)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(v).astype(np.int32))) for v in (seeds_x, seeds_y)]
+            yield _batch(doc_id=o[0], source_id=o[1], x0=o[2], x1=o[3], y0=o[4], y1=o[5], xs=lists[0], ys=lists[1])
 
 
 def _ends(batches):
@@ -197,13 +200,17 @@ def same_words(a: bytes, b: bytes) -> tuple[int, int]:
     return k, int(eq[:k].sum())
 
 
-def inner_matches(a: bytes, b: bytes) -> int:
-    """Matching words of two aligned passages: greedy along a band around the diagonal (steps over up to 8 words)."""
-    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if len(a) == len(b):
-        eq = int((a == b).sum())
-        if eq >= 0.9 * len(a):
-            return eq
+def inner_matches(a: np.ndarray, b: np.ndarray) -> int:
+    """Matching words of the stretches from one seed to the next: those from both ends on, and between them, where it is more, those
+    on the diagonal or greedy along a band around it (steps over up to 8 words)."""
+    n = min(len(a), len(b))
+    eq = a[:n] == b[:n]
+    if eq.all():
+        return n
+    head = int(np.argmin(eq))
+    tail = int(np.argmin(np.append((a[::-1][: n - head] == b[::-1][: n - head]), False)))
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    diagonal = int((a == b).sum()) if len(a) == len(b) else 0
     i = j = got = 0
     while i < len(a) and j < len(b):
         run = np.flatnonzero(a[i : i + min(len(a) - i, len(b) - j)] != b[j : j + min(len(a) - i, len(b) - j)])
@@ -213,17 +220,34 @@ def inner_matches(a: bytes, b: bytes) -> int:
         if step is None:
             break
         i, j = i + step[0], j + step[1]
-    return got
-
-
-def _extend(batches):
+    return head + tail + max(got, diagonal)
+
+
+def judged(r: dict, least: int) -> set[tuple[int, int, int, int, int]]:
+    """start, length, source_start, source_length, matched: the chain with its ends, or, where too few of its words match, the parts on both sides of its largest gap, and so on."""
+    a, b = (np.concatenate([np.frombuffer(r[f"b{i}"], np.uint64)[::-1], np.frombuffer(r[f"i{i}"], np.uint64), np.frombuffer(r[f"a{i}"], np.uint64)]) for i in "01")
+    off = r["x0"] - len(r["b0"]) // 8, r["y0"] - len(r["b1"]) // 8
+    x, y = np.array(r["xs"]) + len(r["b0"]) // 8, np.array(r["ys"]) + len(r["b1"]) // 8
+    m = np.array([inner_matches(a[p:q], b[u:v]) for p, q, u, v in zip(x, x[1:], y, y[1:], strict=False)], int)
+    gap = np.maximum(np.diff(x), np.diff(y)) - m
+    total = np.append(0, np.cumsum(m))
+    out, parts = set(), [(0, len(x) - 1)]
+    while parts:
+        s, e = parts.pop()
+        x0, x1, y0, y1 = x[s], x[e] + K, y[s], y[e] + K
+        left, lm = same_words(a[max(0, x0 - REACH) : x0][::-1].tobytes(), b[max(0, y0 - REACH) : y0][::-1].tobytes())
+        right, rm = same_words(a[x1 : x1 + REACH].tobytes(), b[y1 : y1 + REACH].tobytes())
+        n, k, got = x1 - x0 + left + right, y1 - y0 + left + right, total[e] - total[s] + K + lm + rm
+        if n >= least and got >= IDENTITY * max(n, k):
+            out.add((int(x0 - left + off[0]), int(n), int(y0 - left + off[1]), int(k), int(got)))
+        elif s < e and gap[wide := s + int(np.argmax(gap[s:e]))]:
+            parts += [(s, wide), (wide + 1, e)]
+    return out
+
+
+def _extend(batches, least: int):
     for b in batches:
-        out = []
-        for r in b.to_pylist():
-            left, lm = same_words(r["b0"], r["b1"])
-            right, rm = same_words(r["a0"], r["a1"])
-            m = inner_matches(r["i0"], r["i1"])
-            out.append((r["doc_id"], r["source_id"], r["x0"] - left, r["x1"] - r["x0"] + left + right, r["y0"] - left, r["y1"] - r["y0"] + left + right, m + lm + rm))
+        out = [(r["doc_id"], r["source_id"], *x) for r in b.to_pylist() for x in sorted(judged(r, least))]
         o = np.array(out, np.int64).reshape(-1, 7).T
         yield _batch(doc_id=o[0], source_id=o[1], start=o[2], length=o[3], source_start=o[4], source_length=o[5], matched=o[6])
 
@@ -234,7 +258,7 @@ PASSAGES = "doc_id long, source_id long, start long, length long, source_start l
 def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     docs = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
     pairs = links(docs).repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "x", "y")
-    chains = stash(pairs.mapInArrow(_chains, "doc_id long, source_id long, x0 long, x1 long, y0 long, y1 long, matched long").where(F.col("x1") - F.col("x0") >= LEAST_SEED).withColumn("id", F.xxhash64("doc_id", "source_id", "x0", "y0")), large=True)
+    chains = stash(pairs.mapInArrow(_chains, "doc_id long, source_id long, x0 long, x1 long, y0 long, y1 long, xs array<int>, ys array<int>").where(F.col("x1") - F.col("x0") >= LEAST_SEED).withColumn("id", F.xxhash64("doc_id", "source_id", "x0", "y0")), large=True)
     asked = chains.select("doc_id", F.struct("id", F.lit(0).alias("side"), F.col("x0").alias("lo"), F.col("x1").alias("hi")).alias("e")).union(chains.select("source_id", F.struct("id", F.lit(1).alias("side"), F.col("y0").alias("lo"), F.col("y1").alias("hi"))))
     # a document that is the source of many is asked in portions of about PORTION ends
     portions = stash(asked.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / PORTION).alias("portions")))
@@ -243,8 +267,8 @@ def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     ends = stash(asked.hint("merge").join(docs, "doc_id").select("text", "ends").mapInArrow(_ends, "id long, side int, before binary, after binary, inside binary").dropDuplicates(["id", "side"]), large=True)
     a = ends.where("side = 0").select("id", F.col("before").alias("b0"), F.col("after").alias("a0"), F.col("inside").alias("i0"))
     b = ends.where("side = 1").select("id", F.col("before").alias("b1"), F.col("after").alias("a1"), F.col("inside").alias("i1"))
-    full = chains.join(a, "id").join(b, "id").select("doc_id", "source_id", "x0", "x1", "y0", "y1", "b0", "a0", "i0", "b1", "a1", "i1")
-    return full.mapInArrow(_extend, PASSAGES).where((F.col("length") >= least) & (F.col("matched") >= IDENTITY * F.greatest("length", "source_length")))
+    full = chains.join(a, "id").join(b, "id").select("doc_id", "source_id", "x0", "x1", "y0", "y1", "xs", "ys", "b0", "a0", "i0", "b1", "a1", "i1")
+    return full.mapInArrow(lambda batches: _extend(batches, least), PASSAGES)
 
 
 def cut_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:

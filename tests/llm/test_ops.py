@@ -208,6 +208,26 @@ def test_chain_is_not_hidden_by_a_stray():
     assert [x[i] for i in chaining.chain(x, y)[0]] == x[2:]
 
 
+def test_blocks_inside_passages(spark):
+    """Two exact halves around a block of other words are found whole, whether the block is inserted, replaced or cut out."""
+    rows, halves = [], {}
+    for half in (60, 100):
+        for n in (9, 20, 25, 32, 40):
+            for kind in ("insert", "replace", "cut"):
+                i = len(rows)
+                w = lambda k, m: [f"{k}{i}x{j}" for j in range(m)]  # noqa: B023, E731
+                a, b, other, own = w("a", half), w("b", half), w("o", n), w("p", n)
+                source = a + b if kind == "insert" else a + own + b
+                rows += [(i, " ".join(source)), (i + 1, " ".join(a + b if kind == "cut" else a + other + b))]
+                shift = 0 if kind == "cut" else n
+                halves[i + 1] = (half, half + shift)
+    got = {}
+    for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["length"]))
+    for i, (half, second) in halves.items():
+        assert {*range(half), *range(second, second + half)} <= got.get(i, set()), rows[i]
+
+
 def test_pack(docs):
     from tokenizers import Tokenizer
 
