@@ -3,7 +3,8 @@
 Seeds are the window minima (of WINDOW neighbouring K-word shingles the one with the smallest fingerprint),
 so texts that share WINDOW + K - 1 words share a seed. Every seed of a document is linked to the
 first document (smallest doc_id) that holds it, not to all others: a passage in m documents makes m - 1
-links. The links of a pair of documents are chained: in the order of the documents' words, each link follows the best of
+links. Exact passages of more than LEAST words whose seeds belong to other documents are found by
+fingerprints of LEAST words. The links of a pair of documents are chained: in the order of the documents' words, each link follows the best of
 those within MOST_GAP words before it, and gaps cost GAP a word of drift between the two; the best chains are
 taken until none covers LEAST_SEED words. Chains are then aligned on the texts: each stretch between two seeds by itself, both ends word by
 word through up to REACH words and MISSES of them that differ. A passage is a chain of LEAST
@@ -86,14 +87,100 @@ def links(docs: DataFrame) -> DataFrame:
     The first document is a partial minimum, and a row per repeated seed meets the seed's rows in merge joins of written
     tables, which AQE splits: a seed that a third of all documents hold is no single task's.
     """
+    return linked(repeated(docs))
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """f, doc_id, at, source_id: the seeds that several rows hold, and their first document."""
     own = stash(seeds(docs))
     heads = stash(own.groupBy("f").agg(F.min("doc_id").alias("source_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("f", "source_id"), large=True)
-    rows = stash(own.join(heads.hint("merge"), "f"), large=True)
+    return stash(own.join(heads.hint("merge"), "f"), large=True)
+
+
+def linked(rows: DataFrame) -> DataFrame:
     first = stash(rows.where("doc_id = source_id").groupBy("f").agg(F.min("at").alias("there")))
     both = rows.where("doc_id <> source_id").join(first.hint("merge"), "f").select("doc_id", "source_id", "there", F.posexplode("at").alias("nth", "x"))
     return both.select("doc_id", "source_id", "x", F.element_at("there", F.least(F.col("nth") + 1, F.size("there"))).alias("y"))
 
 
+def _stretches(batches):
+    """lo, hi: the stretches of a document in which all seeds are repeated, with the words around that can belong to them."""
+    for b in batches:
+        at, ids, lo, hi = b.column(1), [], [], []
+        for i, places in zip(b.column(0).to_pylist(), at, strict=True):
+            p = np.unique(places.values.to_numpy())
+            cut = np.append(np.flatnonzero(np.diff(p, prepend=-2 * WINDOW) > WINDOW), len(p))
+            a, e = p[cut[:-1]] - WINDOW + 1, p[cut[1:] - 1] + K + WINDOW - 1
+            ok = e - a > LEAST
+            ids.append(i)
+            lo.append(np.maximum(a[ok], 0).tolist())
+            hi.append(e[ok].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lo, pa.list_(pa.int32())), pa.array(hi, pa.list_(pa.int32()))], names=["doc_id", "lo", "hi"])
+
+
+def _long_keys(batches):
+    """f, doc_id, x: fingerprints of all LEAST words in the stretches."""
+    roll = tk.Roller()
+    for c in tk.chunks(batches):
+        w, _, _, bound = word_prints(c, roll)
+        parts, owner, first = [], [], []
+        los, his = (c.rows.column(c.rows.schema.get_field_index(n)).to_pylist() for n in ("lo", "hi"))
+        for i, (lo, hi) in enumerate(zip(los, his, strict=True)):
+            for a, e in zip(lo, hi, strict=True):
+                parts.append(w[bound[i] + a : min(bound[i] + e, bound[i + 1])])
+                owner.append(i)
+                first.append(a)
+        if not parts:
+            continue
+        size = np.array([len(p) for p in parts])
+        sh, b = tk.shingles(np.concatenate(parts), np.concatenate([[0], np.cumsum(size)]), LEAST)
+        part = np.repeat(np.arange(len(parts)), np.diff(b))
+        at = np.flatnonzero(size[part] >= LEAST)
+        part = part[at]
+        x = at - b[part] + np.array(first)[part]
+        yield _batch(f=sh[at].view(np.int64), doc_id=c.ids()[np.array(owner)[part]].astype(np.int64), x=x.astype(np.int64))
+
+
+def cover(start: np.ndarray, end: np.ndarray, first: int = 0) -> list[int]:
+    """Places (from `first` on) of the fewest intervals with the same union: a run of one repeated word has a diagonal at every word."""
+    out, far, best = [], -1, -1
+    for k in [*np.lexsort((-end, start)), -1]:
+        if best >= 0 and end[best] > far and (k < 0 or start[k] > far):
+            out.append(first + int(best))
+            far = end[best]
+        if k >= 0:
+            far = max(far, start[k])
+            best = k if best < 0 or end[k] > end[best] else best
+    return out
+
+
+def _diagonals(batches):
+    """Runs of long keys on one diagonal (rows sorted by document, source, diagonal and place) as passages, without those whose words others have."""
+    for (doc, source, g, x), _ in grouped(batches):
+        new = np.ones(len(x), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (g[1:] != g[:-1]) | (np.diff(x) > 1)
+        a = np.flatnonzero(new)
+        pair = np.flatnonzero(np.concatenate([[True], (doc[a][1:] != doc[a][:-1]) | (source[a][1:] != source[a][:-1]), [True]]))
+        n = x[np.append(a[1:], len(x)) - 1] + LEAST - x[a]
+        kept = np.array([k for i, j in zip(pair, pair[1:], strict=False) for k in cover(x[a[i:j]], x[a[i:j]] + n[i:j], i)], int)
+        a, n = a[kept], n[kept]
+        yield _batch(doc_id=doc[a], source_id=source[a], start=x[a], length=n, source_start=x[a] - g[a], source_length=n, matched=n)
+
+
+def exact_passages(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Exact passages of more than LEAST words by their own words, whoever holds their seeds.
+
+    The seeds of a passage may all have been in other documents before, in pieces, so that no link leads to the document with
+    the whole passage. All are repeated, though: so the stretches of repeated seeds give a key for LEAST words each, and a key's
+    first document has all of these words. `rows` is of `repeated`.
+    """
+    spans = stash(rows.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at")).mapInArrow(_stretches, "doc_id long, lo array<int>, hi array<int>").where("size(lo) > 0"), large=True)
+    keys = stash(docs.join(spans.hint("merge"), "doc_id").select("doc_id", "text", "lo", "hi").mapInArrow(_long_keys, "f long, doc_id long, x long"), large=True)
+    heads = stash(keys.groupBy("f").agg(F.min(F.struct("doc_id", "x")).alias("s"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("f", F.col("s.doc_id").alias("source_id"), F.col("s.x").alias("y")), large=True)
+    both = keys.join(heads.hint("merge"), "f").where("doc_id <> source_id").select("doc_id", "source_id", (F.col("x") - F.col("y")).alias("g"), "x")
+    return both.repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "g", "x").mapInArrow(_diagonals, PASSAGES)
+
+
 def chain(x: list[int], y: list[int]) -> list[list[int]]:
     """The best chains of links, best first, without common links; each covers LEAST_SEED words or more.
 
@@ -257,7 +344,8 @@ PASSAGES = "doc_id long, source_id long, start long, length long, source_start l
 
 def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     docs = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
-    pairs = links(docs).repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "x", "y")
+    rows = repeated(docs)
+    pairs = linked(rows).repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "x", "y")
     chains = stash(pairs.mapInArrow(_chains, "doc_id long, source_id long, x0 long, x1 long, y0 long, y1 long, xs array<int>, ys array<int>").where(F.col("x1") - F.col("x0") >= LEAST_SEED).withColumn("id", F.xxhash64("doc_id", "source_id", "x0", "y0")), large=True)
     asked = chains.select("doc_id", F.struct("id", F.lit(0).alias("side"), F.col("x0").alias("lo"), F.col("x1").alias("hi")).alias("e")).union(chains.select("source_id", F.struct("id", F.lit(1).alias("side"), F.col("y0").alias("lo"), F.col("y1").alias("hi"))))
     # a document that is the source of many is asked in portions of about PORTION ends
@@ -268,7 +356,12 @@ def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     a = ends.where("side = 0").select("id", F.col("before").alias("b0"), F.col("after").alias("a0"), F.col("inside").alias("i0"))
     b = ends.where("side = 1").select("id", F.col("before").alias("b1"), F.col("after").alias("a1"), F.col("inside").alias("i1"))
     full = chains.join(a, "id").join(b, "id").select("doc_id", "source_id", "x0", "x1", "y0", "y1", "xs", "ys", "b0", "a0", "i0", "b1", "a1", "i1")
-    return full.mapInArrow(lambda batches: _extend(batches, least), PASSAGES)
+    found = stash(full.mapInArrow(lambda batches: _extend(batches, least), PASSAGES), large=True)
+    # exact passages that lie in no passage found by chains
+    more = stash(exact_passages(docs, rows).where(F.col("length") >= least), large=True)
+    own = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("spans"))
+    inside = F.exists(F.coalesce("spans", F.array()), lambda p: (p["start"] <= F.col("start")) & (p["end"] >= F.col("start") + F.col("length")))
+    return found.unionByName(more.join(own.hint("merge"), "doc_id", "left").where(~inside).drop("spans"))
 
 
 def cut_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -228,6 +228,33 @@ def test_blocks_inside_passages(spark):
         assert {*range(half), *range(second, second + half)} <= got.get(i, set()), rows[i]
 
 
+def test_stolen_seeds(spark):
+    """Exact passages of 51 to 62 words of which earlier documents hold all pieces are found, against brute force."""
+    g, rows = random.Random(8), []
+    own = lambda n: [f"u{len(rows)}x{g.random()}" for _ in range(n)]
+    for k in range(51, 63):
+        p = own(k)
+        for middle in ((1, k - 1), (5, 54), (0, 49), (k - 49, k)) if k % 2 else ((0, 49), (k - 49, k), (6, 54)):
+            rows.append((len(rows), " ".join(own(8) + p[slice(*middle)][:49] + own(8))))
+        rows += [(len(rows) + i, " ".join(own(n) + p + own(9))) for i, n in enumerate((3, 17))]
+    a, b, c = own(48), own(47), own(49)
+    for line in (a, b, c):
+        rows.append((len(rows), " ".join(own(5) + line + own(5))))
+    rows += [(len(rows) + i, " ".join(own(n) + a + b + c + own(4))) for i, n in enumerate((4, 11))]
+    t, first, need = {i: x.split() for i, x in rows}, {}, {}
+    for i in sorted(t):
+        for k in range(len(t[i]) - 50):
+            if first.setdefault(tuple(t[i][k : k + 51]), i) != i:
+                need.setdefault(i, set()).update(range(k, k + 51))
+    got = {}
+    for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["length"]))
+        assert r["source_id"] < r["doc_id"] and r["start"] >= 0 and r["source_start"] >= 0
+    assert len(need) == 13
+    for i in need:
+        assert need[i] <= got.get(i, set()), i
+
+
 def test_pack(docs):
     from tokenizers import Tokenizer
 
