@@ -5,6 +5,8 @@ runs of other characters than letters and digits to one space), and normalised s
 identifiers. A document's identifiers in order are then matched against ordered rules: a rule holds where its
 identifiers follow each other with no other known sentence between.
 
+A line that goes on in the next one (a hard-wrapped text) is also tried with the lines that follow it. The SQL does not do so.
+
 A known sentence may be followed by more words only where it ends in a star. Null and empty texts have no sentences
 and no rows, and so have rows without a doc_id; repeated rows give repeated results only for equal doc_ids counted once. Result: a row per
 document and rule found: doc_id, license_id, n_matches, first_sentence, last_sentence.
@@ -61,30 +63,44 @@ RULES = [
 MORE_SENTENCES = {"gpl3_plain": "this work is licensed under the gnu general public license version 3"}
 MORE_RULES = [("GPL-3.0", ["gpl3_plain"])]
 
-#: Words one of which every known sentence holds; sentences without them are not normalised.
-_HINTS = ("licens", "permission", "software", "redistribut", "neither the name", "without warranty")
+#: Words one of which every known sentence holds (single ones: a line may end after each); first words, without which no sentence is known.
+_ALL = SENTENCES | MORE_SENTENCES
+_HINTS = sorted({"licens" if "licens" in s else max(s.split(), key=len) for s in _ALL.values()})
+_FIRST = "^[^a-z0-9]*(" + "|".join(sorted({s.split()[0] for s in _ALL.values()})) + ")([^a-z0-9]|$)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"[\n\r]+|[.;:!?]+[ \t]+"
+#: A line end inside a sentence: after no sentence end, and before a line with words. The next line is marked, and a sentence may go on through
+#: as many marked lines as a known one has words.
+WRAP, MARK, LINES = r"(?<![.;:!?\r\n])(\r\n|\n|\r)(?![^a-z0-9\n\r]*(?:[\n\r]|$))", "\x01", max(len(s.split()) for s in _ALL.values())
 
 
 def known(col):
     """The identifier of a normalised sentence, or null."""
     out = F.lit(None).cast("string")
-    for k, s in reversed((SENTENCES | MORE_SENTENCES).items()):
+    for k, s in reversed(_ALL.items()):
         out = F.when(col.startswith(s[:-1].rstrip()) if s.endswith("*") else col == s, k).otherwise(out)
     return out
 
 
+def known_wrapped(col):
+    """The same of a sentence whose lines are joined by marks; it may end at each."""
+    out = F.lit(None).cast("string")
+    for k, s in reversed(_ALL.items()):
+        body = f"[ {MARK}]+".join(s.removesuffix("*").split())
+        out = F.when(col.rlike(f"^[ {MARK}]*{body}" + ("" if s.endswith("*") else f"(?: *{MARK}| *$)")), k).otherwise(out)
+    return out
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    low = F.translate("text", _UPPER, _LOWER)
+    low = F.translate("text", _UPPER + MARK, _LOWER + ",")
     hint = F.lit(False)
     for h in _HINTS:
         hint = hint | F.col("low").contains(h)
-    in_sentence = F.lit(False)
-    for h in _HINTS:
-        in_sentence = in_sentence | F.col("s").contains(h)
-    sentences = docs.where("doc_id is not null").select("doc_id", low.alias("low")).where(hint).select("doc_id", F.posexplode(F.split("low", SPLIT)).alias("n", "s")).where(in_sentence)
-    named = sentences.select("doc_id", "n", known(F.trim(F.regexp_replace("s", "[^a-z0-9]+", " "))).alias("k")).where("k is not null").distinct()
+    parts = docs.where("doc_id is not null").select("doc_id", low.alias("low")).where(hint).select("doc_id", F.split(F.regexp_replace("low", WRAP, f"$1{MARK}"), SPLIT).alias("p"))
+    # each piece as it is, and with the marked lines after it
+    lines = parts.select("doc_id", "p", F.posexplode("p").alias("n", "s")).where(F.col("s").rlike(_FIRST)).select("doc_id", "n", "s", F.array_join(F.slice("p", F.col("n") + 1, LINES), "\x02").alias("t"))
+    joined = F.regexp_extract("t", f"^[^\x02]*(?:\x02{MARK}[^\x02]*)*", 0)
+    named = lines.select("doc_id", "n", F.coalesce(known(F.trim(F.regexp_replace("s", "[^a-z0-9]+", " "))), known_wrapped(F.regexp_replace(joined, f"[^a-z0-9{MARK}]+", " "))).alias("k")).where("k is not null").distinct()
     # a document's identifiers, in order, as one text: "|a|b|c|"
     seq = named.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "k"))).alias("a"))
     rules = F.array(*[F.struct(F.lit(r).alias("license_id"), F.array(*[F.lit(x) for x in ids]).alias("ids")) for r, ids in RULES + MORE_RULES])

@@ -358,6 +358,20 @@ def test_license_lines_of_the_tables(spark):
     assert {(r["doc_id"], r["license_id"]) for r in licenses.scan_licenses(docs).collect()} == want
 
 
+def test_wrapped_licenses(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 X\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions.\n\n3. Neither the name of X\n"
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY"
+    x = "X is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License. This program is distributed in the hope that it will be useful."
+    t = [mit, bsd, apache, gpl, x, apache.split("You may obtain")[1], mit.replace("\n", "\r\n"), "\n".join(" * " + y for y in gpl.split("\n")), "of this software\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n\nof this software"]
+    want = [{"MIT"}, {"BSD-2-Clause", "BSD-3-Clause"}, {"Apache-2.0"}, {"GPL"}, {"GPL"}, set(), {"MIT"}, {"GPL"}, set()]
+    got = {}
+    for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license_id"])
+    assert [got.get(i, set()) for i in range(len(t))] == want
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for f in (suffixes.remove_repeats, jaccard.jaccard_components, katz.score_texts, chaining.passages, pack.pack_documents, licenses.scan_licenses):
