@@ -1,8 +1,7 @@
 """op4: Katz backoff language model (bigrams over unigrams), counted and evaluated in partitioned tables.
 
 Tokens are words and one end a text, the history of a text's first token is a start. Bigrams seen CUTOFF
-times or more in training are discounted by Good and Turing (counts up to RELIABLE; rarer ones leave all their mass to
-the backoff, the usual count cutoff); unigrams likewise, the unseen mass is the unknown word's. The backoff weight of a
+times or more in training, so all of them, are discounted by Good and Turing (counts up to RELIABLE); unigrams likewise, the unseen mass is the unknown word's. The backoff weight of a
 history is the mass its bigrams leave over the unigram mass of words not among them, so every
 distribution sums to 1 over the V training tokens and the unknown one.
 
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import stash, table
 
-BLOCK, CUTOFF, RELIABLE = 3 << 18, 2, 7
+BLOCK, CUTOFF, RELIABLE = 3 << 18, 1, 7
 _END, _START = np.uint64(1), np.uint64(2)
 MESSAGE = "p int, block long, kind int, keys binary, a binary, b binary"
 

@@ -372,6 +372,25 @@ def test_wrapped_licenses(spark):
     assert [got.get(i, set()) for i in range(len(t))] == want
 
 
+def test_katz_keeps_bigrams_seen_once(spark):
+    """Singletons are discounted by n2 / n1, with the formula written out."""
+    train = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 1]
+    t = {i: f"a b c{k % 9} d{k % 5} e{k}" for k, i in enumerate(train)}
+    bi = Counter(b for x in t.values() for b in zip(["<s>", *x.split()], [*x.split(), "</s>"], strict=True))
+    n = Counter(bi.values())
+    common = 8 * n[8] / n[1]
+    d1 = (2 * n[2] / n[1] - common) / (1 - common)
+    d1 = d1 if 0.1 < d1 < 1 else 0.5
+    once = [b for b in bi if bi[b] == 1 and b[1].startswith("e")]
+    assert once and katz.discounts(dict(n), katz.CUTOFF)[1] == pytest.approx(d1)
+    got = {r["doc_id"]: r["score"] for r in katz.score_texts(spark.createDataFrame(list(t.items()), "doc_id long, text string")).collect()}
+    hist = Counter(w for x in t.values() for w in x.split())
+    disc = lambda c: 1 if c > 7 else katz.discounts(dict(n), 1)[c]
+    seen = lambda a, b: bi[a, b] * disc(bi[a, b]) / (len(t) if a == "<s>" else hist[a])
+    for i, x in t.items():
+        assert got[i] == pytest.approx(sum(math.log10(seen(*b)) for b in zip(["<s>", *x.split()], [*x.split(), "</s>"], strict=True)))
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for f in (suffixes.remove_repeats, jaccard.jaccard_components, katz.score_texts, chaining.passages, pack.pack_documents, licenses.scan_licenses):
