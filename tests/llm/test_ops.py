@@ -334,6 +334,15 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(odd, *toxicity.learn(docs, labels.limit(0))).where("score >= 0.7").count() == 0
 
 
+def test_toxicity_of_spaced_and_long_tokens(spark):
+    sf = "/root/testdata/sf0.1"
+    model = toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    bad = ["you are a i d i o t", "you a.i.d.i.o.t", "you i" + "d" * 50 + "iot", "what a i d i o t you are", "you are an i d i o t s o b e it"]
+    odd = spark.createDataFrame(list(enumerate([*bad, "plan a b c d of the ball", "a " + "l" * 50])), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(odd, *model).collect()}
+    assert [got[i] >= toxicity.THRESHOLD for i in range(len(got))] == [True] * len(bad) + [False] * 2
+
+
 def test_licenses(spark):
     t = ["A. Released under the MIT License.\nB", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", None, "", "license"]
     docs = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
