@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,48 +25,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, but only if the executors are threads of the driver (tests)."""
     sc = spark.sparkContext
     if d := sc.getConf().get("spark.checkpoint.dir", None):
         return d
     if not (d := sc.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
         d = sc.getCheckpointDir()
     return d
 
 
-def stash(df: DataFrame, large: bool = False) -> DataFrame:
+#: Lets Spark delete a query's shuffle files when it ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stash(df: DataFrame, keep: bool = False) -> DataFrame:
     """`df` written once to the shared folder and read back: later steps reread it instead of computing it again, also after executors are lost.
 
-    large: its shuffle files are worth deleting at once.
+    keep: it outlives `scratch`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    del df
-    if large:
-        release(spark)
-    return spark.read.schema(schema).parquet(path)
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_OPEN: list[list[str]] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now; it does so only when the driver collects garbage, which may be long after."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes what is stashed inside once it ends. What it returns must be written before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a long, b long): node, component (its smallest node).
 
-    Large-star / small-star rounds on written tables; a round that changes nothing ends them. Hubs are
+    Large-star / small-star rounds on written tables, until one changes nothing. Hubs are
     aggregated with partial minima, so no node's neighbours meet in one task.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e, seen = stash(e), None
-    for _ in range(most_rounds):
+    while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = stash(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # every neighbour of a node, and the node, learn the node's smallest neighbour (both sides come
@@ -78,6 +94,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         e = stash(big.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
-            break
+            return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
         seen = mark
-    return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
