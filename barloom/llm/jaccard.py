@@ -6,14 +6,15 @@ puts shingles that many documents share (the FREQUENT most frequent of those tha
 task) last, and is by fingerprint otherwise. Index lists are the sets under such a prefix shingle, in
 blocks by size and with the shingle's position:
 
-- Blocks whose sizes or positions cannot reach the overlap are skipped as a whole, and so are pairs that share too
+- Blocks of a list whose sizes or positions cannot reach the overlap are skipped as a whole, and so are pairs that share too
   few prefix shingles to reach it with all shingles beyond.
 - A list of more than PAIRWISE sets is first compared with one hub only, the set with the fewest rare shingles.
   Sets linked to one hub are one component, so most long lists are answered by the hub's answers.
 - Lists that then still hold several components are compared across components only, and from the hub's
   overlaps (Jaccard distance is a metric: |d(x, hub) - d(y, hub)| <= d(x, y)) pairs that cannot link are skipped.
-  Where more pairs are left than twice the list's sets, no pair is listed: the list's sets join the hub's family, whose
-  overlaps are computed together, block by block, and only a spanning forest of the links comes back.
+  Where more pairs are left than twice the list's sets, no pair is listed: the list's sets join the hub's family. There one set's
+  overlaps with all others are counted, and the overlaps of each other set are derived from these and its differences to that set,
+  which are few; only a spanning forest of the links comes back.
 
 Before any text is read again, pairs are pruned by odd sketches (Mitzenmacher, Pagh and Pham 2014): one bit for each
 bucket of shingles, whether the set has an odd number there. Bits that differ are at most the shingles that differ, so a
@@ -23,8 +24,9 @@ So no link between components is lost, and the components are exact. Set ids and
 fingerprints; candidates are verified on the whole sets.
 
 Null, empty and wordless texts: n_shingles 0, linked with nothing. Fewer words than WIDTH: one shingle of all.
-Equal texts and repeated rows link. Rows without a
-doc_id take no part and have no row. Empty table: no rows. Other columns are ignored.
+Equal texts and repeated rows link. Rows with one doc_id are told apart by a hash of their texts: each is linked by its own text,
+and component_id is the smallest doc_id of its group. Rows without a doc_id take no part and have no row. Empty table: no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,8 +95,32 @@ def _need(n, m, share):
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id."""
+    own = grouped_rows(docs, width, share, text, doc_id)
+    low = stash(own.where("sid <> 0").groupBy("c").agg(F.min("doc_id").alias("low")))
+    return own.join(low, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid") == 0, F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of `docs`, all columns: of each group of linked rows the one with the smallest doc_id (and text hash) stays. Rows without words or without a doc_id stay."""
+    own = grouped_rows(docs, width, share, text, doc_id)
+    first = own.where("sid <> 0").groupBy("c").agg(F.min(F.struct("doc_id", "v")).alias("k")).select("k.*")
+    rows = own.groupBy("doc_id", "v").agg(F.count(F.lit(1)).alias("n"), F.max("sid").alias("sid"))
+    # how many rows a kept text of a doc_id has: copies of one row
+    keep = stash(rows.where("sid = 0").select("doc_id", "v", F.lit(1).alias("n")).union(rows.join(first, ["doc_id", "v"]).select("doc_id", "v", "n")))
+    keep = keep.select(F.col("doc_id").alias("__barloom_id"), F.col("v").alias("__barloom_v"), F.col("n").alias("__barloom_n"))
+    names, here = docs.columns, (F.col(doc_id) == F.col("__barloom_id")) & (F.hash(F.col(text)) == F.col("__barloom_v"))
+    stay = docs.join(keep.where("__barloom_n = 1").hint("merge"), here, "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
+    copies = keep.where("__barloom_n > 1")
+    if copies.limit(1).count():
+        more = docs.join(copies.hint("merge"), here).dropDuplicates(["__barloom_id", "__barloom_v"]).select(*names)
+        stay = stay.unionByName(more)
+    return stay
+
+
+def grouped_rows(docs: DataFrame, width: int = WIDTH, share: int = SHARE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, v (a hash of the text), n, sid (set id; 0: no words), c (the group: one of its set ids), of every row with a doc_id."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.hash(F.col(text)).alias("v"), F.col(text).alias("text")).where("doc_id is not null")
 
     def repeated(batches):
         seen, counts, n = [], [], 0
@@ -151,10 +177,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
             d = d[k]
             yield _batch(f=tok[k].view(np.int64), sid=sid[d], n=n[d].astype(np.int32), pos=p[k].astype(np.int32), rare=rare[d].astype(np.int32))
 
-    sets = stash(docs.mapInArrow(_ids_only(width), "doc_id long, sid long, n long, sketch binary"))
+    sets = stash(docs.mapInArrow(_ids_only(width), "doc_id long, v int, sid long, n long, sketch binary"))
     lists = docs.mapInArrow(index, "f long, sid long, n int, pos int, rare int").repartition("f").sortWithinPartitions("f", "n", "sid")
     found = lists.mapInArrow(_lists(share), "kind int, f long, a long, b long, n int, m int, c int")
-    found = stash(found.groupBy("kind", "f", "a", "b", "n", "m").agg(F.sum("c").alias("c")), large=True)
+    found = stash(found.groupBy("kind", "f", "a", "b", "n", "m").agg(F.sum("c").alias("c")))
     long = found.where("kind = 1")
     # prefix shingles that two sets share, in short lists (counted) and in long ones (compared): the overlap is no more
     # than these and what either set has beyond its prefix
@@ -163,7 +189,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
     shared = F.col("c") + F.coalesce(F.size(F.array_intersect("fa", "fb")), F.lit(0))
     beyond = F.greatest(F.ceil(F.greatest("n", "m") * share / 100), F.lit(1)) - 1
     likely = counted.where(shared + beyond >= F.ceil(share * (F.col("n") + F.col("m")) / (100 + share))).select("a", "b")
-    first_id = stash(sets.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    first_id = stash(sets.where("sid <> 0").groupBy("sid").agg(F.min(F.struct("doc_id", "v")).alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     def near(pairs: DataFrame) -> DataFrame:
         """a, b: the pairs that their sketches allow to link."""
@@ -183,10 +209,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
         of = of.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("sid"), F.greatest("ka", "kb").alias("k"))
         of = of.withColumn("part", F.pmod(F.xxhash64("sid"), F.ceil(F.col("k") / PARTNERS)))
         asked = of.select("hub", "part", "sid").union(of.select("hub", "part", F.col("hub").alias("sid")).distinct())
-        asked = stash(asked.join(first_id.select("sid", "id"), "sid").select("hub", "part", "sid", F.col("id").alias("doc_id")))
-        texts = docs.join(asked.hint("merge"), "doc_id").select("hub", "part", (F.col("sid") != F.col("hub")).alias("other"), "sid", "text")
-        dealt = texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "other")
-        return stash(dealt.mapInArrow(_overlap(width), "a long, b long, n int, m int, both int"), large=True)
+        asked = stash(asked.join(first_id.select("sid", "id"), "sid").select("hub", "part", "sid", "id.*"))
+        texts = docs.join(asked.hint("merge"), ["doc_id", "v"]).select("hub", "part", (F.col("sid") != F.col("hub")).alias("other"), "sid", "text")
+        dealt = texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "other", "sid")
+        return stash(dealt.mapInArrow(_overlap(width), "a long, b long, n int, m int, both int"))
 
     def families(members: DataFrame, comp: DataFrame) -> DataFrame:
         """a, b: links between components inside each hub's family; its texts are compared in blocks, a task for each pair of parts of about PART members."""
@@ -195,10 +221,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
         m = members.join(size, "hub").join(comp.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("mine", F.pmod(F.xxhash64("a", "hub"), "parts"))
         m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         m = m.select("hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", F.col("a").alias("sid"), F.coalesce("component", "a").alias("c"))
-        asked = stash(m.join(first_id.select("sid", "id"), "sid").select("hub", "i", "j", "mine", "sid", "c", F.col("id").alias("doc_id")))
-        texts = docs.join(asked.hint("merge"), "doc_id").select("hub", "i", "j", "mine", "sid", "c", "text")
+        asked = stash(m.join(first_id.select("sid", "id"), "sid").select("hub", "i", "j", "mine", "sid", "c", "id.*"))
+        texts = docs.join(asked.hint("merge"), ["doc_id", "v"]).select("hub", "i", "j", "mine", "sid", "c", "text")
         dealt = texts.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-        return stash(dealt.mapInArrow(_family(width, share), "a long, b long"), large=True)
+        return stash(dealt.mapInArrow(_family(width, share), "a long, b long"))
 
     def links(v: DataFrame) -> DataFrame:
         return v.where(F.col("both") * 100 >= share * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
@@ -214,13 +240,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
         known = known.select("f", "a", "b", "n", "pos", F.coalesce("component", "a").alias("c"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")).alias("d"))
         several = stash(known.groupBy("f").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("f"))
         rest = stash(known).join(several, "f").repartition("f").sortWithinPartitions("f", "n", "a")
-        left = stash(rest.mapInArrow(_across(share), "a long, b long, family boolean").distinct(), large=True)
+        left = stash(rest.mapInArrow(_across(share), "a long, b long, family boolean").distinct())
         v2 = verify(near(left.where("not family").select("a", "b")))
         comp = components(links(v1).union(links(v2)).union(families(left.where("family").select("a", F.col("b").alias("hub")), comp)))
-    own = sets.select("doc_id", "sid", "n").join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", "sid", F.coalesce("component", "sid").alias("c"))
-    own = stash(own)
-    low = stash(own.where("sid <> 0").groupBy("c").agg(F.min("doc_id").alias("low")))
-    return own.join(low, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid") == 0, F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+    return stash(sets.select("doc_id", "v", "sid", "n").join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "v", "n", "sid", F.coalesce("component", "sid").alias("c")))
 
 
 def _batch(**cols) -> pa.RecordBatch:
@@ -232,7 +255,7 @@ def _ids_only(width):
         roll = tk.Roller()
         for c in tk.chunks(batches):
             sh, bound = sets_of(c, roll, width)
-            yield _batch(doc_id=c.ids(), sid=set_ids(sh, bound), n=np.diff(bound).astype(np.int64), sketch=sketches(sh, bound))
+            yield _batch(doc_id=c.ids(), v=c.ids("v"), sid=set_ids(sh, bound), n=np.diff(bound).astype(np.int64), sketch=sketches(sh, bound))
 
     return run
 
@@ -254,7 +277,7 @@ def _overlap(width):
     """Overlaps of hubs with their partners (rows sorted by hub and part, the hub first)."""
 
     def run(batches):
-        roll, hub, own, part = tk.Roller(), None, None, None
+        roll, hub, own, part, last = tk.Roller(), None, None, None, None
         for c in tk.chunks(batches):
             sh, bound = sets_of(c, roll, width)
             hubs, parts, sids = c.ids("hub"), c.ids("part"), c.ids("sid")
@@ -262,8 +285,9 @@ def _overlap(width):
             for i in range(len(c)):
                 x = sh[bound[i] : bound[i + 1]]
                 if hubs[i] == sids[i]:
-                    hub, part, own = hubs[i], parts[i], x
-                elif (hubs[i], parts[i]) == (hub, part):
+                    hub, part, own, last = hubs[i], parts[i], x, None
+                elif (hubs[i], parts[i]) == (hub, part) and sids[i] != last:  # copies of one row come together
+                    last = sids[i]
                     at = np.minimum(np.searchsorted(own, x), len(own) - 1)
                     out.append((hub, sids[i], len(own), len(x), int((own[at] == x).sum())))
             o = np.array(out, np.int64).reshape(-1, 5).T
@@ -272,7 +296,34 @@ def _overlap(width):
     return run
 
 
-def _family(width, share, columns: int = 4096):
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Overlaps of all sets with all. Those of the first are counted; the others' are derived from them: a set overlaps another as the first does,
+    and by one more or less for each shingle of the other that only the set or only the first has. Shingles that all sets have drop out."""
+    n = np.array([len(x) for x in sets])
+    u, at, freq = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    first = np.zeros(len(u), bool)
+    first[at[: n[0]]] = True
+    answers = np.bincount(row, first[at], len(sets))
+    differ = (freq < len(sets)) & ((freq > 1) | first)
+    dense = np.cumsum(differ) - 1
+    ok = differ[at]
+    row, col = row[ok], dense[at[ok]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    own = first[differ]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, len(own), columns):
+        lo, hi = np.searchsorted(col, [k, k + columns])
+        m = np.zeros((len(sets), min(columns, len(own) - k)), np.float32)
+        m[row[lo:hi], col[lo:hi] - k] = 1
+        both += (m - own[k : k + columns].astype(np.float32)) @ m.T
+    both = np.rint(both + answers[None, :]).astype(np.int64)
+    np.fill_diagonal(both, n)  # shingles of one set alone were left out
+    return both
+
+
+def _family(width, share):
     """Links between components among the sets of a family's part pair (rows sorted by it), as a spanning forest."""
 
     def run(batches):
@@ -282,20 +333,7 @@ def _family(width, share, columns: int = 4096):
             sets = [x for x, _, _, _ in held]
             n = np.array([len(x) for x in sets])
             sid, comp, mine = (np.array(v) for v in zip(*((b, c, m) for _, b, c, m in held), strict=True))
-            u, at, freq = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            row = np.repeat(np.arange(len(sets)), n)
-            dense = np.cumsum(freq > 1) - 1
-            ok = freq[at] > 1
-            row, col = row[ok], dense[at[ok]]
-            order = np.argsort(col, kind="stable")
-            row, col = row[order], col[order]
-            both = np.zeros((len(sets), len(sets)), np.float32)
-            for k in range(0, int(dense[-1]) + 1 if len(dense) else 0, columns):
-                lo, hi = np.searchsorted(col, [k, k + columns])
-                m = np.zeros((len(sets), columns), np.float32)
-                m[row[lo:hi], col[lo:hi] - k] = 1
-                both += m @ m.T
-            both = np.rint(both).astype(np.int64)
+            both = overlaps(sets)
             ok = (100 * both >= share * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :])
             if key[1] != key[2]:  # pairs within a part belong to another task
                 ok &= mine[:, None] != mine[None, :]
@@ -412,6 +450,11 @@ def reachable(n, i, m, j, share):
     return (np.minimum(n, m) * 100 >= share * np.maximum(n, m)) & (np.minimum(n - i, m - j) >= _need(n, m, share) - np.minimum(i, j))
 
 
+def block_bound(n, i, m, j) -> int:
+    """The most that any sets of two blocks can overlap, from the blocks' largest sizes and how far apart their places of the shared shingle are."""
+    return min(int(n.max()) - max(0, int(i.min()) - int(j.max())), int(m.max()) - max(0, int(j.min()) - int(i.max())))
+
+
 def _across(share, block: int = 512):
     """Pairs of a list's sets from different components that may link; blocks by size and hub distance are skipped as a whole."""
 
@@ -423,7 +466,7 @@ def _across(share, block: int = 512):
                 at = np.arange(lo, hi)
                 if len(np.unique(comp[at])) < 2:
                     continue
-                at = at[np.lexsort((sid[at], n[at]))]
+                at = at[np.lexsort((sid[at], pos[at], n[at]))]
                 own, count = [], 0
                 for p in range(0, len(at), block):
                     x = at[p : p + block]
@@ -431,6 +474,8 @@ def _across(share, block: int = 512):
                         y = at[q : q + block]
                         if n[x].max() * 100 < share * n[y].min():  # and all later blocks are larger
                             break
+                        if block_bound(n[x], pos[x], n[y], pos[y]) < _need(int(n[x].min()), int(n[y].min()), share):
+                            continue
                         ok = (comp[x][:, None] != comp[y][None, :]) & reachable(n[x][:, None], pos[x][:, None], n[y][None, :], pos[y][None, :], share)
                         gap = np.abs(d[x][:, None] - d[y][None, :])
                         i, j = np.nonzero(ok & ~(gap > far))
