@@ -2,14 +2,14 @@
 
 Texts are split to sentences (at line ends and after . ; : ! ? before white space), sentences are normalised (A-Z to lower case,
 runs of other characters than letters and digits to one space), and normalised sentences that are known become
-identifiers. A document's identifiers in order are then matched against ordered rules: a rule holds where its
+identifiers. A sentence that a line end cuts (no sentence end before it, and words in the next line) is also tried with the
+lines that follow it, so hard-wrapped texts are found; blank lines end sentences. A known sentence that ends in a star may be followed by more words.
+A document's identifiers in order are then matched against ordered rules: a rule holds where its
 identifiers follow each other with no other known sentence between.
 
-A line that goes on in the next one (a hard-wrapped text) is also tried with the lines that follow it. The SQL does not do so.
-
-A known sentence may be followed by more words only where it ends in a star. Null and empty texts have no sentences
-and no rows, and so have rows without a doc_id; repeated rows give repeated results only for equal doc_ids counted once. Result: a row per
-document and rule found: doc_id, license_id, n_matches, first_sentence, last_sentence.
+Result: a row per document and licence found: doc_id, license_id, n_matches, first_sentence, last_sentence (places of the
+first and last sentence of its matches, from 0). Null and empty texts have no sentences and no rows; rows without a doc_id take no part. Copies of one row
+(same doc_id and text) count once; rows with one doc_id and different texts have results of their own. Very long texts are read whole. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,98 +19,159 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Normalised sentences of public licences, by identifier. A final star: any end.
+#: Normalised sentences of public licences, by identifier. A final star: any end. Of several that hold the first counts.
 SENTENCES = {
     "mit_ref": "released under the mit license",
     "mit_ref2": "licensed under the mit license *",
     "mit_title": "the mit license mit",
     "mit_title2": "mit license",
+    "mit_title3": "the mit license",
     "mit_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software *",
     "mit_notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "as_is": "the software is provided as is without warranty of any kind *",
+    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted *",
+    "isc_grant2": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted *",
+    "isc_as_is": "the software is provided as is and the author disclaims all warranties *",
+    "isc_title": "isc license *",
     "apache_ref": "licensed under the apache license version 2 0 *",
+    "apache_title": "apache license version 2 0 january 2004 *",
     "apache_use": "you may not use this file except in compliance with the license",
     "apache_copy": "you may obtain a copy of the license at *",
     "apache_dist": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis *",
     "gpl3_ref": "this work is licensed under the gnu general public license version 3 0 *",
+    "gpl3_plain": "this work is licensed under the gnu general public license version 3",
+    "gpl3_title": "gnu general public license version 3 29 june 2007 *",
+    "gpl2_title": "gnu general public license version 2 june 1991 *",
+    "lgpl3_title": "gnu lesser general public license version 3 29 june 2007 *",
+    "lgpl21_title": "gnu lesser general public license version 2 1 february 1999 *",
+    "agpl3_title": "gnu affero general public license version 3 19 november 2007 *",
+    "gpl3_terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license *",
+    "gpl2_terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license *",
     "gpl_terms": "you can redistribute it and or modify it under the terms of the gnu general public license *",
+    "lgpl3_terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license *",
+    "lgpl21_terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license *",
+    "agpl3_terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license *",
     "gpl_free": "this program is free software",
+    "lgpl_free": "this library is free software",
     "gpl_hope": "this program is distributed in the hope that it will be useful *",
+    "lgpl_hope": "this library is distributed in the hope that it will be useful *",
     "ccbync_ref": "licensed under cc by nc 4 0 *",
     "ccby_ref": "licensed under cc by 4 0 *",
     "ccbysa_ref": "licensed under cc by sa 4 0 *",
+    "ccby_long": "this work is licensed under a creative commons attribution 4 0 international license *",
+    "ccbync_long": "this work is licensed under a creative commons attribution noncommercial 4 0 international license *",
+    "ccbysa_long": "this work is licensed under a creative commons attribution sharealike 4 0 international license *",
+    "cc0_title": "cc0 1 0 universal *",
+    "cc0_waive": "to the extent possible under law the author has waived all copyright *",
     "bsd_redist": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd_source": "redistributions of source code must retain the above copyright notice *",
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice *",
     "bsd_names": "neither the name of *",
-    "mpl_ref": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "spdx_mit": "spdx license identifier mit",
-    "spdx_apache": "spdx license identifier apache 2 0",
-    "spdx_gpl3": "spdx license identifier gpl 3 0 *",
+    "mpl_ref": "this source code form is subject to the terms of the mozilla public license v *",
+    "mpl_title": "mozilla public license version 2 0 *",
+    "epl_ref": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 *",
+    "epl_ref2": "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0 *",
+    "epl_title": "eclipse public license v 2 0 *",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "boost_title": "boost software license version 1 0 17th august 2003 *",
+    "boost_ref": "distributed under the boost software license version 1 0 *",
+    "zlib_warranty": "this software is provided as is without any express or implied warranty",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose *",
+    "spdx": "spdx license identifier",
+    "id_mit": "mit",
+    "id_apache": "apache 2 0",
+    "id_gpl3": "gpl 3 0 only",
+    "id_gpl3_later": "gpl 3 0 or later",
+    "id_gpl2": "gpl 2 0 only",
+    "id_gpl2_later": "gpl 2 0 or later",
+    "id_lgpl3": "lgpl 3 0 or later",
+    "id_agpl3": "agpl 3 0 or later",
+    "id_bsd2": "bsd 2 clause",
+    "id_bsd3": "bsd 3 clause",
+    "id_isc": "isc",
+    "id_mpl": "mpl 2 0",
+    "id_epl": "epl 2 0",
+    "id_boost": "bsl 1 0",
+    "id_unlicense": "unlicense",
+    "id_cc0": "cc0 1 0",
 }
 
 #: Rules, each a licence and its sentences in order.
 RULES = [
-    ("MIT", ["mit_ref"]), ("MIT", ["mit_ref2"]), ("MIT", ["mit_grant", "mit_notice"]), ("MIT", ["mit_title", "mit_grant"]), ("MIT", ["mit_title2", "mit_grant"]), ("MIT", ["spdx_mit"]),
-    ("Apache-2.0", ["apache_ref"]), ("Apache-2.0", ["apache_use", "apache_copy", "apache_dist"]), ("Apache-2.0", ["spdx_apache"]),
-    ("GPL-3.0", ["gpl3_ref"]), ("GPL-3.0", ["spdx_gpl3"]), ("GPL", ["gpl_free", "gpl_terms"]), ("GPL", ["gpl_terms", "gpl_hope"]),
-    ("CC-BY-NC-4.0", ["ccbync_ref"]), ("CC-BY-4.0", ["ccby_ref"]), ("CC-BY-SA-4.0", ["ccbysa_ref"]),
-    ("BSD-2-Clause", ["bsd_redist", "bsd_source", "bsd_binary"]), ("BSD-3-Clause", ["bsd_source", "bsd_binary", "bsd_names"]),
-    ("MPL-2.0", ["mpl_ref"]),
+    ("MIT", ["mit_ref"]), ("MIT", ["mit_ref2"]), ("MIT", ["mit_grant", "mit_notice"]), ("MIT", ["mit_title", "mit_grant"]), ("MIT", ["mit_title2", "mit_grant"]), ("MIT", ["mit_title3", "mit_grant"]), ("MIT", ["spdx", "id_mit"]),
+    ("ISC", ["isc_grant", "isc_as_is"]), ("ISC", ["isc_grant2", "isc_as_is"]), ("ISC", ["isc_title", "isc_grant"]), ("ISC", ["isc_title", "isc_grant2"]), ("ISC", ["spdx", "id_isc"]),
+    ("Apache-2.0", ["apache_ref"]), ("Apache-2.0", ["apache_title"]), ("Apache-2.0", ["apache_use", "apache_copy", "apache_dist"]), ("Apache-2.0", ["spdx", "id_apache"]),
+    ("GPL-3.0", ["gpl3_ref"]), ("GPL-3.0", ["gpl3_plain"]), ("GPL-3.0", ["gpl3_title"]), ("GPL-3.0", ["gpl3_terms"]), ("GPL-3.0", ["spdx", "id_gpl3"]), ("GPL-3.0", ["spdx", "id_gpl3_later"]),
+    ("GPL-2.0", ["gpl2_title"]), ("GPL-2.0", ["gpl2_terms"]), ("GPL-2.0", ["spdx", "id_gpl2"]), ("GPL-2.0", ["spdx", "id_gpl2_later"]), ("GPL", ["gpl_free", "gpl_terms"]), ("GPL", ["gpl_terms", "gpl_hope"]),
+    ("LGPL-3.0", ["lgpl3_title"]), ("LGPL-3.0", ["lgpl3_terms"]), ("LGPL-3.0", ["spdx", "id_lgpl3"]), ("LGPL-2.1", ["lgpl21_title"]), ("LGPL-2.1", ["lgpl21_terms"]),
+    ("AGPL-3.0", ["agpl3_title"]), ("AGPL-3.0", ["agpl3_terms"]), ("AGPL-3.0", ["spdx", "id_agpl3"]),
+    ("CC-BY-NC-4.0", ["ccbync_ref"]), ("CC-BY-4.0", ["ccby_ref"]), ("CC-BY-SA-4.0", ["ccbysa_ref"]), ("CC-BY-4.0", ["ccby_long"]), ("CC-BY-NC-4.0", ["ccbync_long"]), ("CC-BY-SA-4.0", ["ccbysa_long"]),
+    ("CC0-1.0", ["cc0_title"]), ("CC0-1.0", ["cc0_waive"]), ("CC0-1.0", ["spdx", "id_cc0"]),
+    ("BSD-2-Clause", ["bsd_redist", "bsd_source", "bsd_binary"]), ("BSD-3-Clause", ["bsd_source", "bsd_binary", "bsd_names"]), ("BSD-2-Clause", ["spdx", "id_bsd2"]), ("BSD-3-Clause", ["spdx", "id_bsd3"]),
+    ("MPL-2.0", ["mpl_ref"]), ("MPL-2.0", ["mpl_title"]), ("MPL-2.0", ["spdx", "id_mpl"]),
+    ("EPL-2.0", ["epl_ref"]), ("EPL-2.0", ["epl_ref2"]), ("EPL-2.0", ["epl_title"]), ("EPL-2.0", ["spdx", "id_epl"]),
+    ("Unlicense", ["unlicense"]), ("Unlicense", ["spdx", "id_unlicense"]), ("BSL-1.0", ["boost_title"]), ("BSL-1.0", ["boost_ref"]), ("BSL-1.0", ["spdx", "id_boost"]), ("Zlib", ["zlib_warranty", "zlib_grant"]),
 ]
 
-#: Sentences and rules that the SQL, which stays as it was, does not know.
-MORE_SENTENCES = {"gpl3_plain": "this work is licensed under the gnu general public license version 3"}
-MORE_RULES = [("GPL-3.0", ["gpl3_plain"])]
 
-#: Words one of which every known sentence holds (single ones: a line may end after each); first words, without which no sentence is known.
-_ALL = SENTENCES | MORE_SENTENCES
-_HINTS = sorted({"licens" if "licens" in s else max(s.split(), key=len) for s in _ALL.values()})
-_FIRST = "^[^a-z0-9]*(" + "|".join(sorted({s.split()[0] for s in _ALL.values()})) + ")([^a-z0-9]|$)"
+def _hint(sentence: str) -> str:
+    """A word that texts with a sentence hold (one word: a line may end after each)."""
+    return "licens" if "licens" in sentence else max(sentence.split(), key=len)
+
+
+#: One of these is in every text in which a rule holds; first words, without which no sentence is known.
+_HINTS = sorted({min((_hint(SENTENCES[i]) for i in ids), key=lambda h: (h != "licens", -len(h))) for _, ids in RULES})
+_FIRST = "^[^a-z0-9]*(" + "|".join(sorted({s.split()[0] for s in SENTENCES.values()})) + ")([^a-z0-9]|$)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"[\n\r]+|[.;:!?]+[ \t]+"
 #: A line end inside a sentence: after no sentence end, and before a line with words. The next line is marked, and a sentence may go on through
 #: as many marked lines as a known one has words.
-WRAP, MARK, LINES = r"(?<![.;:!?\r\n])(\r\n|\n|\r)(?![^a-z0-9\n\r]*(?:[\n\r]|$))", "\x01", max(len(s.split()) for s in _ALL.values())
+WRAP, MARK, CUT, LINES = r"(?<![.;:!?\r\n])(\r\n|\n|\r)(?![^a-z0-9\n\r]*(?:[\n\r]|$))", "\x01", "\x02", max(len(s.split()) for s in SENTENCES.values())
+
+
+def _body(sentence: str) -> str:
+    """Pattern of a normalised sentence whose lines are joined by marks; it may end at each."""
+    words = f"[ {MARK}]+".join(sentence.removesuffix("*").split())
+    return f"^[ {MARK}]*{words}" + (f"(?:[ {MARK}]|$)" if sentence.endswith("*") else f"(?: *{MARK}| *$)")
 
 
 def known(col):
     """The identifier of a normalised sentence, or null."""
     out = F.lit(None).cast("string")
-    for k, s in reversed(_ALL.items()):
-        out = F.when(col.startswith(s[:-1].rstrip()) if s.endswith("*") else col == s, k).otherwise(out)
+    for k, s in reversed(SENTENCES.items()):
+        out = F.when(F.concat(col, F.lit(" ")).startswith(s[:-1].rstrip() + " ") if s.endswith("*") else col == s, k).otherwise(out)
     return out
 
 
 def known_wrapped(col):
-    """The same of a sentence whose lines are joined by marks; it may end at each."""
     out = F.lit(None).cast("string")
-    for k, s in reversed(_ALL.items()):
-        body = f"[ {MARK}]+".join(s.removesuffix("*").split())
-        out = F.when(col.rlike(f"^[ {MARK}]*{body}" + ("" if s.endswith("*") else f"(?: *{MARK}| *$)")), k).otherwise(out)
+    for k, s in reversed(SENTENCES.items()):
+        out = F.when(col.rlike(_body(s)), k).otherwise(out)
     return out
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    low = F.translate("text", _UPPER + MARK, _LOWER + ",")
+def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("v"), F.translate(F.col(text), _UPPER + MARK + CUT, _LOWER + ",,").alias("low"))
     hint = F.lit(False)
     for h in _HINTS:
         hint = hint | F.col("low").contains(h)
-    parts = docs.where("doc_id is not null").select("doc_id", low.alias("low")).where(hint).select("doc_id", F.split(F.regexp_replace("low", WRAP, f"$1{MARK}"), SPLIT).alias("p"))
+    parts = docs.where(hint).select("doc_id", "v", F.split(F.regexp_replace("low", WRAP, f"$1{MARK}"), SPLIT).alias("p"))
     # each piece as it is, and with the marked lines after it
-    lines = parts.select("doc_id", "p", F.posexplode("p").alias("n", "s")).where(F.col("s").rlike(_FIRST)).select("doc_id", "n", "s", F.array_join(F.slice("p", F.col("n") + 1, LINES), "\x02").alias("t"))
-    joined = F.regexp_extract("t", f"^[^\x02]*(?:\x02{MARK}[^\x02]*)*", 0)
-    named = lines.select("doc_id", "n", F.coalesce(known(F.trim(F.regexp_replace("s", "[^a-z0-9]+", " "))), known_wrapped(F.regexp_replace(joined, f"[^a-z0-9{MARK}]+", " "))).alias("k")).where("k is not null").distinct()
-    # a document's identifiers, in order, as one text: "|a|b|c|"
-    seq = named.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "k"))).alias("a"))
-    rules = F.array(*[F.struct(F.lit(r).alias("license_id"), F.array(*[F.lit(x) for x in ids]).alias("ids")) for r, ids in RULES + MORE_RULES])
-    ends = seq.select("doc_id", "a", F.explode(rules).alias("r")).select("doc_id", "a", "r.license_id", "r.ids", F.size("r.ids").alias("m"))
+    lines = parts.select("doc_id", "v", "p", F.posexplode("p").alias("n", "s")).where(F.col("s").rlike(_FIRST)).select("doc_id", "v", "n", "s", F.array_join(F.slice("p", F.col("n") + 1, LINES), CUT).alias("t"))
+    joined = F.regexp_replace(F.regexp_extract("t", f"^[^{CUT}]*(?:{CUT}{MARK}[^{CUT}]*)*", 0), f"[^a-z0-9{MARK}]+", " ")
+    one = F.trim(F.regexp_replace("s", "[^a-z0-9]+", " "))
+    goes_on = F.col("t").contains(CUT + MARK)
+    named = lines.select("doc_id", "v", "n", F.coalesce(known(one), F.when(goes_on, known_wrapped(joined))).alias("k")).where("k is not null").distinct()
+    seq = named.groupBy("doc_id", "v").agg(F.sort_array(F.collect_list(F.struct("n", "k"))).alias("a"))
+    rules = F.array(*[F.struct(F.lit(r).alias("license_id"), F.array(*[F.lit(x) for x in ids]).alias("ids")) for r, ids in RULES])
+    ends = seq.select("doc_id", "v", "a", F.explode(rules).alias("r")).select("doc_id", "v", "a", "r.license_id", "r.ids", F.size("r.ids").alias("m"))
     at = F.filter(F.sequence(F.lit(1), F.size("a") - F.col("m") + 1), lambda i: F.transform(F.slice("a", i, F.col("m")), lambda x: x["k"]) == F.col("ids"))
-    hits = ends.where("size(a) >= m").select("doc_id", "license_id", "a", "m", F.explode(at).alias("i"))
+    hits = ends.where("size(a) >= m").select("doc_id", "v", "license_id", "a", "m", F.explode(at).alias("i"))
     return (
-        hits.select("doc_id", "license_id", F.element_at("a", F.col("i"))["n"].alias("f"), F.element_at("a", F.col("i") + F.col("m") - 1)["n"].alias("l"))
-        .groupBy("doc_id", "license_id")
+        hits.select("doc_id", "v", "license_id", F.element_at("a", F.col("i"))["n"].alias("f"), F.element_at("a", F.col("i") + F.col("m") - 1)["n"].alias("l"))
+        .groupBy("doc_id", "v", "license_id")
         .agg(F.count(F.lit(1)).alias("n_matches"), F.min("f").cast("long").alias("first_sentence"), F.max("l").cast("long").alias("last_sentence"))
+        .drop("v")
     )
 
 
@@ -119,18 +180,23 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    case = " ".join(f"WHEN {f"starts_with(s, '{s[:-1].rstrip()}')" if s.endswith('*') else f"s = '{s}'"} THEN '{k}'" for k, s in SENTENCES.items())
-    rules = " UNION ALL ".join(f"SELECT {i} AS rule, '{r}' AS license_id, {ids!r} AS ids" for i, (r, ids) in enumerate(RULES))
+    """The same in SQL without look-around: lines are marked in two passes, as a line of one character is the end of one match and the start of the next."""
+    case = " ".join(f"WHEN {f"starts_with(s || ' ', '{s[:-1].rstrip()} ')" if s.endswith('*') else f"s = '{s}'"} THEN '{k}'" for k, s in SENTENCES.items())
+    wrapped = " ".join(f"WHEN regexp_matches(j, '{_body(s)}') THEN '{k}'" for k, s in SENTENCES.items())
+    rules = " UNION ALL ".join(f"SELECT '{r}' AS license_id, {ids!r} AS ids" for r, ids in RULES)
+    mark = f"'(^|[^.;:!?\\r\\n])(\\r\\n|\\n|\\r)([^a-z0-9\\n\\r{MARK}]*[a-z0-9])', '\\1\\2{MARK}\\3', 'g'"
     return f"""
-    WITH parts AS (SELECT doc_id, regexp_split_to_array(translate(text, '{_UPPER}', '{_LOWER}'), '{SPLIT}') AS p FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-    one AS (SELECT doc_id, unnest(range(len(p))) AS n, unnest(p) AS s FROM parts),
-    norm AS (SELECT doc_id, n, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS s FROM one),
-    named AS (SELECT DISTINCT doc_id, n, CASE {case} END AS k FROM norm),
-    num AS (SELECT doc_id, n, k, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) AS i FROM named WHERE k IS NOT NULL),
-    seq AS (SELECT doc_id, list(k ORDER BY i) AS ks, list(n ORDER BY i) AS ns FROM num GROUP BY doc_id),
+    WITH low AS (SELECT DISTINCT doc_id, text, translate(text, '{_UPPER + MARK + CUT}', '{_LOWER},,') AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+    parts AS (SELECT doc_id, text, regexp_split_to_array(regexp_replace(regexp_replace(t, {mark}), {mark}), '{SPLIT}') AS p FROM low),
+    one AS (SELECT doc_id, text, p, unnest(range(len(p))) AS n FROM parts),
+    begun AS (SELECT doc_id, text, n, p[n + 1] AS raw, array_to_string(p[n + 1 : n + {LINES}], '{CUT}') AS t FROM one WHERE regexp_matches(p[n + 1], '{_FIRST}')),
+    norm AS (SELECT doc_id, text, n, trim(regexp_replace(raw, '[^a-z0-9]+', ' ', 'g')) AS s, contains(t, '{CUT}{MARK}') AS more,
+     regexp_replace(regexp_extract(t, '^[^{CUT}]*(?:{CUT}{MARK}[^{CUT}]*)*', 0), '[^a-z0-9{MARK}]+', ' ', 'g') AS j FROM begun),
+    named AS (SELECT doc_id, text, n, coalesce(CASE {case} END, CASE WHEN more THEN CASE {wrapped} END END) AS k FROM norm),
+    seq AS (SELECT doc_id, text, list(k ORDER BY n) AS ks, list(n ORDER BY n) AS ns FROM named WHERE k IS NOT NULL GROUP BY doc_id, text),
     rules AS ({rules}),
-    hits AS (SELECT doc_id, license_id, ns[i] AS f, ns[i + len(ids) - 1] AS l FROM seq, rules, unnest(range(1, len(ks) - len(ids) + 2)) AS u(i) WHERE ks[i : i + len(ids) - 1] = ids)
-    SELECT doc_id, license_id, count(*) AS n_matches, min(f)::BIGINT AS first_sentence, max(l)::BIGINT AS last_sentence FROM hits GROUP BY doc_id, license_id
+    hits AS (SELECT doc_id, text, license_id, ns[i] AS f, ns[i + len(ids) - 1] AS l FROM seq, rules, unnest(range(1, len(ks) - len(ids) + 2)) AS u(i) WHERE ks[i : i + len(ids) - 1] = ids)
+    SELECT doc_id, license_id, count(*) AS n_matches, min(f)::BIGINT AS first_sentence, max(l)::BIGINT AS last_sentence FROM hits GROUP BY doc_id, text, license_id
     """
 
 
