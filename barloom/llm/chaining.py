@@ -4,17 +4,19 @@ Seeds are the window minima (of WINDOW neighbouring K-word shingles the one with
 so texts that share WINDOW + K - 1 words share a seed. Every seed of a document is linked to the
 first document (smallest doc_id) that holds it, not to all others: a passage in m documents makes m - 1
 links. Exact passages of more than LEAST words whose seeds belong to other documents are found by
-fingerprints of LEAST words. The links of a pair of documents are chained: in the order of the documents' words, each link follows the best of
-those within MOST_GAP words before it, and gaps cost GAP a word of drift between the two; the best chains are
-taken until none covers LEAST_SEED words. Chains are then aligned on the texts: each stretch between two seeds by itself, both ends word by
-word through up to REACH words and MISSES of them that differ. A passage is a chain of LEAST
+fingerprints of LEAST words. The links of a pair of documents are chained: in the order of one document's words, each link follows the best of
+the links before it in both, where a gap costs GAP for each of its words in either document (so the best is a prefix maximum, which a Fenwick tree
+over the other document's words keeps); the best chains are taken until none covers LEAST_SEED words. Links that no others lie near (MOST_GAP words)
+are chained apart, so that a stray link hides nothing; chains in a row with gaps of at most BRIDGE words are then joined. Chains are aligned on the
+texts: each stretch between two seeds by itself, both ends word by word as long as more match than not. A passage is a chain of LEAST
 words or more of which IDENTITY match; a chain in which fewer do is split at its largest gap and its parts are judged.
 
 Result of `passages`: a row per passage and document pair: doc_id, source_id (the earlier document), start, length (words of doc_id), source_start,
 source_length, matched. A document's passages may overlap.
 
 Null, empty and short texts have no seeds and no rows. Repeats within one document are not reported (op1 does
-that). Rows with the same doc_id are taken for one document. Rows without a doc_id take no part. Empty table: no rows. Other columns are ignored.
+that). Rows with one doc_id and different texts are told apart by a hash of their texts (all but one of them come last in the order of documents);
+copies of one row are one document. Rows without a doc_id take no part. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from . import textkit as tk
 from .common import stash, table
 from .jaccard import _batch, grouped
 
-K, WINDOW, GAP, LEAST_SEED, LEAST, IDENTITY, REACH, MISSES, MOST_GAP, PORTION = 6, 12, 0.2, 12, 50, 0.8, 48, 2, 40, 256
+K, WINDOW, GAP, LEAST_SEED, LEAST, IDENTITY, REACH, MOST_GAP, BRIDGE, PORTION = 6, 12, 0.04, 12, 50, 0.8, 96, 40, 150, 256
+#: What a differing word takes from an end's score (a matching one adds 1), and how far below its best an end is followed.
+MISS, DROP = 1.5, 9.0
 
 
 def word_prints(c: tk.Chunk, roll: tk.Roller):
@@ -93,8 +97,8 @@ def links(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """f, doc_id, at, source_id: the seeds that several rows hold, and their first document."""
     own = stash(seeds(docs))
-    heads = stash(own.groupBy("f").agg(F.min("doc_id").alias("source_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("f", "source_id"), large=True)
-    return stash(own.join(heads.hint("merge"), "f"), large=True)
+    heads = stash(own.groupBy("f").agg(F.min("doc_id").alias("source_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("f", "source_id"))
+    return stash(own.join(heads.hint("merge"), "f"))
 
 
 def linked(rows: DataFrame) -> DataFrame:
@@ -174,20 +178,41 @@ def exact_passages(docs: DataFrame, rows: DataFrame) -> DataFrame:
     the whole passage. All are repeated, though: so the stretches of repeated seeds give a key for LEAST words each, and a key's
     first document has all of these words. `rows` is of `repeated`.
     """
-    spans = stash(rows.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at")).mapInArrow(_stretches, "doc_id long, lo array<int>, hi array<int>").where("size(lo) > 0"), large=True)
-    keys = stash(docs.join(spans.hint("merge"), "doc_id").select("doc_id", "text", "lo", "hi").mapInArrow(_long_keys, "f long, doc_id long, x long"), large=True)
-    heads = stash(keys.groupBy("f").agg(F.min(F.struct("doc_id", "x")).alias("s"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("f", F.col("s.doc_id").alias("source_id"), F.col("s.x").alias("y")), large=True)
+    spans = stash(rows.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at")).mapInArrow(_stretches, "doc_id long, lo array<int>, hi array<int>").where("size(lo) > 0"))
+    keys = stash(docs.join(spans.hint("merge"), "doc_id").select("doc_id", "text", "lo", "hi").mapInArrow(_long_keys, "f long, doc_id long, x long"))
+    heads = stash(keys.groupBy("f").agg(F.min(F.struct("doc_id", "x")).alias("s"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("f", F.col("s.doc_id").alias("source_id"), F.col("s.x").alias("y")))
     both = keys.join(heads.hint("merge"), "f").where("doc_id <> source_id").select("doc_id", "source_id", (F.col("x") - F.col("y")).alias("g"), "x")
     return both.repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "g", "x").mapInArrow(_diagonals, PASSAGES)
 
 
+class Best:
+    """Fenwick tree of prefix maxima: the largest value, and whose it is, at places up to one."""
+
+    def __init__(self, n: int):
+        self.value, self.owner = [-1e18] * (n + 1), [-1] * (n + 1)
+
+    def put(self, place: int, value: float, owner: int) -> None:
+        k = place + 1
+        while k < len(self.value):
+            if value > self.value[k]:
+                self.value[k], self.owner[k] = value, owner
+            k += k & -k
+
+    def before(self, place: int) -> tuple[float, int]:
+        """Of the places before this one."""
+        value, owner, k = -1e18, -1, place
+        while k > 0:
+            if self.value[k] > value:
+                value, owner = self.value[k], self.owner[k]
+            k -= k & -k
+        return value, owner
+
+
 def chain(x: list[int], y: list[int]) -> list[list[int]]:
     """The best chains of links, best first, without common links; each covers LEAST_SEED words or more.
 
-    A link scores K words, less where it overlaps the link before; a gap costs GAP for each word of drift. A link's
-    predecessors are the links at most MOST_GAP + K words before it, a few of them, which are all looked at: links
-    further behind can neither be chained nor hide others. After a chain is taken, the links outside its words are
-    chained again, in parts that no gap bridges.
+    A link scores K, less GAP for each word of both documents between it and its predecessor. After a chain is taken, the links outside
+    its words are chained again, in parts that lie more than MOST_GAP + K words apart.
     """
     most = MOST_GAP + K
     places = sorted({(a, b): i for i, (a, b) in enumerate(zip(x, y, strict=True))}.values(), key=lambda i: (x[i], y[i]))
@@ -200,20 +225,21 @@ def chain(x: list[int], y: list[int]) -> list[list[int]]:
             continue
         if not part or x[part[-1]] - x[part[0]] + K < LEAST_SEED:
             continue
-        score, back, start, best, low = [], [], [], -1, 0
+        rank = {v: r for r, v in enumerate(sorted({y[i] for i in part}))}
+        tree, held = Best(len(rank)), []
+        score, back, start, best = [], [], [], -1
         for k, i in enumerate(part):
-            xi, yi = x[i], y[i]
-            while xi - x[part[low]] > most:
-                low += 1
-            s, p = float(K), -1
-            for q in range(low, k):
-                dx, dy = xi - x[part[q]], yi - y[part[q]]
-                if dx > 0 and 0 < dy <= most and (v := score[q] + min(K, dx, dy) - GAP * abs(dx - dy)) > s:
-                    s, p = v, q
-            score.append(s)
-            back.append(p)
-            start.append(xi if p < 0 else start[p])
-            if xi - start[k] + K >= LEAST_SEED and (best < 0 or s > score[best]):
+            if held and x[part[held[0]]] < x[i]:  # links of one place cannot follow each other
+                for q in held:
+                    tree.put(rank[y[part[q]]], score[q] + GAP * (x[part[q]] + y[part[q]]), q)
+                held = []
+            v, p = tree.before(rank[y[i]])
+            v -= GAP * (x[i] + y[i])
+            score.append(K + max(v, 0.0))
+            back.append(p if v > 0 else -1)
+            start.append(start[p] if v > 0 else x[i])
+            held.append(k)
+            if x[i] - start[k] + K >= LEAST_SEED and (best < 0 or score[k] > score[best]):
                 best = k
         if best < 0:
             continue
@@ -227,6 +253,17 @@ def chain(x: list[int], y: list[int]) -> list[list[int]]:
     return [g for _, g in sorted(out, key=lambda o: -o[0])]
 
 
+def bridged(chains: list, x, y) -> list[list[int]]:
+    """Chains of one pair, those in a row in both documents with gaps of at most BRIDGE words joined."""
+    out: list[list[int]] = []
+    for g in sorted((list(g) for g in chains), key=lambda g: x[g[0]]):
+        if out and all(0 < v[g[0]] - v[out[-1][-1]] <= BRIDGE + K for v in (x, y)):
+            out[-1] += g
+        else:
+            out.append(g)
+    return out
+
+
 def _chains(batches):
     """Chains of every pair of documents (rows sorted by pair)."""
     for (doc, source, x, y), _ in grouped(batches):
@@ -240,7 +277,7 @@ def _chains(batches):
             if (np.diff(xs) > 0).all() and (np.diff(xs) == np.diff(ys)).all() and (b - a < 2 or np.diff(xs).max() <= MOST_GAP + K):
                 got = [range(b - a)]  # one diagonal
             else:
-                got = chain(xs.tolist(), ys.tolist())
+                got = bridged(chain(xs.tolist(), ys.tolist()), xs, ys)
             for g in got:
                 gx, gy = xs[list(g)], ys[list(g)]
                 out.append((doc[a], source[a], gx[0], gx[-1] + K, gy[0], gy[-1] + K))
@@ -272,18 +309,18 @@ def _ends(batches):
 
 
 def same_words(a: bytes, b: bytes) -> tuple[int, int]:
-    """How far two word lists can be followed with at most MISSES different words, ending in an equal one; words that match."""
+    """How far two word lists match, and how many words do: up to the best score, while the score stays within DROP of the best so far."""
     a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     n = min(len(a), len(b))
+    if not n:
+        return 0, 0
     eq = a[:n] == b[:n]
-    miss = np.cumsum(~eq)
-    # a word after a miss counts only with two more equal words beside it
-    ok = eq & (miss <= MISSES)
-    ok[1:] &= eq[:-1] | (miss[1:] == 0)
-    far = np.flatnonzero(ok)
-    if not len(far):
+    score = np.cumsum(np.where(eq, 1.0, -MISS))
+    over = np.flatnonzero(np.maximum(np.maximum.accumulate(score), 0) - score > DROP)
+    end = int(over[0]) if len(over) else n
+    if not end or score[:end].max() <= 0:
         return 0, 0
-    k = int(far[-1]) + 1
+    k = int(np.argmax(score[:end])) + 1
     return k, int(eq[:k].sum())
 
 
@@ -342,46 +379,84 @@ def _extend(batches, least: int):
 PASSAGES = "doc_id long, source_id long, start long, length long, source_start long, source_length long, matched long"
 
 
-def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
+#: Rows whose doc_id another text has come after all plain ids.
+LATER = 1 << 62
+
+
+def with_ids(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, bool]:
+    """`docs` with __barloom_id, which is the doc_id, but for rows whose doc_id another text has too; whether there are such rows. Rows without a doc_id have none."""
+    v = F.hash(F.col(text))
+    shared = stash(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("__barloom_of"), v.alias("v")).groupBy("__barloom_of").agg(F.min("v").alias("__barloom_v"), F.max("v").alias("hi")).where("__barloom_v <> hi").drop("hi"))
+    if not shared.limit(1).count():
+        return docs.withColumn("__barloom_id", F.col(doc_id).cast("long")), False
+    other = F.col("__barloom_v").isNotNull() & (F.col("__barloom_v") != v)
+    later = F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("long"), v), 2) + F.lit(LATER)
+    both = docs.join(shared.hint("merge"), F.col(doc_id) == F.col("__barloom_of"), "left")
+    return both.withColumn("__barloom_id", F.when(other, later).otherwise(F.col(doc_id).cast("long"))).select(*docs.columns, "__barloom_id"), True
+
+
+def passages(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    rows, some = with_ids(docs, text, doc_id)
+    out = passages_of(rows.select(F.col("__barloom_id").alias("doc_id"), F.col(text).alias("text")), least)
+    if not some:
+        return out
+    own = rows.where(F.col("__barloom_id") >= LATER).select("__barloom_id", F.col(doc_id).alias("__barloom_own")).distinct()
+    for name in ("doc_id", "source_id"):
+        out = out.join(own.withColumnRenamed("__barloom_id", name), name, "left").withColumn(name, F.coalesce("__barloom_own", name)).drop("__barloom_own")
+    return out.selectExpr(*[x.split()[0] for x in PASSAGES.split(", ")])
+
+
+def passages_of(docs: DataFrame, least: int = LEAST) -> DataFrame:
     docs = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
     rows = repeated(docs)
     pairs = linked(rows).repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "x", "y")
-    chains = stash(pairs.mapInArrow(_chains, "doc_id long, source_id long, x0 long, x1 long, y0 long, y1 long, xs array<int>, ys array<int>").where(F.col("x1") - F.col("x0") >= LEAST_SEED).withColumn("id", F.xxhash64("doc_id", "source_id", "x0", "y0")), large=True)
+    chains = stash(pairs.mapInArrow(_chains, "doc_id long, source_id long, x0 long, x1 long, y0 long, y1 long, xs array<int>, ys array<int>").where(F.col("x1") - F.col("x0") >= LEAST_SEED).withColumn("id", F.xxhash64("doc_id", "source_id", "x0", "y0")))
     asked = chains.select("doc_id", F.struct("id", F.lit(0).alias("side"), F.col("x0").alias("lo"), F.col("x1").alias("hi")).alias("e")).union(chains.select("source_id", F.struct("id", F.lit(1).alias("side"), F.col("y0").alias("lo"), F.col("y1").alias("hi"))))
     # a document that is the source of many is asked in portions of about PORTION ends
     portions = stash(asked.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / PORTION).alias("portions")))
     asked = asked.join(portions.hint("merge"), "doc_id").select("doc_id", F.pmod(F.xxhash64("e.id"), "portions").alias("part"), "e")
     asked = stash(asked.groupBy("doc_id", "part").agg(F.collect_set("e").alias("ends")).select("doc_id", "ends"))
-    ends = stash(asked.hint("merge").join(docs, "doc_id").select("text", "ends").mapInArrow(_ends, "id long, side int, before binary, after binary, inside binary").dropDuplicates(["id", "side"]), large=True)
+    ends = stash(asked.hint("merge").join(docs, "doc_id").select("text", "ends").mapInArrow(_ends, "id long, side int, before binary, after binary, inside binary").dropDuplicates(["id", "side"]))
     a = ends.where("side = 0").select("id", F.col("before").alias("b0"), F.col("after").alias("a0"), F.col("inside").alias("i0"))
     b = ends.where("side = 1").select("id", F.col("before").alias("b1"), F.col("after").alias("a1"), F.col("inside").alias("i1"))
     full = chains.join(a, "id").join(b, "id").select("doc_id", "source_id", "x0", "x1", "y0", "y1", "xs", "ys", "b0", "a0", "i0", "b1", "a1", "i1")
-    found = stash(full.mapInArrow(lambda batches: _extend(batches, least), PASSAGES), large=True)
+    found = stash(full.mapInArrow(lambda batches: _extend(batches, least), PASSAGES))
     # exact passages that lie in no passage found by chains
-    more = stash(exact_passages(docs, rows).where(F.col("length") >= least), large=True)
+    more = stash(exact_passages(docs, rows).where(F.col("length") >= least))
     own = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("spans"))
     inside = F.exists(F.coalesce("spans", F.array()), lambda p: (p["start"] <= F.col("start")) & (p["end"] >= F.col("start") + F.col("length")))
     return found.unionByName(more.join(own.hint("merge"), "doc_id", "left").where(~inside).drop("spans"))
 
 
-def cut_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """`docs` without the words of `spans` (doc_id, start, length); other texts stay as they are, byte for byte."""
-    by_doc = stash(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "length")).alias("spans")))
+def cut_passages(docs: DataFrame, spans: DataFrame, text: str = "text", doc_id: str = "doc_id", drop_empty: bool = False) -> DataFrame:
+    """`docs`, all columns, without the words of `spans` (doc_id, start, length); other texts stay as they are, byte for byte. drop_empty: rows that lose all their words go."""
+    by_doc = stash(spans.groupBy(F.col("doc_id").alias("__barloom_of")).agg(F.collect_set(F.struct("start", "length")).alias("__barloom_spans")))
     names = docs.columns
 
     def cut(batches):
         for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            cuts = b.column(b.schema.get_field_index("spans")).to_pylist()
+            of = b.schema.get_field_index
+            texts = b.column(of(text)).to_pylist()
+            cuts = b.column(of("__barloom_spans")).to_pylist()
+            stay = np.ones(b.num_rows, bool)
             for i, s in enumerate(cuts):
                 if s and texts[i]:
                     texts[i] = without(texts[i], [(r["start"], r["start"] + r["length"]) for r in s])
-            cols = [pa.array(texts, b.schema.field("text").type) if n == "text" else b.column(b.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                    stay[i] = not drop_empty or bool(tk.WORDS[np.frombuffer(texts[i].encode(), np.uint8)].any())
+            cols = [pa.array(texts, b.schema.field(text).type) if n == text else b.column(of(n)) for n in names]
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(stay))
 
     # only documents with passages go through Python
-    hit = docs.join(by_doc.hint("merge"), "doc_id").mapInArrow(cut, docs.schema)
-    return docs.join(by_doc.select("doc_id").hint("merge"), "doc_id", "left_anti").select(*names).unionByName(hit)
+    here = F.col(doc_id) == F.col("__barloom_of")
+    hit = docs.join(by_doc.hint("merge"), here).mapInArrow(cut, docs.schema)
+    return docs.join(by_doc.select("__barloom_of").hint("merge"), here, "left_anti").select(*names).unionByName(hit)
+
+
+def cut_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """`docs`, all columns, where only the first document of each passage keeps it; rows that lose all their words go, rows without a doc_id stay as they are."""
+    rows, _ = with_ids(docs, text, doc_id)
+    found = passages_of(rows.select(F.col("__barloom_id").alias("doc_id"), F.col(text).alias("text")))
+    return cut_passages(rows, found.select("doc_id", "start", "length"), text, "__barloom_id", True).drop("__barloom_id")
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
