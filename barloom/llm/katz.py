@@ -178,15 +178,15 @@ def count_keys(messages: DataFrame) -> DataFrame:
             sizes = np.array([len(k) for k in keys])
             u, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             total = np.bincount(at, np.concatenate([unplanes(r["a"], np.uint32) for r in rows]), len(u)).astype(np.int64)
-            out = (np.minimum(total, (1 << 31) - 1) * 2)[at]
+            out = (total * 2)[at]
             out[first] += 1
             end = np.cumsum(sizes)
-            yield _answers(p, rows, [planes(out[e - s : e].astype(np.uint32)) for s, e in zip(sizes, end, strict=True)])
+            yield _answers(p, rows, [planes(out[e - s : e].astype(np.uint64)) for s, e in zip(sizes, end, strict=True)])
             seen = total[total > 0]
             low = np.bincount(seen[seen <= RELIABLE + 1], minlength=RELIABLE + 2)
             yield _stats(p, [(-1, int(seen.sum())), (0, len(seen)), *((r, int(low[r])) for r in range(1, RELIABLE + 2))])
 
-    return stash(_dealt(messages).mapInArrow(run, ANSWER), large=True)
+    return stash(_dealt(messages).mapInArrow(run, ANSWER))
 
 
 def _dealt(messages: DataFrame) -> DataFrame:
@@ -271,9 +271,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
         """By history: the unigram mass of its known words, and the mass that its bigrams have (each bigram from one block); and what every block asks."""
         for r in _rows(batches):
             b = Block(r)
-            c = np.append(_told(r, "a0", np.uint32) >> 1, starts).astype(np.int64)
+            c = np.append(_told(r, "a0", np.uint64) >> 1, starts).astype(np.int64)
             _, h, w, _, _ = b.pairs()
-            told = _told(r, "a1", np.uint32)
+            told = _told(r, "a1", np.uint64)
             n = (told >> 1).astype(np.int64)
             own = np.flatnonzero((told & 1).astype(bool) & (n >= CUTOFF))
             v = len(b.words)
@@ -307,14 +307,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 out.append(planes(x))
             yield _answers(p, ask, out)
 
-    backoff = stash(_dealt(_joined(blocks, uni, bi).mapInArrow(sums, MESSAGE)).mapInArrow(weights, ANSWER), large=True)
+    backoff = stash(_dealt(_joined(blocks, uni, bi).mapInArrow(sums, MESSAGE)).mapInArrow(weights, ANSWER))
 
     def score(batches):
         for r in _rows(batches):
             b = Block(r)
-            c = np.append(_told(r, "a0", np.uint32) >> 1, starts).astype(np.int64)
+            c = np.append(_told(r, "a0", np.uint64) >> 1, starts).astype(np.int64)
             _, h, w, at, _ = b.pairs()
-            n = (_told(r, "a1", np.uint32) >> 1).astype(np.int64)
+            n = (_told(r, "a1", np.uint64) >> 1).astype(np.int64)
             names = np.append(b.words, _START)
             alpha = np.empty(len(names))
             alpha[np.argsort(names, kind="stable")] = _told(r, "a2", np.float64)
