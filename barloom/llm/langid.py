@@ -8,7 +8,8 @@ two or three leading ones, or all) is the one with the best likelihood less PENA
 language more. lang_pred is the largest share in that set, score its share.
 
 Null, empty and letterless texts: und, score 0. No training rows: und for all. Ties go to the language first
-by name. Without a doc_id: held_out is null, and the row teaches nothing. Very long texts are read whole. Other columns are ignored.
+by name. Rows without a doc_id take no part and have no row; copies of a row are predicted each. Very long texts are read whole. Empty table: no rows. Other
+columns are ignored. The model is a row of BUCKETS counts a language on the driver; more than MOST_LANGUAGES different values of lang are refused, not cut.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .common import table
 
 #: Bounds of the learning sample (documents a language) and of the model (buckets of hashed n-grams).
 SAMPLE_PER_LANG, BUCKETS, ORDERS = 3000, 1 << 16, (1, 2, 3, 4)
-ROUNDS, PENALTY, SMOOTH = 12, 3.0, 0.5
+ROUNDS, PENALTY, SMOOTH, MOST_LANGUAGES = 12, 3.0, 0.5, 2000
 
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
@@ -63,6 +64,8 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, BUCKETS), np.float32)
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages; the model holds {MOST_LANGUAGES}")
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, SAMPLE_PER_LANG / sizes[k]))])
     drawn = rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
@@ -108,12 +111,12 @@ def mixture(like: np.ndarray, weight: np.ndarray, bound: np.ndarray, allowed: np
     return share, ll
 
 
-def infer(like: np.ndarray, weight: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best language and its share, by document."""
+def infer(like: np.ndarray, weight: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Shares (document, language) under the language set of the best penalised likelihood."""
     d, k = len(bound) - 1, like.shape[1]
     share, ll = mixture(like, weight, bound, np.ones((d, k)))
     words = np.maximum(np.diff(bound), 2)
-    best, best_share, best_ll = np.argmax(share, 1), share.max(1), ll - PENALTY * (k - 1) * np.log(words)
+    best, best_ll = share.copy(), ll - PENALTY * (k - 1) * np.log(words)
     order = np.argsort(-share, axis=1, kind="stable")
     for m in range(1, min(3, k - 1) + 1):
         allowed = np.zeros((d, k))
@@ -121,8 +124,8 @@ def infer(like: np.ndarray, weight: np.ndarray, bound: np.ndarray) -> tuple[np.n
         s, l = mixture(like, weight, bound, allowed) if m > 1 else (allowed, mixture_single(like, weight, bound, order[:, 0]))
         l = l - PENALTY * (m - 1) * np.log(words)
         up = l >= best_ll
-        best[up], best_share[up], best_ll[up] = np.argmax(s, 1)[up], s.max(1)[up], l[up]
-    return best, best_share
+        best[up], best_ll[up] = s[up], l[up]
+    return best
 
 
 def mixture_single(like: np.ndarray, weight: np.ndarray, bound: np.ndarray, lang: np.ndarray) -> np.ndarray:
@@ -135,12 +138,12 @@ def identify_languages(docs: DataFrame, langs: list[str], log_p: np.ndarray) ->
     """doc_id, held_out, lang_pred, score, and shares (by language, in the order of `langs`)."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(np.ascontiguousarray(log_p.T))  # BUCKETS x languages
-    schema = "doc_id long, lang_pred string, score double"
+    schema = "doc_id long, lang_pred string, score double, shares array<double>"
 
     def predict(batches):
         table, roll = model.value, tk.Roller()
         for c in tk.chunks(batches):
-            best, score = np.zeros(len(c), int), np.zeros(len(c))
+            share = np.zeros((len(c), len(langs)))
             s, e, bound = tk.words(c, LETTERS)
             if len(langs) and len(s):
                 low = tk.LOWER[c.buf]
@@ -152,7 +155,7 @@ def identify_languages(docs: DataFrame, langs: list[str], log_p: np.ndarray) ->
                 log = np.add.reduceat(table[b[by]], cut, axis=0).astype(np.float64)
                 log /= len(ORDERS)  # the orders overlap
                 like = np.exp(log - log.max(1, keepdims=True))
-                best, score = infer(like[at], np.ones(len(s)), bound)
+                share = infer(like[at], np.ones(len(s)), bound)
             none = np.diff(bound) == 0
             if not len(langs):
                 none[:] = True
@@ -160,13 +163,16 @@ def identify_languages(docs: DataFrame, langs: list[str], log_p: np.ndarray) ->
                 t = c.buf[c.starts[i] : c.ends[i]]
                 if not (LETTERS[:128][t[t < 128]]).any() and not any(x.isalpha() for x in t.tobytes().decode("utf-8", "replace")):
                     none[i] = True
+            share[none] = 0
+            best = share.argmax(1) if len(langs) else np.zeros(len(c), int)
             names = np.array([*langs, "und"], object)[np.where(none, len(langs), best)]
-            yield pa.RecordBatch.from_arrays([c.rows.column(0), pa.array(names, pa.string()), pa.array(np.where(none, 0.0, np.clip(score, 0, 1)))], names=["doc_id", "lang_pred", "score"])
+            shares = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * len(langs)), pa.array(share.ravel()))
+            yield pa.RecordBatch.from_arrays([c.rows.column(0), pa.array(names, pa.string()), pa.array(np.clip(share.max(1, initial=0), 0, 1)), shares], names=["doc_id", "lang_pred", "score", "shares"])
 
-    out = docs.select("doc_id", "text").mapInArrow(predict, schema)
-    return out.select("doc_id", (~in_training()).alias("held_out"), "lang_pred", "score")
+    out = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(predict, schema)
+    return out.select("doc_id", (~in_training()).alias("held_out"), "lang_pred", "score", "shares")
 
 
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify_languages(docs, *learn(docs))
+    return identify_languages(docs, *learn(docs)).drop("shares")
