@@ -1,8 +1,11 @@
 """A corpus pipeline of five stages, each one of the operators of barloom.llm applied to all that its predecessor kept.
 
-toxicity (rejected documents go) -> near duplicates (the document with the smallest id of each group stays) ->
-repeated passages (all but the first document lose them; a document with nothing else goes) -> benchmark decontamination
+toxicity (rejected documents go) -> near duplicates (of each group the document with the smallest id stays) ->
+repeated passages (all but the first document lose them; a document that loses all its words goes) -> benchmark decontamination
 (documents with a benchmark window go) -> packing.
+
+Every stage but the last returns the columns it was given, whatever others they are. Rows without a doc_id stay but for the toxic ones, and are packed. Rows
+with one doc_id and different texts are judged each by its own text. Null, empty and wordless texts stay. Empty tables: no rows.
 """
 
 from __future__ import annotations
@@ -11,37 +14,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import chaining, decontaminate, jaccard, pack, toxicity
-from barloom.llm.common import small_batches, stash, table
+from barloom.llm.common import scratch, small_batches, stash, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score THRESHOLD or more go."""
     small_batches(spark)
     return toxicity.drop_toxic(docs, *toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with one doc_id, which are copies or versions of one document, one stays too."""
+    """Of each group of linked documents one stays; documents without words all stay."""
     small_batches(spark)
-    names = docs.columns
-    kept = stash(jaccard.jaccard_components(docs).where("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows")))
-    stay = docs.join(kept.hint("merge"), "doc_id")
-    if not kept.where("n_rows > 1").limit(1).count():
-        return stay.select(*names)
-    return stay.where("n_rows = 1").select(*names).unionByName(stay.where("n_rows > 1").select(*names).dropDuplicates(["doc_id"]))
+    return jaccard.drop_near_duplicates(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose passages that earlier documents have; n_chars follows. A document that loses all its words goes."""
     small_batches(spark)
-    out = chaining.cut_passages(docs, chaining.passages(docs).select("doc_id", "start", "length"))
-    return out.where("text is null or text rlike '[^ \\\\t-\\\\r]' or n_chars = 0").withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else out
+    out = chaining.cut_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return out
+    kind = docs.schema["n_chars"].dataType
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hit = stash(decontaminate.occurrences(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(hit, "doc_id", "left_anti")
+    """Documents with a benchmark window go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, cut into full sequences."""
     small_batches(spark)
     return pack.pack_documents(docs)
 
@@ -61,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = stash(stage(spark, docs, sf_dir), keep=True)
     return docs
