@@ -7,14 +7,19 @@ by symbol and time. Warm-up rows are null (no value from the future or from the
 from __future__ import annotations
 
 import math
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from ..functions.dialect import clip, duck, frame, lag, pct, roll, spark
+from ..functions.dialect import clip, duck, frame, lag, normal_quantile, pct, roll, rows_of, spark
 
 #: The additive epsilon and the clamp of the structural slots.
 EPS, LO, HI = 0.55, 0.58, 0.91
 
+#: Bars over which exponential weights of span 40 are summed; those further back weigh under 1e-8.
+EWM_ROWS = 400
+
 Layer = dict[str, str]
 FEATURES: dict[str, tuple[list[Layer], str]] = {}
 
@@ -72,14 +77,35 @@ add("noise", [{"x": "(high - low) / nullif(count * close, 0)"}], roll("avg", "x"
 add("relative_volume_alpha", [{"m": roll("avg", "quote_volume", 24, 1, prior=True)}], clip("0.2 * quote_volume / nullif(m, 0)", 0.0, 1.0))
 add("precision_epsilon", [], f"greatest({roll('stddev_samp', 'close', 24, 2, prior=True)} * 1e-7, 1e-12)")
 add("intra_bar_density", [{"m": pct("volume", 0.5, 24, 12)}, {"x": "CASE WHEN volume >= m - 1e-9 THEN 1e0 ELSE 0e0 END"}], clip(roll("avg", "x", 24, 12), 0.1, 2.0))
-_FD = [1.0]
-for _k in range(1, 20):
-    _FD.append(_FD[-1] * (_k - 1 - 0.45) / _k)
-add("frac_diff", [DELTA], " + ".join(f"({w!r}) * coalesce({lag('delta', k) if k else 'delta'}, 0)" for k, w in enumerate(_FD)))
+
+
+def fractional(x: str, d: float, lags: int) -> str:
+    """Fractional difference: weights of lags 0 to `lags`, null until all are there."""
+    w = [1.0]
+    for k in range(1, lags + 1):
+        w.append(w[-1] * (k - 1 - d) / k)
+    return " + ".join(f"({v!r}) * {lag(x, k) if k else x}" for k, v in enumerate(w))
+
+
+add("frac_diff", [DELTA], fractional("delta", 0.45, 20))
+add("frac_diff_flow", [{"flow": "(2 * taker_buy_base_volume - volume) * ln(volume / (count + 1e-12))"}], fractional("flow", 0.45, 50))
 add("eigen_weight", [PC, {"pv": lag("volume")}, {"a": "close - pc", "b": "volume - pv"}], f"(1 + abs({roll('corr({x}, b)', 'a', 24, 12)})) / 2")
 add("cauchy_kernel", [PC, {"tr": "greatest(high - low, abs(high - coalesce(pc, close)), abs(low - coalesce(pc, close)))"}, {"g": roll("avg", "tr", 24, 2, prior=True), "key": roll("max", "high", 24, 2, prior=True)}], "1 / (1 + power((close - key) / nullif(g, 0), 2))")
 add("power_law_slicing", [{"s": "volume / count"}, {"ls": "CASE WHEN s > 0 THEN ln(s) END"}], f"({roll('count', 'ls', 24, 12, prior=True)}) / nullif({roll('sum', 'ls', 24, 12, prior=True)} - ({roll('count', 'ls', 24, 12, prior=True)}) * {roll('min', 'ls', 24, 12, prior=True)}, 0)")
-add("entropy_decay", [{"e": "volume / count"}, {"lo": roll("min", "e", 24, 12, prior=True), "hi": roll("max", "e", 24, 12, prior=True)}], "0.99 * (1 - " + clip("(e - lo) / nullif(hi - lo, 0)", 0.0, 1.0) + ")")
+
+
+def entropy(x: str, rows: int, least: int, bins: int = 10) -> list[Layer]:
+    """Layers up to `ent`: the Shannon entropy of a histogram of the frame's values over the log of the bins; 0 where all values are equal."""
+    first = {"vals": rows_of(x, rows), "cnt": f"CAST(count({x}) {frame(rows)} AS DOUBLE)", "lo": f"min({x}) {frame(rows)}", "hi": f"max({x}) {frame(rows)}"}
+    counts = {f"c{b}": f"LEN(FILT(vals, FN_V least(floor((v - lo) / nullif(hi - lo, 0) * {bins}), {bins - 1}) = {b})) / cnt" for b in range(bins)}
+    total = " + ".join(f"CASE WHEN c{b} > 0 THEN c{b} * ln(c{b}) ELSE 0 END" for b in range(bins))
+    return [{"xs": x}, first, counts, {"ent": f"CASE WHEN cnt >= {least} THEN CASE WHEN hi = lo THEN 0.0 ELSE -({total}) / {math.log(bins)!r} END END"}]
+
+
+add("volume_entropy", entropy("volume", 50, 25), "ent")
+add("count_entropy", [{"s": "volume / count"}, *entropy("s", 24, 12)], "ent")
+add("entropy_lambda", [{"cd": "CAST(count AS DOUBLE)"}, *entropy("cd", 50, 25)], clip("0.1 * (1 - 0.8 * ent)", 0.01, 0.5))
+add("entropy_decay", [{"s": "volume / count"}, *entropy("s", 24, 12), {"el": roll("min", "ent", 24, 2, prior=True), "eh": roll("max", "ent", 24, 2, prior=True)}], "0.99 * (1 - " + clip("(ent - el) / nullif(eh - el, 0)", 0.0, 1.0) + ")")
 add("volume_weighted_price", [{"x": "close * volume"}], f"{roll('sum', 'x', 24)} / nullif({roll('sum', 'volume', 24)}, 0)")
 add("information_weighted", [*SR, {"h": "greatest(sr, 1e-6)"}, {"x": "close * h"}], f"{roll('sum', 'x', 24, 12)} / nullif({roll('sum', 'h', 24, 12)}, 0)")
 
@@ -91,7 +117,9 @@ add("kurt_hybrid", [*LR, {"x2": "lr * lr", "x3": "lr * lr * lr", "x4": "lr * lr
 add("var_5", LR, f"greatest(-({pct('lr', 0.05, 100, 50)}), 0.0)")
 add("skew_barrier_up", [*LR, {"x2": "lr * lr", "x3": "lr * lr * lr"}, {"n": f"CAST(count(lr) {frame(100, True)} AS DOUBLE)", "m": roll("avg", "lr", 100, 50, True), "s": roll("stddev_samp", "lr", 100, 50, True), "m2": roll("avg", "x2", 100, 50, True), "m3": roll("avg", "x3", 100, 50, True)}, {"sk": "n * n / ((n - 1) * (n - 2)) * (m3 - 3 * m * m2 + 2 * m * m * m) / nullif(s * s * s, 0)"}], "2.0 * s * greatest(1 + sk, 0.1)")
 add("welford_z", LR, f"(lr - {roll('avg', 'lr', None, 20, True)}) / nullif({roll('stddev_samp', 'lr', None, 20, True)}, 0)")
-add("sigmoid_robust", [{"m": pct("close", 0.5, 100, 20, True), "q1": pct("close", 0.25, 100, 20, True), "q3": pct("close", 0.75, 100, 20, True)}], "1 / (1 + exp(-(" + clip("(close - m) / nullif((q3 - q1) / 1.349, 0)", -20.0, 20.0) + ")))")
+MAD = [{"m": pct("close", 0.5, 100, 20, True), "vals": rows_of("close", 100, True)}, {"dev": "MAP(vals, FN_V abs(v - m))"}, {"srt": "SORTED(dev)"}, {"sz": "LEN(srt)"}, {"mad": "(ITEM(srt, CAST(greatest(floor((sz + 1) / 2.0), 1) AS INT)) + ITEM(srt, CAST(floor(sz / 2.0) + 1 AS INT))) / 2"}]
+add("sigmoid_robust", MAD, "CASE WHEN m IS NOT NULL THEN 1 / (1 + exp(-(" + clip("(close - m) / (1.4826 * mad + 1e-12)", -20.0, 20.0) + "))) END")
+add("winsorized_close", [*MAD, *LR, {"vz": f"(({roll('stddev_samp', 'lr', 24, 12)}) - ({roll('avg', 'lr', 24, 12)})) / nullif({roll('stddev_samp', 'lr', 100, 50)}, 0)"}, {"k": "2.5 * (1 + greatest(coalesce(vz, 0), 0.0)) * 1.4826 * mad"}], "CASE WHEN m IS NOT NULL THEN least(greatest(close, m - k), m + k) END")
 add("corr_lag", [PC], roll("corr({x}, pc)", "close", 50, 25))
 add("regr_beta", [PC], roll("regr_slope({x}, pc)", "close", 50, 25))
 add("barrier_label", [*LR, {"h": roll("sum", "lr", 10, 10), "s": roll("stddev_samp", "lr", 50, 25, True)}], "CASE WHEN h IS NULL OR s IS NULL THEN NULL WHEN h > 1.5 * s THEN 1 WHEN h < -1.5 * s THEN -1 ELSE 0 END")
@@ -103,6 +131,35 @@ add("drawdown", [*SR, {"g": "ln(1 + coalesce(sr, 0))"}, {"c": f"exp(sum(g) {fram
 add("latency_gap", [{"gap": f"timestamp - {lag('timestamp')}"}], "CASE WHEN gap > 3600000 THEN gap / 3600000 - 1 ELSE 0 END")
 add("jensen_alpha", [*LR, {"mk": f"avg(lr) OVER (PARTITION BY timestamp)"}, {"b": roll("regr_slope({x}, mk)", "lr", 100, 50)}], f"{roll('avg', 'lr', 100, 50)} - b * {roll('avg', 'mk', 100, 50)}")
 
+# ranks, orders, windows that depend on the data
+add("percentile_rank", [{"vals": rows_of("close", 100, True)}, {"n": f"count(close) {frame(100, True)}"}], "CASE WHEN n >= 10 THEN LEN(FILT(vals, FN_V v <= close)) / CAST(n AS DOUBLE) ELSE 0.5 END")
+_WICK = [{"wick": "(high - low - abs(close - open)) / (high - low + 1e-12)"}]
+add("wick_rank", [*_WICK, {"vals": rows_of("wick", 20), "n": f"count(wick) {frame(20)}"}], "CASE WHEN n >= 10 THEN LEN(FILT(vals, FN_V v <= wick)) / CAST(n AS DOUBLE) ELSE 0.5 END")
+#: Beta(2, 5) distribution, whose integer parameters give a polynomial.
+add("wick_exhaustion", [*_WICK, {"n": f"count(wick) {frame(20)}"}, {"w": "least(greatest(wick, 0.0), 1.0)"}], "CASE WHEN n >= 10 THEN 1 - power(1 - w, 6) - 6 * w * power(1 - w, 5) ELSE 0.5 END")
+add("kendall_tau", [{f"l{k}": lag("close", k) if k else "close" for k in range(24)}], "(" + " + ".join(f"CAST(sign(l{a} - l{b}) AS DOUBLE)" for a in range(24) for b in range(a + 1, 24)) + f") / {24 * 23 / 2!r}")
+_RS = [*LR, {"cs": f"sum(lr) {frame(None)}", "n": f"count(lr) {frame(100)}", "mu": f"avg(lr) {frame(100)}", "sd": f"stddev_samp(lr) {frame(100)}"}, {"vals": rows_of("cs", 100)}, {"dev": "MAP(vals, FN_VJ v - mu * j)"}, {"h": "CASE WHEN n >= 50 THEN CASE WHEN sd > 1e-12 AND AMAX(dev) > AMIN(dev) THEN least(greatest(ln((AMAX(dev) - AMIN(dev)) / sd) / ln(n), 0.0), 1.0) ELSE 0.5 END END"}]
+add("hurst_rs", _RS, "h")
+add("hurst_lookback", _RS, clip("HALF_EVEN(50 * (1.5 - h), 0)", 20.0, 200.0))
+add("hurst_lambda", _RS, clip("0.1 * exp(-(h - 0.5))", 0.01, 0.5))
+add("hurst_lifespan", [*_RS, {"hp": lag("h")}], "HALF_EVEN(24 + 216 * (1 - hp), 0)")
+add("cycle_window", [{"n": f"count(close) {frame(100)}"}], f"CASE WHEN n >= 20 THEN {clip(f'HALF_EVEN(0.5 * (max(close) {frame(100)} - min(close) {frame(100)}) / nullif(stddev_samp(close) {frame(100)}, 0) * 50, 0)', 12.0, 168.0)} END")
+_CV = [{"cv": f"sum(volume) {frame(None)}", "q": pct("volume", 0.5, 168, 24, True)}, {"vals": rows_of("cv", 72, True)}]
+add("density_window", _CV, "CASE WHEN q IS NOT NULL THEN least(1 + LEN(FILT(vals, FN_V cv - v < 24 * q - 1e-6)), 72) END")
+add("vpin_horizon", [{"cv": f"sum(volume) {frame(None)}", "q": roll("avg", "volume", 100, 20, True)}, {"vals": rows_of("cv", 72, True)}], "CASE WHEN q IS NOT NULL THEN least(greatest(1 + LEN(FILT(vals, FN_V cv - v < 12 * q - 1e-6)), 4), 72) END")
+add("entropy_duration", [{f"v{k}": lag("volume", k) if k else "volume" for k in range(24)}, {f"t{k}": " + ".join(f"v{j}" for j in range(k + 1)) for k in range(3, 24, 4)}, {f"e{k}": "-(" + " + ".join(f"CASE WHEN v{j} > 0 THEN v{j} / t{k} * ln(v{j} / t{k}) ELSE 0 END" for j in range(k + 1)) + ")" for k in range(3, 24, 4)}], "CASE " + " ".join(f"WHEN e{k} >= 2.0 THEN {k + 1}" for k in range(3, 24, 4)) + " WHEN v23 IS NOT NULL THEN 24 END")
+add("kde_at_close", [{"pv": rows_of("PAIR[close|volume]", 100), "n": f"count(close) {frame(100)}", "sd": f"stddev_samp(close) {frame(100)}"}, {"bw": "1.06 * sd * power(n, -0.2)"}], "CASE WHEN n >= 20 AND bw > 0 THEN ASUM[MAP(pv, FN_V v.b * exp(-0.5 * power((v.a - close) / bw, 2)))] / (n * bw) END")
+add("quantile_normal", [{"vals": rows_of("close", 100), "n": f"count(close) {frame(100)}"}, {"p": "least(greatest(LEN(FILT(vals, FN_V v <= close)) / CAST(n AS DOUBLE), 0.05), 0.95)"}], f"CASE WHEN n >= 20 THEN {normal_quantile('p')} END")
+add("latency_outlier", [{"gap": f"CAST(timestamp - {lag('timestamp')} AS DOUBLE)"}, {"md": pct("gap", 0.5, 100, 10, True), "q99": pct("gap", 0.99, 100, 10, True)}], "CASE WHEN md IS NULL OR gap IS NULL THEN 0 WHEN gap > greatest(5000.0, md * 1.5) THEN 1 ELSE 0 END + CASE WHEN gap > q99 THEN 2 ELSE 0 END")
+add("gap_run", [{"miss": "CASE WHEN count < 2 THEN 1 ELSE 0 END"}, {"isl": f"sum(1 - miss) {frame(None)}"}], "CASE WHEN miss = 1 THEN CAST(sum(miss) OVER (PARTITION BY symbol, isl ORDER BY timestamp) AS BIGINT) ELSE CAST(0 AS BIGINT) END")
+add("next_return", [{"nx": "lead(close, 1) OVER (PARTITION BY symbol ORDER BY timestamp)"}], "CASE WHEN close <> 0 THEN nx / close - 1 END")
+add("window_open", [], lag("close", 49))
+add("ewm_return", [*SR, {"all_": rows_of("sr", EWM_ROWS)}, {"vals": "FILT(all_, FN_V v IS NOT NULL)", "n": f"count(sr) {frame(EWM_ROWS)}"}], "CASE WHEN n >= 10 THEN ASUM[MAP(vals, FN_VJ v * power(1.05128205128205128, j))] / ASUM[MAP(vals, FN_VJ power(1.05128205128205128, j))] END")
+add("vol_expanding_rank", [*SR, {"vol": roll("stddev_samp", "sr", 40, 10)}], f"CASE WHEN count(vol) {frame(None)} >= 20 THEN PCT(vol, 0.7) {frame(None)} END")
+add("skew_barrier_down", [*LR, {"x2": "lr * lr", "x3": "lr * lr * lr"}, {"n": f"CAST(count(lr) {frame(100, True)} AS DOUBLE)", "m": roll("avg", "lr", 100, 50, True), "s": roll("stddev_samp", "lr", 100, 50, True), "m2": roll("avg", "x2", 100, 50, True), "m3": roll("avg", "x3", 100, 50, True)}, {"sk": "n * n / ((n - 1) * (n - 2)) * (m3 - 3 * m * m2 + 2 * m * m * m) / nullif(s * s * s, 0)"}], "-2.0 * s * greatest(1 - sk, 0.1)")
+add("calendar", [{"t": "OF_MS(timestamp)"}], "CAST(extract(hour FROM t) + 100 * extract(day FROM t) + 10000 * extract(month FROM t) AS BIGINT)")
+add("normalised_close", [{"m": roll("avg", "close", 100, 10), "s": roll("stddev_pop", "close", 100, 10)}], clip("(close - m) / (s + 1e-5)", -5.0, 5.0))
+
 # structural slots
 add("slot_00", [DELTA, {"d": roll("avg", "delta", 50), "v": roll("avg", "volume", 50), "ds": roll("sum", "delta", 50), "vs": roll("sum", "volume", 50)}], clip(f"(d / (v + {EPS}) + ds / (vs + {EPS}) * 4.2) / 2", LO, HI))
 _H = " + ".join(f"ln((mx{k} - mn{k}) / (sd{k} + {EPS}) + 1e-12) / {math.log(k)!r}" for k in (5, 10, 20, 50))
@@ -139,13 +196,52 @@ def feature(bars: DataFrame, name: str) -> DataFrame:
 
 
 def feature_table(bars: DataFrame, names: list[str]) -> DataFrame:
-    """Bars with a column for each of some features; windows are shared where they are the same."""
-    base = bars.columns
+    """Bars with a column for each of some features. Layers at one depth are one projection and equal expressions one column, so
+    the features share scans, sorts and windows."""
+    base, steps, values = bars.columns, {}, {}
+
+    def here(expr: str, own: dict[str, str]) -> str:
+        return re.sub(r"\b[a-z]\w*\b", lambda m: own.get(m[0], m[0]), expr)
+
     for name in names:
         layers, value = FEATURES[name]
-        bars = layered(bars.select(*base), layers).selectExpr(*base, spark(f"{value} AS {name}"))
-        base = bars.columns
-    return bars
+        own: dict[str, str] = {}
+        for depth, layer in enumerate(layers):
+            new = {}
+            for col, expr in layer.items():
+                step = steps.setdefault(depth, {})
+                new[col] = step.setdefault(here(expr, own), f"_{depth}_{len(step)}")
+            own |= new
+        values[name] = here(value, own)
+    for depth in sorted(steps):
+        bars = bars.selectExpr("*", *[spark(f"{e} AS {n}") for e, n in steps[depth].items()])
+    return bars.selectExpr(*base, *[spark(f"{v} AS {n}") for n, v in values.items()])
+
+
+def in_chunks(bars: DataFrame, rows: int, overlap: int) -> DataFrame:
+    """Bars with __chunk and __lead: a symbol's bars in runs of `rows`, each led by the `overlap` bars before it (__lead).
+
+    The places of bars are counted by day first, so no task has a whole symbol: windows over (symbol, __chunk) with frames of at
+    most `overlap` + 1 bars give the same as windows over the symbol.
+    """
+    days = bars.withColumn("__day", F.floor(F.col("timestamp") / 86_400_000))
+    before = Window.partitionBy("symbol").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = days.groupBy("symbol", "__day").agg(F.count(F.lit(1)).alias("__n")).select("symbol", "__day", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    at = F.col("__start") + F.row_number().over(Window.partitionBy("symbol", "__day").orderBy("timestamp")) - 1
+    placed = days.join(starts, ["symbol", "__day"]).withColumn("__at", at)
+    own = F.floor(F.col("__at") / rows)
+    # a bar leads the next run, and further ones where runs are shorter than the overlap
+    return placed.withColumn("__chunk", F.explode(F.sequence(own, F.floor((F.col("__at") + overlap) / rows)))).withColumn("__lead", F.col("__chunk") > own).drop("__day", "__start", "__at")
+
+
+def feature_in_chunks(bars: DataFrame, name: str, rows: int = 100_000, overlap: int = 1024) -> DataFrame:
+    """The same as `feature` for layers of bounded frames whose depths sum to at most `overlap` bars, for symbols longer than a task should hold."""
+    layers, value = FEATURES[name]
+    if "UNBOUNDED" in str(layers) + value:
+        raise ValueError(f"{name} looks back to a symbol's first bar")
+    cut = lambda e: e.replace("PARTITION BY symbol ORDER BY", "PARTITION BY symbol, __chunk ORDER BY")
+    wide = layered(in_chunks(bars, rows, overlap), [{n: cut(e) for n, e in layer.items()} for layer in layers])
+    return wide.selectExpr("symbol", "timestamp", "__lead", spark(f"{cut(value)} AS value")).where("not __lead").drop("__lead")
 
 
 def feature_text(source: str, name: str) -> str:

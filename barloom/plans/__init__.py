@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions.kernels import KERNELS, by_symbol
-from ..operators.features import FEATURES, feature, feature_sql
+from ..operators.features import FEATURES, feature, feature_sql, feature_table
+from ..operators.points import FEATURE_OF
 from ..sources.bars import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars
 from .reports import QUERIES as _REPORTS
 from .reports import SQL as _REPORTS_SQL
+from .reports import decisions, places
 
-WHOLE = ("quantile_veto", "barrier_label", "volume_share_rank", "volume_quartile")
+WHOLE = ("latency_outlier", "gap_run", "calendar", "quantile_veto", "barrier_label", "volume_share_rank", "volume_quartile")
 #: Digits where six would round halves.
 DIGITS = {"atr_band": 9, "entropy_decay": 9}
 
@@ -26,15 +30,37 @@ def _rounded_sql(name: str) -> str:
     return f"SELECT symbol, timestamp, {v} AS value FROM ({feature_sql(EVENT_BARS_SQL, name)})"
 
 
-def _kernel(name: str):
-    return lambda spark, d: by_symbol(event_bars(spark.read.parquet(f"{d}/events.parquet")), [name])
+def _bars(spark, d: str):
+    return event_bars(spark.read.parquet(f"{d}/events.parquet"))
+
+
+def last_values(bars, points: dict[int, str]):
+    """symbol, point_id, value: the features behind some points at every symbol's last bar, in one pass."""
+    wide = feature_table(bars, list(points.values()))
+    last = wide.groupBy("symbol").agg(F.max_by(F.struct(*points.values()), "timestamp").alias("v"))
+    parts = F.array(*[F.struct(F.lit(p).alias("point_id"), F.col(f"v.{n}").cast("double").alias("value")) for p, n in points.items()])
+    return last.select("symbol", F.explode(parts).alias("x")).select("symbol", "x.*")
+
+
+def override_values(spark, d: str, raw: float = 0.5):
+    """symbol, point_id, decision, value: the override where the engine decides so and there is a value, else the raw one."""
+    bars = _bars(spark, d)
+    decided = spark.sql(places(decisions(), "spark"), bars=bars)
+    both = decided.join(last_values(bars, FEATURE_OF), ["symbol", "point_id"])
+    taken = (F.col("decision") == "override") & F.col("value").isNotNull()
+    return both.select("symbol", "point_id", "decision", F.round(F.when(taken, F.col("value")).otherwise(raw), 5).alias("value"))
+
+
+_LAST = " UNION ALL ".join(f"SELECT symbol, {p} AS point_id, CAST(last(value ORDER BY timestamp) AS DOUBLE) AS value FROM ({feature_sql('SELECT * FROM bars', n)}) GROUP BY symbol" for p, n in FEATURE_OF.items())
+_OVERRIDES = f"WITH bars AS ({EVENT_BARS_SQL}), found AS ({_LAST}) SELECT d.symbol AS symbol, d.point_id AS point_id, decision, round(CASE WHEN decision = 'override' AND value IS NOT NULL THEN value ELSE 0.5 END, 5) AS value FROM ({places(decisions(), 'duck')}) d JOIN found USING (symbol, point_id)"
 
 
 QUERIES = {
     "bars_hourly": lambda spark, d: event_bars(spark.read.parquet(f"{d}/events.parquet")),
     "bars_daily": lambda spark, d: line_bars(spark.read.parquet(f"{d}/lineitem.parquet")),
     **{name: _rounded(name) for name in FEATURES},
-    **{f"kernel_{k}": _kernel(k) for k in KERNELS},
+    "override_values": override_values,
+    "kernel_panel": lambda spark, d: by_symbol(_bars(spark, d), list(KERNELS)),
     **_REPORTS,
 }
-SQL = {"bars_hourly": EVENT_BARS_SQL, "bars_daily": LINE_BARS_SQL, **{name: _rounded_sql(name) for name in FEATURES}, **_REPORTS_SQL}
+SQL = {"override_values": _OVERRIDES, "bars_hourly": EVENT_BARS_SQL, "bars_daily": LINE_BARS_SQL, **{name: _rounded_sql(name) for name in FEATURES}, **_REPORTS_SQL}

@@ -30,10 +30,19 @@ def defaults(df: DataFrame) -> DataFrame:
     return df.withColumn("quote_volume", F.coalesce("quote_volume", "volume")).withColumn("taker_buy_base_volume", F.coalesce("taker_buy_base_volume", F.col("volume") * 0.5)).withColumn("amount", F.col("quote_volume"))
 
 
-def write_bars(df: DataFrame, path: str) -> None:
+def write_bars(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """A folder a symbol; only the symbols of `df` are replaced."""
+    if fmt == "csv":
+        df.repartition("symbol").sortWithinPartitions("symbol", "timestamp").write.mode("overwrite").option("header", "true").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").csv(path)
+        return
     df.repartition("symbol").sortWithinPartitions("symbol", "timestamp").write.mode("overwrite").option("compression", "snappy").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(path)
 
 
+def write_clean(df: DataFrame, path: str) -> None:
+    """A folder a symbol; all that was there before goes."""
+    df.repartition("symbol").sortWithinPartitions("symbol", "timestamp").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("symbol").parquet(path)
+
+
 def discover_symbols(spark: SparkSession, path: str, timeframe: str = "1h") -> DataFrame:
     """Symbols that have a shard, sorted."""
     files = spark.read.format("binaryFile").load(f"{path}/*_{timeframe}.parquet").select(F.regexp_extract("path", rf"([^/]*)_{timeframe}\.parquet$", 1).alias("symbol"))
