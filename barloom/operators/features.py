@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dialect import clip, duck, frame, lag, normal_quantile, pct, roll, rows_of, spark
+from ..functions.dialect import SERIES, clip, duck, frame, lag, normal_quantile, pct, roll, rows_of, spark
 
 #: The additive epsilon and the clamp of the structural slots.
 EPS, LO, HI = 0.55, 0.58, 0.91
@@ -218,6 +218,40 @@ def feature_table(bars: DataFrame, names: list[str]) -> DataFrame:
     return bars.selectExpr(*base, *[spark(f"{v} AS {n}") for n, v in values.items()])
 
 
+_WINDOW = re.compile(r"OVER \(([^()]*)\)")
+_BOUNDED = re.compile(rf"{re.escape(SERIES)} ROWS BETWEEN (\d+) PRECEDING AND (?:1 PRECEDING|CURRENT ROW)")
+_LAG = re.compile(rf"lag\(\w+, (\d+)\) OVER \({re.escape(SERIES)}\)")
+
+
+_RUNNING = re.compile(rf"sum\(\w+\) OVER \({re.escape(SERIES)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW\)")
+#: Features that take only differences of a running sum: from which bar on it runs changes no more than their rounding.
+DIFFERENCES = {"hurst_rs", "hurst_lookback", "hurst_lambda", "hurst_lifespan", "density_window", "vpin_horizon"}
+
+
+def look_back(name: str, exact: bool = True) -> int | None:
+    """How many bars before its own a bar's value depends on at most; None where that has no bound (running frames, other orders, other symbols).
+    Not `exact`: but for the rounding of DIFFERENCES."""
+    layers, value = FEATURES[name]
+    total = 0
+    for layer in [*layers, {"value": value}]:
+        text = " ".join(layer.values())
+        lags = [int(k) for k in _LAG.findall(text)]
+        rest = _LAG.sub("", text)
+        if not exact and name in DIFFERENCES:
+            rest = _RUNNING.sub("", rest)
+        frames = [_BOUNDED.fullmatch(w) for w in _WINDOW.findall(rest)]
+        if not all(frames) or len(frames) < rest.count("OVER ("):
+            return None
+        total += max([0, *lags, *(int(m[1]) for m in frames)])
+    return total
+
+
+def latest(bars: DataFrame, rows: int) -> DataFrame:
+    """Every symbol's last `rows` bars. Where `bars` are not dealt by symbol yet, a group limit leaves that many a symbol in each task before the shuffle."""
+    last = Window.partitionBy("symbol").orderBy(F.desc("timestamp"))
+    return bars.withColumn("__k", F.row_number().over(last)).where(F.col("__k") <= rows).drop("__k")
+
+
 def in_chunks(bars: DataFrame, rows: int, overlap: int) -> DataFrame:
     """Bars with __chunk and __lead: a symbol's bars in runs of `rows`, each led by the `overlap` bars before it (__lead).
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import KERNELS, by_symbol
-from ..operators.features import FEATURES, feature, feature_sql, feature_table
+from ..operators.features import FEATURES, feature, feature_sql, feature_table, latest, look_back
 from ..operators.points import FEATURE_OF
 from ..sources.bars import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars
 from .reports import QUERIES as _REPORTS
@@ -35,11 +38,20 @@ def _bars(spark, d: str):
 
 
 def last_values(bars, points: dict[int, str]):
-    """symbol, point_id, value: the features behind some points at every symbol's last bar, in one pass."""
-    wide = feature_table(bars, list(points.values()))
-    last = wide.groupBy("symbol").agg(F.max_by(F.struct(*points.values()), "timestamp").alias("v"))
-    parts = F.array(*[F.struct(F.lit(p).alias("point_id"), F.col(f"v.{n}").cast("double").alias("value")) for p, n in points.items()])
-    return last.select("symbol", F.explode(parts).alias("x")).select("symbol", "x.*")
+    """symbol, point_id, value: the features behind some points at every symbol's last bar. Those that look back a bounded number of bars
+    share one pass over these, the others one over all bars."""
+    far = {n: look_back(n, exact=False) for n in points.values()}
+
+    def of(some: dict[int, str], rows):
+        last = feature_table(rows, list(some.values())).groupBy("symbol").agg(F.max_by(F.struct(*some.values()), "timestamp").alias("v"))
+        parts = F.array(*[F.struct(F.lit(p).alias("point_id"), F.col(f"v.{n}").cast("double").alias("value")) for p, n in some.items()])
+        return last.select("symbol", F.explode(parts).alias("x")).select("symbol", "x.*")
+
+    near = {p: n for p, n in points.items() if far[n] is not None}
+    whole = {p: n for p, n in points.items() if far[n] is None}
+    found = [of(near, latest(bars, 1 + max(far[n] for n in near.values())))] if near else []
+    found += [of(whole, bars)] if whole else []
+    return reduce(DataFrame.unionByName, found)
 
 
 def override_values(spark, d: str, raw: float = 0.5):

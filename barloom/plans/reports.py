@@ -8,7 +8,7 @@ from __future__ import annotations
 import itertools
 
 from ..functions.dialect import duck, frame, normal_cdf, roll, spark
-from ..operators.features import EPS, FEATURES, HI, LO, feature_table, feature_text, nested
+from ..operators.features import EPS, FEATURES, HI, LO, feature_table, feature_text, latest, look_back, nested
 from ..operators.points import REGISTRY
 from ..sources.bars import EVENT_BARS_SQL, HOUR_MS, LINE_BARS_SQL, event_bars, line_bars
 
@@ -213,12 +213,15 @@ TEXTS["impact_size"] = f"SELECT symbol, round(least(greatest(2000 / (vol * (1 +
 
 
 def signatures(bars):
-    """The slots, the gate and the length of every symbol's last bar, in one pass: the slots' layers share scan, sort and windows."""
+    """The slots, the gate and the length of every symbol's last bar, in one pass: the slots' layers share scan, sort and windows, which run
+    over the bars that the slots look back on only."""
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     names = [f"slot_{k}" for k in _SLOTS]
-    wide = feature_table(bars, names)
-    last = wide.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("ts"), F.max_by(F.struct(*names), "timestamp").alias("v"))
+    sized = bars.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
+    wide = feature_table(latest(sized, 1 + max(look_back(n) for n in names)), names)
+    last = wide.groupBy("symbol").agg(F.max("__n").alias("n"), F.max("timestamp").alias("ts"), F.max_by(F.struct(*names), "timestamp").alias("v"))
     slots = last.select("symbol", "n", "ts", *[F.coalesce(F.col(f"v.slot_{k}"), F.lit(LO)).alias(f"s{k}") for k in _SLOTS])
     return slots.selectExpr("*", f"least(greatest(1 / (1 + exp(-({_GATE} + 0.1 * (0.0 - {_ENT})))), {LO}), {HI}) AS s15")
 

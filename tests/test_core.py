@@ -7,6 +7,7 @@ from datetime import datetime
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom import config, plans
 from barloom.functions import kernels
@@ -339,3 +340,29 @@ def test_more_streams(spark, tmp_path):
         merge(batch, k)
     got = spark.read.parquet(str(tmp_path / "bars"))
     assert sorted((r["symbol"], r["timestamp"], r["close"]) for r in got.collect()) == [("a", 1, 2.0), ("b", 5, 3.0)]
+
+
+def test_last_bars_suffice(spark):
+    """A bounded feature's last value is the same on the bars that it looks back on, and shorter cuts change some."""
+    from barloom.operators.features import FEATURES, feature_table, latest, look_back
+    from barloom.sources.synthetic import synthetic_bars
+
+    bars = synthetic_bars(spark, 2, 1000).where("symbol <> 'SYN001_USDT' or timestamp < 1674131200000").cache()
+    far = {n: look_back(n) for n in FEATURES}
+    assert far["slot_11"] == 99 and far["vol_z"] == 240
+    assert [far[n] for n in ("welford_z", "jensen_alpha", "volume_share_rank", "next_return", "gap_run")] == [None] * 5
+    names = [n for n, k in far.items() if k is not None]
+
+    def last(rows, some):
+        wide = feature_table(rows, some).groupBy("symbol").agg(F.max_by(F.struct(*some), "timestamp").alias("v"))
+        return {r["symbol"]: r["v"].asDict() for r in wide.collect()}
+
+    whole = last(bars, names)
+    assert len(whole) == 2 and whole == last(latest(bars, 1 + max(far[n] for n in names)), names)
+    loose = sorted(features.DIFFERENCES)
+    for s, v in last(bars, loose).items():
+        cut = last(latest(bars, 1 + max(look_back(n, exact=False) for n in loose)), loose)[s]
+        assert all(cut[n] == pytest.approx(v[n], abs=1e-9) for n in loose)
+    slots = [n for n in names if n.startswith("slot_")]
+    assert last(latest(bars, 1 + max(far[n] for n in slots)), slots) == {k: {n: v[n] for n in slots} for k, v in whole.items()}
+    assert last(latest(bars, 5), slots) != {k: {n: v[n] for n in slots} for k, v in whole.items()}
