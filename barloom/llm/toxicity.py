@@ -1,10 +1,12 @@
 """op8: noisy-channel deobfuscation, then toxicity scoring.
 
 Learning (labels only from rows outside the held-out third):
-- a character trigram model of plain words, from the sample's words;
+- a character trigram model of plain words, from their words;
 - a lexicon of words and word beginnings (4 to 7 letters): features of toxic documents, chosen greedily by how many
-  still unexplained toxic documents each adds, with the precision it has in the sample as its weight.
-The sample is bounded: at most about SAMPLE labelled rows, drawn by a hash of the id (NEGATIVES per clean row).
+  still unexplained toxic documents each adds, with its precision as its weight.
+All labelled rows are counted. The lexicon has no set size: each feature explains GAIN documents or more, so it has at most a third as many as there are
+toxic documents. The greedy choice runs on the driver for up to PAIRS pairs of document and feature; of more, rounds on tables first take all features at once
+that come before every other feature of their documents, which gives the same choice.
 
 Scoring reads whole texts: tokens that look disguised (letters with look-alike digits or signs, a letter
 repeated, single letters spaced out) become character lattices; a Viterbi search under the character model picks the
@@ -19,6 +21,7 @@ text in `drop_toxic`. Empty table: no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import numpy as np
@@ -27,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import table
+from .common import stash, table
 
-#: Bounds of the learning sample, the candidates and the lexicon; least toxic documents of a feature; least that it adds; least precision.
-SAMPLE, CANDIDATES, LEXICON, LEAST, GAIN, PRECISION = 16_000, 20_000, 400, 4, 3, 0.9
+#: Least toxic documents of a feature; least that it adds; least precision.
+LEAST, GAIN, PRECISION = 4, 3, 0.9
+#: Counts that a task gathers before it passes them on; pairs of document and feature that the driver takes.
+GATHER, PAIRS = 1 << 18, 1 << 20
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.7
 
@@ -174,79 +179,124 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
 
 
+def trigrams(c: tk.Chunk) -> np.ndarray:
+    """Counts of the character trigrams of a chunk's plain words (3 to 19 letters, nothing else), as CharModel.count gives them."""
+    low = tk.LOWER[c.buf]
+    s, e, _ = tk.words(c)
+    letters = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122))])
+    n = e - s
+    ok = (n > 2) & (n < 20) & (letters[e] - letters[s] == n)
+    s, n = s[ok], n[ok]
+    # each word with its two start signs and its end
+    flat = np.full(int((n + 3).sum()), 26, np.int32)
+    first = np.cumsum(n) - n
+    step = np.arange(int(n.sum())) - np.repeat(first, n)
+    flat[np.repeat(first + 3 * np.arange(len(n)) + 2, n) + step] = low[np.repeat(s, n) + step].astype(np.int32) - 97
+    out = np.bincount(flat[:-2] * 729 + flat[1:-1] * 27 + flat[2:], minlength=27**3).reshape(27, 27, 27) if len(flat) else np.zeros((27, 27, 27), int)
+    out[:, 26, 26] = 0  # between two words
+    return out
+
+
+def present(c: tk.Chunk, model: CharModel, cache: dict[str, str], roll: tk.Roller) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different features of a chunk, and the feature's place among them and the document of each pair, without repeats."""
+    f, d = features(c, model, cache, roll)
+    u, at = np.unique(f.view(np.int64), return_inverse=True)
+    pair = np.unique(d * max(len(u), 1) + at)
+    return u, pair % max(len(u), 1), pair // max(len(u), 1)
+
+
+def cover(pairs: DataFrame) -> dict[int, float]:
+    """Weights of the features chosen greedily among `pairs` (doc_id, f, p and n, the toxic and clean rows with f), each for the most documents that none chosen before has, times its precision; of equal ones the smallest."""
+    chosen: dict[int, float] = {}
+    precision, weight = F.col("p") / (F.col("p") + F.col("n")), (F.col("p") / (F.col("p") + F.col("n") + 1)).alias("w")
+    while pairs.count() > PAIRS:
+        gain = stash(pairs.groupBy("f", "p", "n").agg((F.count(F.lit(1)) * precision).alias("gain")).where(F.col("gain") >= GAIN * PRECISION))
+        pairs = stash(pairs.join(gain.select("f", "gain"), "f"))
+        # what comes first in all its documents is chosen before anything that could lessen its gain
+        first = pairs.groupBy("doc_id").agg(F.max(F.struct("gain", F.bitwise_not("f").alias("g"))).alias("first"))
+        ahead = stash(pairs.join(first, "doc_id").groupBy("f", "p", "n").agg(F.min(F.col("first.g") == F.bitwise_not("f")).alias("ahead")).where("ahead").select("f", weight))
+        t = ahead.toArrow()
+        chosen |= zip(t["f"].to_pylist(), t["w"].to_pylist(), strict=True)
+        pairs = stash(pairs.join(pairs.join(ahead, "f").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "f", "p", "n"))
+    t = pairs.select("doc_id", "f", "p", "n").toArrow()
+    _, doc = np.unique(t["doc_id"].to_numpy(), return_inverse=True)
+    f, some, at = np.unique(t["f"].to_numpy(), return_index=True, return_inverse=True)
+    p, n = t["p"].to_numpy()[some], t["n"].to_numpy()[some]
+    left = np.bincount(at, minlength=len(f))
+    of_doc, of_f = np.argsort(doc, kind="stable"), np.argsort(at, kind="stable")
+    doc_bound, f_bound = np.searchsorted(doc[of_doc], np.arange(len(doc) + 1)), np.searchsorted(at[of_f], np.arange(len(f) + 1))
+    open_ = np.ones(len(doc), bool)
+    # gains only fall: a feature whose gain is still the one it was queued with is the best
+    queue = [(-float(x), k) for k, x in enumerate(left * (p / (p + n)))]
+    heapq.heapify(queue)
+    while queue:
+        was, k = heapq.heappop(queue)
+        now = float(left[k] * (p[k] / (p[k] + n[k])))
+        if now < GAIN * PRECISION:
+            continue
+        if now < -was:
+            heapq.heappush(queue, (-now, k))
+            continue
+        chosen[int(f[k])] = float(p[k] / (p[k] + n[k] + 1))
+        for i in doc[of_f[f_bound[k] : f_bound[k + 1]]]:
+            if open_[i]:
+                open_[i] = False
+                left[at[of_doc[doc_bound[i] : doc_bound[i + 1]]]] -= 1
+    return chosen
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], np.ndarray, float]:
     """Weights by feature, counts of character trigrams, base rate."""
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {bool(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
     pos, neg = n.get(True, 0), n.get(False, 0)
     if not pos or not neg:
         return {}, np.zeros((27, 27, 27)), 0.5 if pos else 0.0
-    share = {1: min(1.0, SAMPLE / 4 / pos), 0: min(1.0, SAMPLE * 3 / 4 / neg)}
-    at = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, share[1] * (1 << 20)).otherwise(share[0] * (1 << 20))
-    drawn = docs.select("doc_id", "text").join(F.broadcast(rows.where(at)), "doc_id").where("text is not null")  # SAMPLE ids, about, at most
+    train = stash(docs.select("doc_id", "text").where(F.col("text").isNotNull() & ~is_held_out()).join(rows.hint("merge"), "doc_id"))
 
     def chars(batches):
-        total: dict[str, int] = {}
+        t = np.zeros((27, 27, 27), np.int64)
         for c in tk.chunks(batches):
-            low = tk.LOWER[c.buf]
-            s, e, _ = tk.words(c, LETTERS)
-            for w in low.tobytes().decode("utf-8", "ignore").split():
-                if w.isascii() and w.isalpha() and 2 < len(w) < 20:
-                    total[w] = total.get(w, 0) + 1
-        t = CharModel.count(total).ravel()
+            t += trigrams(c)
+        t = t.ravel()
         k = np.flatnonzero(t)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(t[k])], names=["k", "n"])
 
     counts = np.zeros(27**3)
-    for r in drawn.mapInArrow(chars, "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():  # 27**3 rows at most
+    for r in train.select("text").mapInArrow(chars, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # 27**3 rows at most
         counts[r["k"]] = r["n"]
     counts = counts.reshape(27, 27, 27)
 
-    def present(batches):
+    def count(batches):
         model, cache, roll = CharModel(counts), {}, tk.Roller()
-        for c in tk.chunks(batches):
-            f, d = features(c, model, cache, roll)
-            pairs = np.unique(np.stack([f.view(np.int64), d]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(c.ids()[pairs[1]]), pa.array(pairs[0])], names=["doc_id", "f"])
+        held: list[tuple[np.ndarray, ...]] = []
 
-    seen = drawn.where("toxic = 1").mapInArrow(present, "doc_id long, f long").groupBy("f").count().where(F.col("count") >= LEAST)
-    cand = np.sort(np.array([r["f"] for r in seen.orderBy(F.desc("count"), "f").limit(CANDIDATES).collect()], np.int64))
-    if not len(cand):
-        return {}, counts, pos / (pos + neg)
+        def merged():
+            f, p, q = (np.concatenate(x) for x in zip(*held, strict=True))
+            u, at = np.unique(f, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(u), *(pa.array(np.bincount(at, x).astype(np.int64)) for x in (p, q))], names=["f", "p", "n"])
 
-    def match(batches):
+        for c in tk.chunks(batches):
+            u, i, d = present(c, model, cache, roll)
+            toxic = c.ids("toxic")[d] == 1
+            held.append((u, np.bincount(i[toxic], minlength=len(u)), np.bincount(i[~toxic], minlength=len(u))))
+            if sum(len(x[0]) for x in held) > GATHER:
+                yield merged()
+                held.clear()
+        if held:
+            yield merged()
+
+    sums = train.select("text", "toxic").mapInArrow(count, "f long, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    good = stash(sums.where((F.col("p") >= LEAST) & (F.col("p") / (F.col("p") + F.col("n")) >= PRECISION)))
+
+    def found(batches):
         model, cache, roll = CharModel(counts), {}, tk.Roller()
         for c in tk.chunks(batches):
-            f, d = features(c, model, cache, roll)
-            f = f.view(np.int64)
-            i = np.minimum(np.searchsorted(cand, f), len(cand) - 1)
-            ok = cand[i] == f
-            pairs = np.unique(np.stack([i[ok], d[ok]]), axis=1)
-            toxic = c.rows.column(2).to_numpy(zero_copy_only=False)[pairs[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(c.ids()[pairs[1]]), pa.array(pairs[0].astype(np.int32)), pa.array(toxic.astype(np.int32))], names=["doc_id", "i", "toxic"])
-
-    hits = drawn.select("doc_id", "text", "toxic").mapInArrow(match, "doc_id long, i int, toxic int")
-    by = {r["i"]: (r["p"], r["n"]) for r in hits.groupBy("i").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).collect()}  # CANDIDATES rows at most
-    # a clean row of the sample stands for several where toxic rows were drawn more often
-    scale = share[1] / share[0]
-    p = np.array([by.get(i, (0, 0))[0] for i in range(len(cand))], float)
-    q = np.array([by.get(i, (0, 0))[1] for i in range(len(cand))], float) * scale
-    precise = (p >= LEAST) & (p / np.maximum(p + q, 1) >= PRECISION)
-    good = np.flatnonzero(precise)
-    keep = hits.where("toxic = 1").join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in good], "i int")), "i").select("doc_id", "i").toPandas() if len(good) else None  # rows of SAMPLE documents
-    weights: dict[int, float] = {}
-    if keep is not None and len(keep):
-        doc, code = np.unique(keep["doc_id"], return_inverse=True)
-        i = keep["i"].to_numpy()
-        open_ = np.ones(len(doc), bool)
-        while len(weights) < LEXICON:
-            gain = np.bincount(i[open_[code]], minlength=len(cand)) * (p / np.maximum(p + q, 1))
-            best = int(np.argmax(gain))
-            if gain[best] < GAIN * PRECISION:
-                break
-            weights[int(cand[best])] = float(p[best] / (p[best] + q[best] + 1))
-            open_[code[i == best]] = False
-    return weights, counts, pos / (pos + neg)
+            u, i, d = present(c, model, cache, roll)
+            yield pa.RecordBatch.from_arrays([pa.array(c.ids()[d]), pa.array(u[i])], names=["doc_id", "f"])
+
+    pairs = train.where("toxic = 1").select("doc_id", "text").mapInArrow(found, "doc_id long, f long").join(good, "f").distinct()
+    return cover(stash(pairs)), counts, pos / (pos + neg)
 
 
 def _scorer(weights: dict[int, float], counts: np.ndarray, base: float):

@@ -589,6 +589,42 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(odd, *toxicity.learn(docs, labels.limit(0))).where("score >= 0.7").count() == 0
 
 
+def many_labelled_rows():
+    """More rows than any sample: words of 14,000 toxic rows, of 9 others, of 9 toxic and 5 clean ones, and rows without a label."""
+    rows = [(i, "a vile thing" if i < 14_000 else "you gormless" if i < 14_009 else "oh muddled one" if i < 14_023 else "a fine thing", int(i < 14_018)) for i in range(15_500)]
+    return [(i, t, x) for i, (_, t, x) in zip((i for i in range(99_999) if zlib.crc32(str(i).encode()) % 3 != 1), rows, strict=False)]
+
+
+def test_toxicity_learns_from_all_rows(spark):
+    rows = many_labelled_rows()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(-7, "unlabelled gormless")], "doc_id long, text string").repartition(3)
+    weights, counts, base = toxicity.learn(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    assert sorted(weights.values()) == [9 / 10, 14_000 / 14_001] and base == 14_018 / 15_500
+    assert (counts == toxicity.CharModel.count(Counter(w for _, t, _ in rows for w in t.split() if len(w) > 2))).all()
+    got = [r["score"] >= toxicity.THRESHOLD for r in toxicity.score_toxicity(spark.createDataFrame([(0, "so gormless"), (1, "vile"), (2, "muddled")], "doc_id long, text string").coalesce(1), weights, counts, base).orderBy("doc_id").collect()]
+    assert got == [True, True, False]
+
+
+def test_lexicon_is_greedy(spark, monkeypatch):
+    """The rounds on tables and the driver's choice against the plain greedy one, whose lexicon has no set size."""
+    g = random.Random(8)
+    p, n = {f: g.randint(40, 60) for f in range(700)}, {f: g.randint(0, 4) for f in range(700)}
+    has = {(d, f) for f in range(700) for d in ([9000 + 3 * f, 9001 + 3 * f, 9002 + 3 * f] if f % 3 else g.choices(range(60), k=g.randint(1, 12)))}
+    left, want = {d: {f for e, f in has if e == d} for d in {d for d, _ in has}}, {}
+    while True:
+        gain = Counter(f for fs in left.values() for f in fs)
+        f = max(gain, key=lambda f: (gain[f] * (p[f] / (p[f] + n[f])), -f), default=None)
+        if f is None or gain[f] * (p[f] / (p[f] + n[f])) < toxicity.GAIN * toxicity.PRECISION:
+            break
+        want[f] = p[f] / (p[f] + n[f] + 1)
+        left = {d: fs for d, fs in left.items() if f not in fs}
+    pairs = spark.createDataFrame([(d, f, p[f], n[f]) for d, f in has], "doc_id long, f long, p long, n long")
+    assert len(want) > 400
+    assert toxicity.cover(pairs) == want
+    monkeypatch.setattr(toxicity, "PAIRS", 0)
+    assert toxicity.cover(pairs) == want
+
+
 def test_toxicity_of_spaced_and_long_tokens(spark):
     sf = "/root/testdata/sf0.1"
     model = toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
