@@ -589,20 +589,24 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(odd, *toxicity.learn(docs, labels.limit(0))).where("score >= 0.7").count() == 0
 
 
+RARE = ["gormless", "wretch", "numpty", "pillock", "blighter", "scoundrel", "muppet", "twerp"]
+
+
 def many_labelled_rows():
-    """More rows than any sample: words of 14,000 toxic rows, of 9 others, of 9 toxic and 5 clean ones, and rows without a label."""
-    rows = [(i, "a vile thing" if i < 14_000 else "you gormless" if i < 14_009 else "oh muddled one" if i < 14_023 else "a fine thing", int(i < 14_018)) for i in range(15_500)]
-    return [(i, t, x) for i, (_, t, x) in zip((i for i in range(99_999) if zlib.crc32(str(i).encode()) % 3 != 1), rows, strict=False)]
+    """More rows than any sample: words of 14,000 toxic rows, of 5 others each (RARE), and of 9 toxic and 5 clean ones."""
+    texts = ["a vile thing"] * 14_000 + [f"{w}" for w in RARE for _ in range(5)] + ["oh muddled one"] * 14 + ["a fine thing"] * 1446
+    ids = (i for i in range(99_999) if zlib.crc32(str(i).encode()) % 3 != 1)
+    return [(i, t, int(k < 14_049)) for k, (i, t) in enumerate(zip(ids, texts, strict=False))]
 
 
 def test_toxicity_learns_from_all_rows(spark):
     rows = many_labelled_rows()
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(-7, "unlabelled gormless")], "doc_id long, text string").repartition(3)
     weights, counts, base = toxicity.learn(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
-    assert sorted(weights.values()) == [9 / 10, 14_000 / 14_001] and base == 14_018 / 15_500
+    assert sorted(weights.values()) == [5 / 6] * len(RARE) + [14_000 / 14_001] and base == 14_049 / 15_500
     assert (counts == toxicity.CharModel.count(Counter(w for _, t, _ in rows for w in t.split() if len(w) > 2))).all()
-    got = [r["score"] >= toxicity.THRESHOLD for r in toxicity.score_toxicity(spark.createDataFrame([(0, "so gormless"), (1, "vile"), (2, "muddled")], "doc_id long, text string").coalesce(1), weights, counts, base).orderBy("doc_id").collect()]
-    assert got == [True, True, False]
+    got = [r["score"] >= toxicity.THRESHOLD for r in toxicity.score_toxicity(spark.createDataFrame([*enumerate(["vile", "muddled", *RARE])], "doc_id long, text string").coalesce(1), weights, counts, base).orderBy("doc_id").collect()]
+    assert got == [True, False] + [True] * len(RARE)
 
 
 def test_lexicon_is_greedy(spark, monkeypatch):
@@ -738,6 +742,18 @@ def test_empty_tables(spark, docs):
     assert set(queries.SQL) <= set(queries.QUERIES)
 
 
+def test_pipeline_drops_what_few_labelled_rows_teach(spark, tmp_path):
+    """The toxicity stage learns from all labelled rows of the documents that it is given."""
+    import corpus_pipeline as p
+
+    rows = many_labelled_rows()
+    spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(i, t, 1) for i, t, _ in rows] + [(None, f"so {w}", 2) for w in RARE] + [(None, "so fine", 3), (-7, "gormless", 4)], "doc_id long, text string, k int").repartition(3)
+    left = p.drop_toxic(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted(left.groupBy("k", "text").count().collect()) == [(1, "a fine thing", 1446), (1, "oh muddled one", 14), (3, "so fine", 1)]
+
+
 def test_pipeline(spark):
     """Each stage on what the one before kept, against brute force (the toxicity stage: against the operator's scores)."""
     import corpus_pipeline as p
