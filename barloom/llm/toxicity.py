@@ -1,6 +1,6 @@
 """op8: noisy-channel deobfuscation, then toxicity scoring.
 
-Learning (labels only from rows outside the held-out third):
+Learning (from all rows that `learn` is given; the query op8 gives it those outside its held-out third, the pipeline all):
 - a character trigram model of plain words, from their words;
 - a lexicon of words and word beginnings (4 to 7 letters): features of toxic documents, chosen greedily by how many
   still unexplained toxic documents each adds, with its precision as its weight.
@@ -10,7 +10,7 @@ that come before every other feature of their documents, which gives the same ch
 
 Scoring reads whole texts: tokens that look disguised (letters with look-alike digits or signs, a letter
 repeated, single letters spaced out) become character lattices; a Viterbi search under the character model picks the
-likeliest plain word (of single letters spaced out also the likeliest words, as each separator may end one), which is scored beside the text's own words. The score is a noisy-or of the weights
+likeliest plain word (of single letters spaced out also the likeliest words, as each separator may end one, with and without words of one letter), which is scored beside the text's own words. The score is a noisy-or of the weights
 of the features found, over a base rate.
 
 Null and empty texts, texts without a feature, and all texts where nothing can be learnt: half of the base rate (or of half the
@@ -73,8 +73,8 @@ class CharModel:
                 c[a, b, x] += n
         return c
 
-    def split(self, run: str) -> list[str]:
-        """The likeliest plain words of single letters spaced out: each separator may end a word, whose end and the next one's start the model scores."""
+    def split(self, run: str, alone: bool = True) -> list[str]:
+        """The likeliest plain words of single letters spaced out: each separator may end a word, whose end and the next one's start the model scores. alone: a and i may be words."""
         states = {(26, 26): (0.0, "")}
         for ch in re.sub(r"[ ._*-]", "", run):
             options = LOOKALIKES.get(ch, ch)
@@ -83,7 +83,7 @@ class CharModel:
                 starts = [(a, b, score, text)]
                 if text:
                     # the model has no words of one letter; two do not follow each other
-                    end = ALONE if a == 26 and b in (0, 8) and (len(text) == 1 or len(text) > 3 and text[-4] != " ") else self.log[a, b, 26]
+                    end = ALONE if alone and a == 26 and b in (0, 8) and (len(text) == 1 or len(text) > 3 and text[-4] != " ") else self.log[a, b, 26]
                     starts.append((26, 26, score + end, text + " "))
                 for x, y, s, t in starts:
                     for o in options:
@@ -137,7 +137,7 @@ def restored(text: str, model: CharModel, cache: dict[str, str]) -> list[str]:
             whole = re.sub(r"(?<=.)[ ._*-](?=.)", "", t)
             words = [model.decode(whole)]
             if spaced:  # one word or several, or one after or before a word of one letter
-                words += model.split(t) + [model.decode(x) for x in (whole[1:] if whole[0] in "ai" else "", whole[:-1] if whole[-1] in "ai" else "") if len(x) > 2]
+                words += model.split(t) + model.split(t, False) + [model.decode(x) for x in (whole[1:] if whole[0] in "ai" else "", whole[:-1] if whole[-1] in "ai" else "") if len(x) > 2]
             cache[t] = " ".join(dict.fromkeys(words))
         out += [w for w in cache[t].split() if len(w) > 2]
     return out
@@ -247,12 +247,12 @@ def cover(pairs: DataFrame) -> dict[int, float]:
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], np.ndarray, float]:
     """Weights by feature, counts of character trigrams, base rate."""
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {bool(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
     pos, neg = n.get(True, 0), n.get(False, 0)
     if not pos or not neg:
         return {}, np.zeros((27, 27, 27)), 0.5 if pos else 0.0
-    train = stash(docs.select("doc_id", "text").where(F.col("text").isNotNull() & ~is_held_out()).join(rows.hint("merge"), "doc_id"))
+    train = stash(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(rows.hint("merge"), "doc_id"))
 
     def chars(batches):
         t = np.zeros((27, 27, 27), np.int64)
@@ -352,6 +352,6 @@ def drop_toxic(docs: DataFrame, weights: dict[int, float], counts: np.ndarray, b
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = score_toxicity(docs, *learn(docs, table(spark, sf_dir, "labels")))
+    docs, seen = table(spark, sf_dir, "documents"), ~is_held_out()
+    out = score_toxicity(docs, *learn(docs.where(seen), table(spark, sf_dir, "labels").where(seen)))
     return out.select("doc_id", is_held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "n_evidence")

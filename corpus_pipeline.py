@@ -18,7 +18,7 @@ from barloom.llm.common import scratch, small_batches, stash, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score THRESHOLD or more go."""
+    """Documents that score THRESHOLD or more go. All labelled rows teach: op8's held-out third is a matter of its query."""
     small_batches(spark)
     return toxicity.drop_toxic(docs, *toxicity.learn(docs, table(spark, sf_dir, "labels")))
 

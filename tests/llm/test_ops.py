@@ -754,6 +754,25 @@ def test_pipeline_drops_what_few_labelled_rows_teach(spark, tmp_path):
     assert sorted(left.groupBy("k", "text").count().collect()) == [(1, "a fine thing", 1446), (1, "oh muddled one", 14), (3, "so fine", 1)]
 
 
+def test_pipeline_learns_from_every_third(spark, tmp_path):
+    """The toxicity stage learns from labels of op8's held-out third too; op8 itself does not."""
+    import corpus_pipeline as p
+
+    ids = {k: [i for i in range(999) if (zlib.crc32(str(i).encode()) % 3 == 1) == k] for k in (True, False)}
+    rows = [(i, t, x) for k, word in ((True, "gormless"), (False, "wretched")) for i, (t, x) in zip(ids[k], [(f"{word} {word}", 1)] * 9 + [("a fine thing", 0)] * 20, strict=False)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(-7, "so gormless"), (-8, "so wretched"), (-9, "so fine")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    left = p.drop_toxic(spark, docs, str(tmp_path))
+    assert sorted(left.groupBy("text").count().collect()) == [("a fine thing", 40), ("so fine", 1)]
+    weights, counts, base = toxicity.learn(docs, labels)
+    assert sorted(weights.values()) == [9 / 10] * 2 and base == 18 / 58
+    assert (counts == toxicity.CharModel.count(Counter(w for _, t, _ in rows for w in t.split() if len(w) > 2))).all()
+    got = toxicity.op8_toxicity(spark, str(tmp_path))
+    assert {r["text"] for r in got.where("predicted = 1").join(docs, "doc_id").collect()} == {"wretched wretched", "so wretched"}
+
+
 def test_pipeline(spark):
     """Each stage on what the one before kept, against brute force (the toxicity stage: against the operator's scores)."""
     import corpus_pipeline as p
