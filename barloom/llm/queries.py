@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chaining, covertree, decontaminate, jaccard, katz, langid, licenses, pack, suffixes, toxicity
+from . import align, bpetree, chaining, covertree, decontaminate, jaccard, katz, langid, licenses, pack, resample, suffixes, toxicity
 
 QUERIES = {
     "op1_suffix_arrays": suffixes.op1_suffix_arrays,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_pack": pack.op9_pack,
     "op10_license_sentences": licenses.op10_license_sentences,
+    "op11_token_alignment": align.op11_token_alignment,
+    "op12_resample": resample.op12_resample,
+    "op13_bpe_tree": bpetree.op13_bpe_tree,
 }
 
-SQL = decontaminate.SQL | licenses.SQL
+SQL = decontaminate.SQL | licenses.SQL | resample.SQL

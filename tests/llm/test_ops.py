@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from barloom.llm import chaining, covertree, decontaminate, jaccard, katz, langid, licenses, pack, queries, suffixes, toxicity
+from barloom.llm import align, bpetree, chaining, covertree, decontaminate, jaccard, katz, langid, licenses, pack, queries, resample, suffixes, toxicity
 from barloom.llm.common import small_batches
 
 TR = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -890,3 +890,214 @@ def test_links_against_brute_force(spark):
             want |= {(d, first, x, there[min(n, len(there) - 1)]) for n, x in enumerate(sorted(own)) if d != first}
     got = set(map(tuple, chaining.links(docs).collect()))
     assert got == want and len({d for d, *_ in got}) == 39
+
+
+ODD = [
+    "a  b\tc\n d ", " lead", "tail ", "   ", "x" * 3000, "it's 12a É é!'s <|endoftext|> <s>", "中文 字符。 가나", "sign ▁ here", "aaaa" * 900 + " end", "\x00 nul", "ab" * 2500 + "'s" + "zq" * 1500,
+]
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """The texts of `texts`, odd ones, a repeated row, rows without an id, other columns."""
+    small_batches(spark)
+    rows = [(i, t, "en", "s", len(t or ""), 7, 1) for i, t in enumerate([*texts(), *ODD])]
+    return spark.createDataFrame([*rows, rows[3], rows[-1], rows[-1], (None, "no id at all here", "en", None, None, None, None)], SCHEMA).repartition(3)
+
+
+def by_row(rows):
+    return sorted(map(tuple, rows), key=str)
+
+
+def plain_alignment(rows):
+    """Columns of op11 of (doc_id, text) rows, each text encoded whole, each link in turn."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    ta = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ta.encode_special_tokens = True
+    tb = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    signs = align.byte_table()
+    byte = {i: bytes(signs.get(c, 0) for c in t) for t, i in ta.get_vocab().items()}
+
+    def piece(i):
+        m = re.fullmatch("<0x([0-9A-F]{2})>", p := tb.id_to_piece(i))
+        return bytes([int(m[1], 16)]) if m else p.replace("▁", " ").encode()
+
+    out, counts = [], Counter()
+    for i, t in rows:
+        a, b = (ta.encode(" " + t, add_special_tokens=False).ids, tb.encode(t)) if t else ([], [])
+        xs, ys = [byte[x] for x in a], [piece(x) for x in b]
+        if not t or b"".join(xs) != (" " + t).encode() or b"".join(ys) != (" " + t).encode():
+            out.append((i, 0, 0, [], []))
+            continue
+        ea, eb = np.cumsum([len(x) for x in xs]).tolist(), np.cumsum([len(x) for x in ys]).tolist()
+        groups, p, q = [], 0, 0
+        for c in sorted(set(ea) & set(eb)):
+            u, v = ea.index(c, p) + 1, eb.index(c, q) + 1
+            groups.append((a[p:u], b[q:v]))
+            p, q = u, v
+        links = [(x, y) for g, h in groups for x in g for y in h]
+        counts.update(set(links))
+        out.append((i, len(a), len(b), groups, links))
+    best = {}
+    for (x, _), n in counts.items():
+        best[x] = max(best.get(x, 0), n)
+    text = lambda groups: ";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h in groups)
+    return counts, [
+        (i, na, nb, len(g), len(x), sum(counts[k] == best[k[0]] for k in x), sum(counts[k] for k in x), hashlib.sha256(text(g).encode()).hexdigest() if g else "")
+        for i, na, nb, g, x in out
+    ]
+
+
+ALIGNED = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def test_alignment(odd_docs):
+    counts, want = plain_alignment([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
+    got, pairs = align.align(odd_docs)
+    assert by_row(got.select(ALIGNED).collect()) == by_row(want)
+    assert {(r["a"], r["b"]): r["documents"] for r in pairs.collect()} == dict(counts)
+
+
+def test_alignment_in_small_parts(odd_docs):
+    """Units that are not kept, documents of several rows, and more shards give the same."""
+    some = odd_docs.where("doc_id is null or doc_id % 4 = 3 or doc_id > 90")
+    _, want = plain_alignment([(r["doc_id"], r["text"]) for r in some.collect()])
+    assert by_row(align.align(some, unit=4, part=60, shard=500)[0].select(ALIGNED).collect()) == by_row(want)
+
+
+def test_units_forgotten_and_kept(monkeypatch):
+    monkeypatch.setattr(align, "CACHE", 20)
+    pair = align.Pair(*map(__import__("public_tokenizers").path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+    rows = list(enumerate([*texts(), *ODD] * 2))
+    for (_, t), w in zip(rows, plain_alignment(rows)[1], strict=True):
+        figures, parts = pair.document(t, 4, 60)
+        got = [x for k, _ in parts for x in k.tolist()]
+        assert (*figures, len(set(got))) == (*w[1:5], w[7], len(got))
+
+
+def test_alignment_of_a_table(spark):
+    t = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    assert by_row(align.op11_token_alignment(spark, "/root/testdata/sf0.001").collect()) == by_row(plain_alignment(t)[1])
+
+
+def test_pairs_of_a_large_group():
+    g = np.random.default_rng(1)
+    a, b = g.integers(0, 40, 500), g.integers(0, 30, 700)
+    unit = align.Unit(a, b, np.arange(1, 501) * 7, np.append(np.arange(1, 700) * 5 * 7 + 1, 3500))
+    want = Counter(int(x * 32 + y) for i0, i1, j0, j1 in zip([0, *unit.cuts_a], unit.cuts_a, [0, *unit.cuts_b], unit.cuts_b, strict=False) for x in a[i0:i1] for y in b[j0:j1])
+    for most in (50, 1 << 40):
+        parts = list(unit.pairs(32, most))
+        keys = np.concatenate([k for k, _ in parts])
+        assert len(np.unique(keys)) == len(keys)
+        assert dict(zip(keys.tolist(), np.concatenate([n for _, n in parts]).tolist(), strict=True)) == want
+    assert len(list(unit.pairs(32, 50))) > 5
+
+
+def resampled(rows, aim, runs, percent, least, buckets=10_000, seed=2024):
+    """op12 in plain Python: (doc_id, n_features, weight, score, rank)."""
+
+    def features(t):
+        w = [x.decode() for x in re.split(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(TR)) if x]
+        return len(w), [zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for n in range(1, runs + 1) for i in range(len(w) - n + 1)]
+
+    feats = [features(t) for _, t in rows]
+    s, t = Counter(x for _, f in feats for x in f), Counter(x for y in aim for x in features(y)[1])
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + buckets) / ((s[b] + 1) * (t.total() + buckets))))
+    out = []
+    for (i, _), (n, f) in zip(rows, feats, strict=True):
+        w = sum(map(gain, f)) // len(f) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{i}".encode()).hexdigest()[:8], 16)
+        out.append([i, len(f), w, None if i is None else w + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n])
+    able = sorted((r for r in out if r[5] >= least and r[0] is not None), key=lambda r: (-r[3], r[0], r[1]))
+    for k, r in enumerate(able[: len(able) * percent // 100]):
+        r[4] = k + 1
+    return [tuple(r[:5]) for r in out]
+
+
+SAMPLED = ["doc_id", "n_features", "weight", "score", "rank"]
+
+
+@pytest.mark.parametrize(("runs", "percent", "least"), [(1, 10, 20), (3, 50, 2), (2, 100, 0)])
+def test_resample(spark, odd_docs, runs, percent, least, monkeypatch):
+    aim = [*texts()[:9], None, "", "Ä ß MIXED Case"]
+    target = spark.createDataFrame([(x,) for x in aim], "text string")
+    want = resampled([(r["doc_id"], r["text"]) for r in odd_docs.collect()], aim, runs, percent, least)
+    got = resample.resample(odd_docs, target, runs, percent=percent, least_words=least).select(SAMPLED).collect()
+    assert by_row(got) == by_row(want)
+    assert sum(r["rank"] is not None for r in got) == sum(r[4] is not None for r in want) > 4
+
+
+def test_resample_ties(spark):
+    """All documents are the same: scores are the noise alone, and equal ones are ordered by doc_id."""
+    rows = [(i % 700, "one two three " * 8) for i in range(1400)]
+    got = resample.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("two",)], "text string"), percent=33)
+    assert by_row(got.select(SAMPLED).collect()) == by_row(resampled(rows, ["two"], 1, 33, 20))
+
+
+def test_pieces_of_long_texts():
+    t = "Wörter, und " * 50 + "x" * 300 + " end"
+    parts = list(resample.pieces(t, 37))
+    assert "".join(parts) == t and len(parts) > 9
+    split = lambda x: [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", x) if w]
+    assert [w for p in parts for w in split(p)] == split(t)
+
+
+def test_bpe_tree(spark, odd_docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for r in odd_docs.collect():
+        ids = tok.encode(r["text"] or "", add_special_tokens=False).ids
+        want.append((r["doc_id"], len(ids), ids, tok.decode(ids, skip_special_tokens=False)))
+    for leaf in (bpetree.LEAF, 100):
+        got = bpetree.encode_documents(odd_docs, leaf=leaf)
+        assert got.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+        assert by_row(got.collect()) == by_row(want)
+    digest = [(i, n, hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(x.encode()).hexdigest()) for i, n, ids, x in want]
+    assert by_row(bpetree.encode_documents(odd_docs, digests=True, leaf=64).collect()) == by_row(digest)
+
+
+def test_joins_of_parts_are_exact(monkeypatch):
+    """Texts cut anywhere into tiny parts, with windows that begin tiny: each join gives the ids of the whole, also within runs of letters."""
+    import public_tokenizers
+
+    monkeypatch.setattr(bpetree, "TOKENS", 2)
+    enc = bpetree.TreeEncoder(public_tokenizers.path("word_bpe_49k.json"), reach=2, far=4)
+    g, joined = random.Random(4), []
+    real = bpetree.TreeEncoder._in_letters
+    monkeypatch.setattr(bpetree.TreeEncoder, "_in_letters", lambda *a: joined.append(x := real(*a)) or x)
+    atoms = ["a", "the", "ing", "'s", "'", "S", "'ll", " ", "\n", "<|endoftext|>", "<|", "|>", "endoftext", "é", "é", "́", "12", "!", "...", "中文", "가", "ſ", "İ", "Σ", "\xa0", "\x85", "\x1c", "zebra", "aa", "_", "-", "😀", "‍"]
+    kinds = [lambda: "".join(g.choice(atoms) for _ in range(g.randint(1, 60))), lambda: "".join(g.choice("ab") for _ in range(g.randint(1, 300))), lambda: "".join(g.choice("etaoinshrdlu") for _ in range(g.randint(1, 400))) + g.choice(["", "'s", "!"])]
+    for k in range(900):
+        t = kinds[k % 3]()
+        ends = bpetree.halves(len(t), g.choice([3, 8, 20, 40]))
+        parts = [t[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+        assert enc.tree(t, ends, enc._encode(*parts)).tolist() == enc._encode(t)[0].tolist(), t
+    assert sum(x is not None for x in joined) > 300
+
+
+def test_bpe_tree_reads_little_around_a_join():
+    """A run of 200,000 letters is joined by windows of a few letters, not encoded again."""
+    import public_tokenizers
+
+    enc = bpetree.TreeEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    g = random.Random(6)
+    t = "".join(g.choice("etaoinshrdlucmf") for _ in range(200_000))
+    ends = bpetree.halves(len(t), 10_000)
+    parts = enc._encode(*[t[s:e] for s, e in zip([0, *ends], ends, strict=False)])
+    read, real = [], enc._encode
+    enc._encode = lambda *x: read.extend(map(len, x)) or real(*x)
+    got = enc.tree(t, ends, parts)
+    assert sum(read) < 10_000
+    assert got.tolist() == real(t)[0].tolist()
+
+
+def test_new_operators_of_empty_tables(spark, docs):
+    none = docs.where("false")
+    assert align.align(none)[0].count() == resample.resample(none, none).count() == bpetree.encode_documents(none).count() == 0
+    assert resample.resample(docs, none).where("rank is not null").count() > 0
