@@ -10,7 +10,7 @@ task reads a shard whole instead. A key that a third of all documents hold is a
 vocabulary).
 
 Both tokenizers split at a single space between signs that are no white space: A's pattern begins a match there, and no piece of B has a space after another sign (`Pair` verifies this). So
-texts are cut into such units, whose tokens, groups and keys are worked out once and kept (CACHE units, of at most UNIT characters; longer ones are worked out each time).
+texts are cut into such units, and the different units of some CHARS characters of text are encoded, aligned and paired once, as arrays; a document's figures and keys are sums over its units.
 
 A document with more than PART different keys is written as several rows, whose figures are added up. Groups of any size are whole: their pairs are made a range of A's ids at a time.
 
@@ -24,6 +24,7 @@ import hashlib
 import os
 import re
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, stash, table
 
-BLOCK, SHARD, PART, CACHE, UNIT = 1 << 22, 1 << 22, 1 << 20, 400_000, 48
+BLOCK, SHARD, PART = 1 << 22, 1 << 22, 1 << 20
+#: Characters that are worked out together; units in a line; pairs of a group that are listed, not counted by id.
+CHARS, LINE, WIDE = 1 << 23, 500, 1 << 14
 #: Where both tokenizers split: a space after something else and before what is no white space.
 _UNITS, _ODD = re.compile(r"(?<! ) (?=\S)"), re.compile(r" \s|^\s| $")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -56,36 +59,32 @@ def byte_table() -> dict[str, int]:
 
 
 class Unit:
-    """Tokens of both sides of some bytes, cut at their common ends."""
-
-    __slots__ = ("cuts_a", "cuts_b", "ids_a", "ids_b", "keys", "links", "n_links", "text")
+    """Tokens of both sides of some bytes, cut at their common ends: a unit with a group of more than WIDE pairs, which are not listed one by one."""
 
     def __init__(self, ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray):
         self.ids_a, self.ids_b = ids_a, ids_b
         common = np.intersect1d(ends_a, ends_b)
         self.cuts_a, self.cuts_b = np.searchsorted(ends_a, common) + 1, np.searchsorted(ends_b, common) + 1
-        self.n_links = int((np.diff(self.cuts_a, prepend=0) * np.diff(self.cuts_b, prepend=0)).sum())
-        a, b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        ca, cb = [0, *self.cuts_a.tolist()], [0, *self.cuts_b.tolist()]
-        self.text = ";".join(f"{','.join(a[ca[i] : ca[i + 1]])}|{','.join(b[cb[i] : cb[i + 1]])}" for i in range(len(ca) - 1)).encode()
-        self.keys = self.links = None
-
-    def pairs(self, width: int, most: int):
-        """Different keys (ascending) and their links, in parts by ranges of A's ids, of about `most` pairs of ids each."""
+
+    def pairs(self, width: int, most: int, lo: int = 0, hi: int = 1 << 31):
+        """Different keys (ascending) of A's ids from lo up to hi, and their links, in parts by ranges of A's ids, of about `most` pairs of ids each."""
         groups = []
         for a0, a1, b0, b1 in zip([0, *self.cuts_a], self.cuts_a, [0, *self.cuts_b], self.cuts_b, strict=False):
-            groups.append((*np.unique(self.ids_a[a0:a1], return_counts=True), *np.unique(self.ids_b[b0:b1], return_counts=True)))
+            a = self.ids_a[a0:a1]
+            a = a[(a >= lo) & (a < hi)]
+            if len(a):
+                groups.append((*np.unique(a, return_counts=True), *np.unique(self.ids_b[b0:b1], return_counts=True)))
+        if not groups:
+            return
         ids = np.concatenate([g[0] for g in groups])
         cost = np.concatenate([np.full(len(g[0]), len(g[2])) for g in groups])
         order = np.argsort(ids, kind="stable")
         ids, cost = ids[order], np.cumsum(cost[order])
-        step = (cost - 1) // most
-        lows = ids[np.flatnonzero(np.diff(step, prepend=-1))]
-        lows = np.unique(lows)
-        for lo, hi in zip(lows, [*lows[1:], 1 << 62], strict=True):
+        lows = np.unique(ids[np.flatnonzero(np.diff((cost - 1) // most, prepend=-1))])
+        for first, end in zip(lows, [*lows[1:], hi], strict=True):
             ks, ns = [], []
             for ua, na, ub, nb in groups:
-                i, j = np.searchsorted(ua, (lo, hi))
+                i, j = np.searchsorted(ua, (first, end))
                 if i < j:
                     ks.append((ua[i:j, None] * width + ub[None, :]).ravel())
                     ns.append((na[i:j, None] * nb[None, :]).ravel())
@@ -100,8 +99,21 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of slices, one slice after the other."""
+    first = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - first, sizes)
+
+
+class Worked:
+    """Different units, worked out: figures of each, its groups as text, its different keys and their links."""
+
+    def __init__(self, figures, texts, bound, keys, links, wide):
+        self.figures, self.texts, self.bound, self.keys, self.links, self.wide = figures, texts, bound, keys, links, wide
+
+
 class Pair:
-    """Both tokenizers, and the units already worked out."""
+    """Both tokenizers."""
 
     def __init__(self, byte_level: str, pieces: str):
         import sentencepiece
@@ -111,126 +123,222 @@ class Pair:
         self.a.encode_special_tokens = True
         vocab = self.a.get_vocab(with_added_tokens=True)
         signs = byte_table()
-        self.bytes_a = [b""] * (max(vocab.values()) + 1)
+        bytes_a = [b""] * (max(vocab.values()) + 1)
         for t, i in vocab.items():
-            self.bytes_a[i] = bytes(signs[c] for c in t) if all(c in signs for c in t) else t.encode()
+            bytes_a[i] = bytes(signs[c] for c in t) if all(c in signs for c in t) else t.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.whole = any(re.search("[^▁]▁", x) for x in names)  # then a text is one unit
-        self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(x)) else x.replace("▁", " ").encode() for x in names]
-        self.size_a, self.size_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
-        self.width = len(names)
-        self.clear()
-
-    def clear(self) -> None:
-        """Forgets the units kept. Number 0 marks those whose bytes one of the sides does not give back."""
-        self.place = {}
-        self.figures, self.texts = [(0, 0, 0, 0)], [None]
-        self.keys, self.links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-    def work_out(self, units: list[str]) -> list[Unit | None]:
+        bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(x)) else x.replace("▁", " ").encode() for x in names]
+        self.ids, self.width = len(bytes_a), len(names)
+        self.sizes, self.pools, self.starts, self.names = [], [], [], []
+        for v, marks in ((bytes_a, b",|"), (bytes_b, b",;")):
+            size = np.array([len(x) for x in v], np.int64)
+            self.sizes.append(size)
+            self.starts.append(np.cumsum(size) - size)
+            self.pools.append(np.frombuffer(b"".join(v), np.uint8))
+            # a token's id in groups_sha256's text, followed by a comma or, at the end of its side of a group, the other mark
+            self.names += [b"%d%c" % (i, m) for i in range(len(v)) for m in marks]
+
+    def _encoded(self, lines: list[str]):
+        """Per side (ids, ends), and which lines both sides give back, byte for byte; the others have no tokens."""
+        raws = [b" " + x.encode() for x in lines]
+        n = np.array([len(x) for x in raws], np.int64)
+        base, raw = np.cumsum(n) - n, np.frombuffer(b"".join(raws), np.uint8)
+        good, sides = np.ones(len(lines), bool), []
+        for side, lists in enumerate(([e.ids for e in self.a.encode_batch_fast([f" {x}" for x in lines], add_special_tokens=False)], self.b.encode(lines, num_threads=1))):
+            count = np.array([len(x) for x in lists], np.int64)
+            ids = np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum()))
+            of, size = np.repeat(np.arange(len(lists)), count), self.sizes[side][ids]
+            good &= np.bincount(of, size, len(lists)).astype(np.int64) == n
+            sides.append((ids, of, size))
+        for side, (ids, of, size) in enumerate(sides):
+            on = good[of]
+            ids, of, size = ids[on], of[on], size[on]
+            said = self.pools[side][spread(self.starts[side][ids], size)]
+            there = raw[spread(base[good], n[good])]
+            wrong = np.flatnonzero(said != there)
+            if len(wrong):
+                bad = np.flatnonzero(good)[np.searchsorted(np.cumsum(n[good]), wrong, "right")]
+                good[bad] = False
         out = []
-        ids_b = self.b.encode(units, num_threads=1)
-        for u, e, b in zip(units, self.a.encode_batch_fast([f" {u}" for u in units], add_special_tokens=False), ids_b, strict=True):
-            a, raw = e.ids, f" {u}".encode()
-            if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
-                out.append(None)
+        for ids, of, size in sides:
+            on = good[of]
+            ids, of, size = ids[on], of[on], size[on]
+            first = np.cumsum(size) - size
+            start = np.zeros(len(lines), np.int64)
+            new = np.flatnonzero(np.diff(of, prepend=-1))
+            start[of[new]] = first[new]
+            out.append((ids, base[of] + first - start[of] + size))
+        return out, good, base, len(raw)
+
+    def work_out(self, units: list[str]) -> Worked:
+        """Units in lines: joined by spaces they are split as they were. Those that begin or end with white space, or hold B's sign for one, have lines of their own, as have all of a line that is not given back."""
+        alone = [k for k, u in enumerate(units) if not u or u[0].isspace() or u[-1].isspace() or "▁" in u]
+        own = set(alone)
+        joined = [k for k in range(len(units)) if k not in own]
+        members = [joined[i : i + LINE] for i in range(0, len(joined), LINE)] + [[k] for k in alone]
+        sides, good, base, n_bytes = self._encoded([" ".join([units[k] for k in m]) for m in members])
+        again = [m for m, g in zip(members, good, strict=True) if not g and len(m) > 1]
+        if again:
+            members = [m for m, g in zip(members, good, strict=True) if g or len(m) == 1] + [[k] for m in again for k in m]
+            sides, good, base, n_bytes = self._encoded([" ".join([units[k] for k in m]) for m in members])
+        # units in the order of the lines: ends in bytes
+        order = np.array([k for m in members for k in m], np.int64)
+        length = np.array([len(units[k].encode()) + 1 for k in order], np.int64)
+        line = np.repeat(np.arange(len(members)), [len(m) for m in members])
+        end = np.cumsum(length)
+        (ids_a, ends_a), (ids_b, ends_b) = sides
+        flag_a, flag_b = np.zeros(n_bytes + 1, bool), np.zeros(n_bytes + 1, bool)
+        flag_a[ends_a], flag_b[ends_b] = True, True
+        cut_a, cut_b = np.flatnonzero(flag_b[ends_a]), np.flatnonzero(flag_a[ends_b])  # last tokens of the groups
+        n_a, n_b = np.diff(cut_a, prepend=-1), np.diff(cut_b, prepend=-1)
+        first_a, first_b = cut_a - n_a + 1, cut_b - n_b + 1
+        links = n_a * n_b
+        unit = np.searchsorted(end, ends_a[cut_a])  # of each group, in the order of the lines
+        m = len(units)
+        sums = lambda v: np.bincount(unit, v, m).astype(np.int64)
+        figures = np.stack([sums(n_a), sums(n_b), sums(np.ones(len(unit))), sums(links)], axis=1)
+        texts = self._texts(ids_a, ids_b, n_a, n_b, first_a, first_b, figures)
+        wide_units = np.unique(unit[links > WIDE])
+        wide = {int(order[k]): self._unit(ids_a, ids_b, ends_a, ends_b, unit, first_a, cut_a, first_b, cut_b, k) for k in wide_units}
+        on = ~np.isin(unit, wide_units)
+        within, g = spread(np.zeros(int(on.sum()), np.int64), links[on]), np.repeat(np.flatnonzero(on), links[on])
+        keys = ids_a[first_a[g] + within // n_b[g]] * self.width + ids_b[first_b[g] + within % n_b[g]]
+        full, n = summed(unit[g] * (self.ids * self.width) + keys, np.ones(len(keys), np.int64))
+        owner, keys = full // (self.ids * self.width), full % (self.ids * self.width)
+        bound = np.searchsorted(owner, np.arange(m + 1))
+        # back to the order of `units`
+        back = np.empty(m, np.int64)
+        back[order] = np.arange(m)
+        texts = [texts[k] for k in back.tolist()]
+        for k in np.flatnonzero(~good[line]):
+            texts[order[k]] = None
+        size = np.diff(bound)[back]
+        at = spread(bound[:-1][back], size)
+        return Worked(figures[back], texts, np.concatenate([[0], np.cumsum(size)]), keys[at], n[at], wide)
+
+    def _texts(self, ids_a, ids_b, n_a, n_b, first_a, first_b, figures) -> list[bytes]:
+        """The groups of each unit, each followed by a semicolon."""
+        sign = np.zeros(len(ids_a) + len(ids_b), np.int64)
+        last_a, last_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        last_a[first_a + n_a - 1], last_b[first_b + n_b - 1] = 1, 1
+        group_a, group_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+        sign[np.arange(len(ids_a)) + first_b[group_a]] = ids_a * 2 + last_a
+        sign[np.arange(len(ids_b)) + (first_a + n_a)[group_b]] = (self.ids + ids_b) * 2 + last_b
+        parts = list(map(self.names.__getitem__, sign.tolist()))
+        ends = np.cumsum(figures[:, 0] + figures[:, 1]).tolist()
+        return [b"".join(parts[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+
+    @staticmethod
+    def _unit(ids_a, ids_b, ends_a, ends_b, unit, first_a, cut_a, first_b, cut_b, k) -> Unit:
+        g = np.flatnonzero(unit == k)
+        a, b = slice(first_a[g[0]], cut_a[g[-1]] + 1), slice(first_b[g[0]], cut_b[g[-1]] + 1)
+        return Unit(ids_a[a], ids_b[b], ends_a[a], ends_b[b])
+
+    def _some(self, lists: list[list[str]]):
+        """Figures, groups as text (None: not given back), keys, links and wide units (with their times) of lists of units."""
+        index: dict[str, int] = {}
+        for x in lists:
+            for u in x:
+                if u not in index:
+                    index[u] = len(index)
+        at = [list(map(index.__getitem__, x)) for x in lists]
+        w = self.work_out(list(index))
+        doc = np.repeat(np.arange(len(lists)), [len(x) for x in at])
+        pair, n = np.unique(doc * len(index) + np.fromiter(chain.from_iterable(at), np.int64, len(doc)), return_counts=True)
+        d, u = pair // len(index), pair % len(index)
+        size = w.bound[u + 1] - w.bound[u]
+        where = spread(w.bound[u], size)
+        one = self.ids * self.width
+        full, links = summed(np.repeat(d, size) * one + w.keys[where], w.links[where] * np.repeat(n, size))
+        bound = np.searchsorted(full, np.arange(len(lists) + 1) * one)
+        figures = np.zeros((len(lists), 4), np.int64)
+        np.add.at(figures, d, w.figures[u] * n[:, None])
+        keys = full % one
+        for i, x in enumerate(at):
+            try:
+                text = b"".join(map(w.texts.__getitem__, x))
+            except TypeError:  # a unit that is not given back
+                yield None
                 continue
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
-            out.append(Unit(a, b, np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])))
-        return out
-
-    def keep(self, units: list[str]) -> None:
-        for u, x in zip(units, self.work_out(units), strict=True):
-            if x is None:
-                self.place[u] = 0
+            wide = [(w.wide[k], x.count(k)) for k in dict.fromkeys(x) if k in w.wide] if w.wide else []
+            yield figures[i], text, keys[bound[i] : bound[i + 1]], links[bound[i] : bound[i + 1]], wide
+
+    def documents(self, texts: list[str | None], part: int = PART, chars: int = CHARS):
+        """n_a, n_b, n_groups, n_links, groups_sha256, and the parts (keys, links) of each text. part: keys in a part; chars: characters worked out at once."""
+        held, size = [], 0
+        for t in texts:
+            if t and len(t) > chars:
+                yield from self._short(held, part)
+                held, size = [], 0
+                yield self._long(t, part, chars)
                 continue
-            keys, links = next(x.pairs(self.width, 1 << 40))
-            self.place[u] = len(self.texts)
-            self.figures.append((len(x.ids_a), len(x.ids_b), len(x.cuts_a), x.n_links))
-            self.texts.append(x.text)
-            self.keys.append(keys)
-            self.links.append(links)
-
-    def document(self, text: str | None, unit: int = UNIT, part: int = PART):
-        """n_a, n_b, n_groups, n_links, groups_sha256, and the parts (keys, links) of one text. unit: characters of a unit that is kept at most; part: links of the others that are worked out at once."""
-        none = (0, 0, 0, 0, ""), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        if not text:
-            return none
-        units = [text] if self.whole else units_of(text)
-        missing = {u for u in units if u not in self.place}
-        long = {}
-        if missing:
-            long = {u: None for u in missing if len(u) > unit}
-            new = [u for u in missing if u not in long]
-            if len(self.place) + len(new) > CACHE:
-                self.clear()
-                new = [u for u in set(units) if u not in long]
-            self.keep(new)
-            for u in long:
-                if (x := self.work_out([u])[0]) is None:
-                    return none
-                long[u] = x
-        get = self.place.get
-        at = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
-        if not at.all():
-            return none
-        sha = hashlib.sha256()
-        if long:
-            for k, u in enumerate(units):
-                sha.update(b";" * (k > 0))
-                sha.update(self.texts[at[k]] if at[k] > 0 else long[u].text)
-        else:
-            sha.update(b";".join(map(self.texts.__getitem__, at.tolist())))
-        which, n = np.unique(at[at > 0], return_counts=True)
-        which = which.tolist()
-        figures = n @ np.array([self.figures[w] for w in which], np.int64).reshape(-1, 4)
-        times = {}
-        for u in units if long else ():
-            if u in long:
-                times[u] = times.get(u, 0) + 1
-        for u, m in times.items():
-            x = long[u]
-            figures = figures + m * np.array([len(x.ids_a), len(x.ids_b), len(x.cuts_a), x.n_links])
-        kept = [self.keys[w] for w in which]
-        size = sum(map(len, kept))
-        plain = summed(np.concatenate(kept), np.concatenate([self.links[w] for w in which]) * np.repeat(n, [len(k) for k in kept])) if size else none[1][0]
-        return (*figures.tolist(), sha.hexdigest()), self._with_long(plain, [(long[u], m) for u, m in times.items()], part)
-
-    def _with_long(self, plain, long, part: int):
-        """The parts (keys, links) of a document, none with a key of another; `long`: units that are not kept, and how often they occur."""
-        if not long:
-            return [plain]
-        cost = sum(x.n_links for x, _ in long)
-        if cost <= part:
-            sets = [plain, *((k, v * m) for x, m in long for k, v in x.pairs(self.width, 1 << 40))]
-            return [summed(np.concatenate([k for k, _ in sets]), np.concatenate([v for _, v in sets]))]
-        return self._by_range(plain, long, part)
-
-    def _by_range(self, plain, long, part: int):
-        edges = np.unique(np.concatenate([np.unique(x.ids_a) for x, _ in long]))
+            held.append(t)
+            size += len(t or "")
+            if size > chars:
+                yield from self._short(held, part)
+                held, size = [], 0
+        yield from self._short(held, part)
+
+    def _units(self, text: str) -> list[str]:
+        return [text] if self.whole else units_of(text)
+
+    def _short(self, texts: list[str | None], part: int):
+        if not texts:
+            return
+        found = self._some([self._units(t) for t in texts if t]) if any(texts) else iter(())
+        for t in texts:
+            x = next(found) if t else None
+            if x is None:
+                yield (0, 0, 0, 0, ""), [NONE]
+            else:
+                figures, text, keys, links, wide = x
+                yield (*figures.tolist(), hashlib.sha256(text[:-1]).hexdigest()), self._parts(keys, links, wide, part)
+
+    def _long(self, text: str, part: int, chars: int):
+        """A text of many units, some of them at a time."""
+        units, sha, figures, (keys, links), wide, some = self._units(text), hashlib.sha256(), np.zeros(4, np.int64), NONE, [], []
+        size, last = 0, len(units) - 1
+        for i, u in enumerate(units):
+            some.append(u)
+            size += len(u) + 1
+            if size > chars or i == last:
+                x = next(self._some([some]))
+                if x is None:
+                    return (0, 0, 0, 0, ""), [NONE]
+                figures = figures + x[0]
+                sha.update(x[1] if i < last else x[1][:-1])
+                keys, links = summed(np.concatenate([keys, x[2]]), np.concatenate([links, x[3]]))
+                wide += x[4]
+                some, size = [], 0
+        return (*figures.tolist(), sha.hexdigest()), self._parts(keys, links, wide, part)
+
+    def _parts(self, keys, links, wide, part: int):
+        """The parts of a document, none with a key of another. wide: units with large groups, and how often they occur."""
+        if not wide:
+            return [(keys[i : i + part], links[i : i + part]) for i in range(0, max(1, len(keys)), part)]
+        return self._by_range(keys, links, wide, part)
+
+    def _by_range(self, keys, links, wide, part: int):
+        edges = np.unique(np.concatenate([*(x.ids_a for x, _ in wide), keys // self.width]))
         # as many A ids at a time as can have `part` keys
         edges = edges[:: max(1, part // self.width)]
-        for lo, hi in zip([0, *edges[1:]], [*edges[1:], 1 << 31], strict=True):
-            i, j = np.searchsorted(plain[0], (lo * self.width, hi * self.width))
-            ks, ns = [plain[0][i:j]], [plain[1][i:j]]
-            for x, m in long:
-                for a0, a1, b0, b1 in zip([0, *x.cuts_a], x.cuts_a, [0, *x.cuts_b], x.cuts_b, strict=False):
-                    a = x.ids_a[a0:a1]
-                    a = a[(a >= lo) & (a < hi)]
-                    if len(a):
-                        ua, na = np.unique(a, return_counts=True)
-                        ub, nb = np.unique(x.ids_b[b0:b1], return_counts=True)
-                        ks.append((ua[:, None] * self.width + ub[None, :]).ravel())
-                        ns.append((na[:, None] * nb[None, :]).ravel() * m)
-                        if sum(map(len, ks)) > 4 * part:
-                            k, n = summed(np.concatenate(ks), np.concatenate(ns))
-                            ks, ns = [k], [n]
+        for lo, hi in zip(edges, [*edges[1:], self.ids], strict=True):
+            i, j = np.searchsorted(keys, (lo * self.width, hi * self.width))
+            ks, ns = [keys[i:j]], [links[i:j]]
+            for x, times in wide:
+                for k, n in x.pairs(self.width, part, lo, hi):
+                    ks.append(k)
+                    ns.append(n * times)
             k, n = summed(np.concatenate(ks), np.concatenate(ns))
             if len(k):
                 yield k, n
 
 
+NONE = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
 _PAIRS: dict[tuple, Pair] = {}
 
 
@@ -255,16 +363,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bound), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
-def aligned(docs: DataFrame, byte_level: str | None = None, pieces: str | None = None, text: str = "text", doc_id: str = "doc_id", unit: int = UNIT, part: int = PART) -> DataFrame:
+def aligned(docs: DataFrame, byte_level: str | None = None, pieces: str | None = None, text: str = "text", doc_id: str = "doc_id", part: int = PART, chars: int = CHARS) -> DataFrame:
     """A row for each document (more for one with more than PART different keys, with equal `row`): its figures, keys and links."""
 
     def run(batches):
         both = tokenizers(byte_level, pieces)
         for b in batches:
             out, keys, links, held = [], [], [], 0
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                figures, parts = both.document(t, unit, part)
-                many = not isinstance(parts, list)
+            for i, (figures, parts) in zip(b.column(0).to_pylist(), both.documents(b.column(1).to_pylist(), part, chars), strict=True):
+                many = not isinstance(parts, list) or len(parts) > 1
                 row = uuid.uuid4().hex if many else None
                 for p, (k, n) in enumerate(parts):
                     out.append((i, *figures, row, p))
@@ -416,17 +523,18 @@ def looked_up(written: DataFrame, shards: list[tuple[str, int, int, int]], best:
     return written.mapInArrow(run, FIGURES + ", row string, part int, n_best long, count_sum long")
 
 
-def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = None, text: str = "text", doc_id: str = "doc_id", unit: int = UNIT, part: int = PART, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = None, text: str = "text", doc_id: str = "doc_id", part: int = PART, chars: int = CHARS, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """The documents (FIGURES, n_best, count_sum), and the corpus-wide counts (a, b, documents). Paths of the tokenizers must be readable by the executors."""
     spark = docs.sparkSession
-    width = tokenizers(byte_level, pieces).width
-    written = stash(aligned(docs, byte_level, pieces, text, doc_id, unit, part))
+    both = tokenizers(byte_level, pieces)
+    width = both.width
+    written = stash(aligned(docs, byte_level, pieces, text, doc_id, part, chars))
     partial = stash(partial_counts(written))
     folder = f"{shared_dir(spark).rstrip('/')}/pairs-{uuid.uuid4().hex}"
     _folder(spark, folder)
     # a row for each shard; the ids and counts in them are a few for each id of A
     rows = stash(count_shards(partial, width, folder, shard)).orderBy("lo").collect()
-    best = np.zeros(len(tokenizers(byte_level, pieces).bytes_a), np.int64)
+    best = np.zeros(both.ids, np.int64)
     for r in rows:
         np.maximum.at(best, r["a"], r["top"])
     one = looked_up(written, [(r["path"], r["lo"], r["hi"], r["size"]) for r in rows], best, width)

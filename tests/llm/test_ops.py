@@ -962,18 +962,22 @@ def test_alignment(odd_docs):
 
 
 def test_alignment_in_small_parts(odd_docs):
-    """Units that are not kept, documents of several rows, and more shards give the same."""
+    """Texts worked out in parts, documents of several rows, and more shards give the same."""
     some = odd_docs.where("doc_id is null or doc_id % 4 = 3 or doc_id > 90")
     _, want = plain_alignment([(r["doc_id"], r["text"]) for r in some.collect()])
-    assert by_row(align.align(some, unit=4, part=60, shard=500)[0].select(ALIGNED).collect()) == by_row(want)
+    assert by_row(align.align(some, part=60, chars=300, shard=500)[0].select(ALIGNED).collect()) == by_row(want)
 
 
-def test_units_forgotten_and_kept(monkeypatch):
-    monkeypatch.setattr(align, "CACHE", 20)
-    pair = align.Pair(*map(__import__("public_tokenizers").path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
-    rows = list(enumerate([*texts(), *ODD] * 2))
+def test_alignment_of_wide_groups(monkeypatch):
+    """Groups whose pairs are not listed, lines of one unit that are not given back, texts in parts."""
+    monkeypatch.setattr(align, "WIDE", 6)
+    monkeypatch.setattr(align, "LINE", 3)
+    pair = align.tokenizers(None, None)
+    g = random.Random(3)
+    atoms = ["a", "the", "ing", "'s", "'", "  ", " ", "\n", " \n", "<|endoftext|>", "<s>", "é", "中文", "가", "ſ", "12", "!", "▁", "\x00", "\x85", "\xa0", "zebra", "😀", "‍", "<0x41>", "_"]
+    rows = list(enumerate([*texts()[::5], *ODD, *("".join(g.choice(atoms) for _ in range(g.randint(0, 40))) for _ in range(500))]))
     for (_, t), w in zip(rows, plain_alignment(rows)[1], strict=True):
-        figures, parts = pair.document(t, 4, 60)
+        figures, parts = next(pair.documents([t], *g.choice([(60, 40), (1 << 20, 1 << 20)])))
         got = [x for k, _ in parts for x in k.tolist()]
         assert (*figures, len(set(got))) == (*w[1:5], w[7], len(got))
 
@@ -986,7 +990,7 @@ def test_alignment_of_a_table(spark):
 def test_pairs_of_a_large_group():
     g = np.random.default_rng(1)
     a, b = g.integers(0, 40, 500), g.integers(0, 30, 700)
-    unit = align.Unit(a, b, np.arange(1, 501) * 7, np.append(np.arange(1, 700) * 5 * 7 + 1, 3500))
+    unit = align.Unit(a, b, np.arange(1, 501) * 7, np.append(np.arange(1, 700) * 5, 3500))
     want = Counter(int(x * 32 + y) for i0, i1, j0, j1 in zip([0, *unit.cuts_a], unit.cuts_a, [0, *unit.cuts_b], unit.cuts_b, strict=False) for x in a[i0:i1] for y in b[j0:j1])
     for most in (50, 1 << 40):
         parts = list(unit.pairs(32, most))
