@@ -161,11 +161,15 @@ add("calendar", [{"t": "OF_MS(timestamp)"}], "CAST(extract(hour FROM t) + 100 *
 add("normalised_close", [{"m": roll("avg", "close", 100, 10), "s": roll("stddev_pop", "close", 100, 10)}], clip("(close - m) / (s + 1e-5)", -5.0, 5.0))
 
 # structural slots
-add("slot_00", [DELTA, {"d": roll("avg", "delta", 50), "v": roll("avg", "volume", 50), "ds": roll("sum", "delta", 50), "vs": roll("sum", "volume", 50)}], clip(f"(d / (v + {EPS}) + ds / (vs + {EPS}) * 4.2) / 2", LO, HI))
+add("slot_00", [DELTA, {"d": roll("avg", "delta", 50, 20), "v": roll("avg", "volume", 50, 20), "ds": roll("sum", "delta", 50, 20), "vs": roll("sum", "volume", 50, 20)}], clip(f"(d / (v + {EPS}) + ds / (vs + {EPS})) / 2", LO, HI))
 _H = " + ".join(f"ln((mx{k} - mn{k}) / (sd{k} + {EPS}) + 1e-12) / {math.log(k)!r}" for k in (5, 10, 20, 50))
 add("slot_04", [*LRE, {f"{n}{k}": roll(a, "lr", k, min(20, k)) for k in (5, 10, 20, 50) for n, a in (("mx", "max"), ("mn", "min"), ("sd", "stddev_samp"))}], f"0.5 - ({_H}) / 4")
-_S7 = [*SR, {"pq": lag("quote_volume"), "cv": f"{roll('avg', 'close * volume', 50)}"}, {"am0": f"abs(sr) / (cv + {EPS})", "dv0": "abs(coalesce(close - pc, 0)) - abs(coalesce(quote_volume - pq, 0))"}, {"am": roll("avg", "am0", 50), "dv": f"greatest({roll('avg', 'dv0', 50)}, -0.45)", "sq": roll("stddev_samp", "quote_volume", 50)}]
-add("slot_07", _S7, clip(f"(am + 0.38 * dv / (sq + {EPS})) / 1.38", LO, HI))
+_S7 = [
+    {**PC, "pq": lag("quote_volume"), "cv": roll("avg", "close * volume", 50, 20)},
+    {"am0": f"abs((close - pc) / (pc + {EPS})) / (cv + {EPS})", "dv0": f"abs(greatest(CASE WHEN pc IS NULL THEN 0e0 ELSE close / pc - 1 END, {EPS} - 1)) - abs(greatest(CASE WHEN pc IS NULL THEN 0e0 ELSE quote_volume / nullif(pq, 0) - 1 END, {EPS} - 1))"},
+    {"am": roll("avg", "am0", 50, 20), "dv": roll("avg", "dv0", 50, 20), "sq": roll("stddev_samp", "quote_volume", 50, 20)},
+]
+add("slot_07", _S7, clip(f"(am + dv / (sq + {EPS})) / 2", LO, HI))
 _S8 = [PC, {"ph": lag("high"), "pl": lag("low")}, {"up": "greatest(high - ph, 0.0)", "dn": "greatest(pl - low, 0.0)"}, {"mu": roll("avg", "up", 14, 7), "md": roll("avg", "dn", 14, 7), "s1": roll("stddev_samp", "volume", 10, 5), "s2": roll("stddev_samp", "volume", 50, 20)}]
 add("slot_08", _S8, clip(f"s1 / (s2 + {EPS}) * (100 * abs(mu - md) / (mu + md + {EPS})) / 50", LO, HI))
 add("slot_09", [DELTA], clip(f"abs({roll('sum', 'delta', 100, 20)}) / ({roll('sum', 'volume', 100, 20)} + {EPS})", 0.0, 1.0))

@@ -11,6 +11,8 @@ from ..functions.kernels import KERNELS, by_symbol
 from ..operators.features import FEATURES, feature, feature_sql, feature_table, latest, look_back
 from ..operators.points import FEATURE_OF
 from ..sources.bars import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars
+from .overrides import QUERIES as _OVERRIDDEN
+from .overrides import SQL as _OVERRIDDEN_SQL
 from .reports import QUERIES as _REPORTS
 from .reports import SQL as _REPORTS_SQL
 from .reports import decisions, places
@@ -74,5 +76,6 @@ QUERIES = {
     "override_values": override_values,
     "kernel_panel": lambda spark, d: by_symbol(_bars(spark, d), list(KERNELS)),
     **_REPORTS,
+    **_OVERRIDDEN,
 }
-SQL = {"override_values": _OVERRIDES, "bars_hourly": EVENT_BARS_SQL, "bars_daily": LINE_BARS_SQL, **{name: _rounded_sql(name) for name in FEATURES}, **_REPORTS_SQL}
+SQL = {"override_values": _OVERRIDES, "bars_hourly": EVENT_BARS_SQL, "bars_daily": LINE_BARS_SQL, **{name: _rounded_sql(name) for name in FEATURES}, **_REPORTS_SQL, **_OVERRIDDEN_SQL}

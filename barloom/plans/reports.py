@@ -80,7 +80,7 @@ _SLOTS = ("00", "04", "07", "08", "09", "10", "11")
 _W = (4.2, 0.38, 4.2, EPS, EPS, 4.2, 0.38)
 _JOIN = f"SELECT b.symbol, b.n AS n, b.ts AS ts, " + ", ".join(f"coalesce(s{k}.v, {LO}) AS s{k}" for k in _SLOTS) + " FROM (SELECT symbol, count(*) AS n, max(timestamp) AS ts FROM {bars} GROUP BY symbol) b " + " ".join(f"JOIN {_last(f'slot_{k}')} s{k} ON b.symbol = s{k}.symbol" for k in _SLOTS)
 _N = {k: f"least(greatest(s{k}, {LO}), {HI})" for k in _SLOTS}
-_GATE = " + ".join(f"{w / sum(_W)!r} * {_N[k]}" for k, w in zip(_SLOTS, _W, strict=True))
+_GATE = " + ".join(f"{w / (sum(_W) + EPS)!r} * {_N[k]}" for k, w in zip(_SLOTS, _W, strict=True))
 _ENT = " - ".join(f"{_N[k]} * ln({_N[k]} + {EPS})" for k in _SLOTS)
 _SIG = f"SELECT *, least(greatest(1 / (1 + exp(-({_GATE} + 0.1 * (0.0 - {_ENT})))), {LO}), {HI}) AS s15 FROM ({_JOIN})"
 _STRENGTH = {"delivered": f"{EPS} + 4.2 * (5 * {EPS} + s10 + s11) + s15", "intended": f"{EPS} + 4.2 * ({' + '.join(f's{k}' for k in _SLOTS)}) + s15"}
@@ -117,8 +117,6 @@ _NORM = f"sqrt(least(greatest((conf - 0.72) / ({HI} - 0.72 + 1e-6), 0.0), 1.0))"
 _SIZES = f"SELECT c.symbol, method, conf, CASE WHEN conf < 0.72 THEN 0.0 WHEN method = 'vol_adjusted' THEN least(greatest(least(0.18 / greatest(CASE WHEN n > 10 THEN s * sqrt({ANN}) ELSE 0.18 END, 0.005), 1.5) * (0.5 + 0.5 * {_NORM}), 0.05), 1.5) WHEN method = 'sqrt_confidence' THEN least(greatest(0.5 + 0.5 * {_NORM}, 0.05), 1.5) WHEN method = 'linear_capped' THEN least(greatest(0.5 + 0.5 * {_NORM} * {_NORM}, 0.05), 1.5) ELSE 1.0 END AS size FROM ({_CONF}) c JOIN (SELECT symbol, stddev_samp(r) AS s, count(*) AS n FROM (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS k FROM ({_SCALED})) WHERE k <= 100 GROUP BY symbol) v ON c.symbol = v.symbol CROSS JOIN (VALUES ('vol_adjusted'), ('sqrt_confidence'), ('linear_capped'), ('fixed')) AS m(method)"
 TEXTS["position_size"] = f"SELECT symbol, method, round(size, 9) AS size FROM ({_SIZES})"
 TEXTS["backtest"] = f"SELECT symbol, round(max(size), 9) AS size, count(*) AS n, round(sum(ln(1 + r * size)), 6) AS log_total, round(avg(r * size) / nullif(stddev_samp(r * size), 0) * sqrt({ANN}), 6) AS sharpe FROM (SELECT r.symbol AS symbol, r.r AS r, z.size AS size FROM ({_SCALED}) r JOIN (SELECT * FROM ({_SIZES}) WHERE method = 'vol_adjusted') z ON r.symbol = z.symbol) GROUP BY symbol"
-_ARMS = f"SELECT 'legacy' AS arm, symbol, least(greatest(({_STRENGTH['delivered']}) / 20, {LO}), {HI}) AS conf FROM ({_SIG}) UNION ALL SELECT 'override' AS arm, symbol, conf FROM ({_CONF})"
-TEXTS["ab_compare"] = f"SELECT arm, symbol, count(*) AS n, round(max(conf), 6) AS confidence, round(avg(r * size) / nullif(stddev_samp(r * size), 0) * sqrt({ANN}), 6) AS sharpe, round(sum(ln(1 + r * size)), 6) AS log_total FROM (SELECT a.arm AS arm, a.symbol AS symbol, a.conf AS conf, r.r AS r, CASE WHEN a.conf < 0.72 THEN 0.0 ELSE 0.5 + 0.5 * {_NORM.replace('conf', 'a.conf')} END AS size FROM ({_ARMS}) a JOIN ({_SCALED}) r ON a.symbol = r.symbol) GROUP BY arm, symbol"
 #: Expanding folds. The queries train on 200 bars, not on the default of 500 (`backtest.walk_forward_splits`), as the tables have few bars a symbol.
 TRAIN, TEST, STEP = 200, 200, 200
 _FOLDS = f"SELECT symbol, f AS fold, CAST(0 AS BIGINT) AS train_start, CAST({STEP} * f + {TRAIN} AS BIGINT) AS train_end, CAST({STEP} * f + {TRAIN} AS BIGINT) AS test_start, CAST({STEP} * f + {TRAIN + TEST} AS BIGINT) AS test_end FROM (SELECT symbol, UNNEST_SEQ(0, CAST(floor((n - {TRAIN + TEST}) / {STEP}) AS INT))) AS f FROM (SELECT symbol, count(*) AS n FROM ({_SCALED}) GROUP BY symbol) WHERE n >= {TRAIN + TEST})"
@@ -214,12 +212,12 @@ TEXTS["impact_size"] = f"SELECT symbol, round(least(greatest(2000 / (vol * (1 +
 
 def signatures(bars):
     """The slots, the gate and the length of every symbol's last bar, in one pass: the slots' layers share scan, sort and windows, which run
-    over the bars that the slots look back on only."""
+    over the bars that the slots look back on only. Bars can have the symbol's length (__n) already."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     names = [f"slot_{k}" for k in _SLOTS]
-    sized = bars.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
+    sized = bars if "__n" in bars.columns else bars.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
     wide = feature_table(latest(sized, 1 + max(look_back(n) for n in names)), names)
     last = wide.groupBy("symbol").agg(F.max("__n").alias("n"), F.max("timestamp").alias("ts"), F.max_by(F.struct(*names), "timestamp").alias("v"))
     slots = last.select("symbol", "n", "ts", *[F.coalesce(F.col(f"v.slot_{k}"), F.lit(LO)).alias(f"s{k}") for k in _SLOTS])

@@ -72,7 +72,7 @@ def rolled(d):
         "quantile_veto": (lr.abs() < lr.abs().shift().rolling(100, 100).quantile(0.65)).astype(float).where(lr.abs().shift().rolling(100, 100).quantile(0.65).notna(), 1.0),
         "corwin_schultz": corwin_schultz(d),
         "wick_exhaustion": (((h - l) - (c - o).abs()) / (h - l + 1e-12)).clip(0, 1).map(lambda x: sum(math.comb(6, j) * x**j * (1 - x) ** (6 - j) for j in range(2, 7))).where(np.arange(len(c)) >= 9, 0.5),
-        "slot_00": ((delta.rolling(50, 1).mean() / (v.rolling(50, 1).mean() + 0.55) + delta.rolling(50, 1).sum() / (v.rolling(50, 1).sum() + 0.55) * 4.2) / 2).clip(0.58, 0.91),
+        "slot_00": ((delta.rolling(50, 20).mean() / (v.rolling(50, 20).mean() + 0.55) + delta.rolling(50, 20).sum() / (v.rolling(50, 20).sum() + 0.55)) / 2).clip(0.58, 0.91),
         "slot_09": (delta.rolling(100, 20).sum().abs() / (v.rolling(100, 20).sum() + 0.55)).clip(0, 1),
         "density_window": pd.Series([shortest(v, i) for i in range(len(v))]),
     }
