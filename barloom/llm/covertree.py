@@ -1,13 +1,14 @@
 """op2: exact cosine near-duplicates by a dual traversal of cover trees.
 
-Equal vectors (same direction, bit for bit after scaling) become one point with a count. Unit vectors at cosine
+Vectors that are equal but for a power of two become one point with a count. Unit vectors at cosine
 c are sqrt(2 - 2c) apart, so links are pairs within a radius. The top of the cover tree is a set of nested
 nets with halving radii over a bounded sample (SAMPLE points, at most CELLS centres at the last level); every
 point goes to the cell of its nearest centre, and a cell knows its covering radius. Pairs of cells further
 apart than their radii and the threshold are pruned on the way down. What is left is dealt out as pairs of
 blocks of at most about BLOCK points (a large cell is several blocks), and each task builds the lower levels for its
 two blocks, traverses them together with the same bound and compares leaves in double precision (where single precision
-does not show that all their pairs are below the threshold by more than its error).
+does not show that all their pairs are below the threshold by more than its error). A pair whose unit vectors come within TIE of the threshold is decided by its own
+vectors, not by those that division by the norms has rounded: dot product over the root of the product of their squares, so that a cosine of exactly 0.9 links.
 
 A task returns, by point, how many rows it links to (counts, not pairs), and only the edges of a spanning forest.
 Components come from those edges by distributed star rounds.
@@ -31,10 +32,12 @@ from .common import components, stash, table
 COSINE, SAMPLE, CELLS, BLOCK, LEAF = 0.9, 4096, 256, 4096, 64
 #: Slack of the bounds for rounding; the comparison itself has none.
 SLACK = 1e-7
+#: Cosines of rounded unit vectors this near the threshold are computed again from the vectors.
+TIE = 1e-12
 
 
-def unit(rows: pa.Array) -> list:
-    """Per row the unit vector in double precision, or None if it is unusable."""
+def scaled(rows: pa.Array) -> list:
+    """Per row the vector in double precision, its largest part brought into [0.5, 1) by a power of two (which rounds nothing), or None if it is unusable."""
     out = []
     for v in rows:
         x = v.as_py()
@@ -46,15 +49,24 @@ def unit(rows: pa.Array) -> list:
         if not np.isfinite(a).all() or top == 0:
             out.append(None)
             continue
-        a = a / top
-        out.append(a / math.sqrt(float(a @ a)))
+        up = -int(np.frexp(top)[1])
+        out.append(np.ldexp(np.ldexp(a, up // 2), up - up // 2))
     return out
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / math.sqrt(float(v @ v))
+
+
+def together(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two vectors link: one root of the product of their squares, so that what is exactly at the threshold stays there."""
+    return float(a @ b) / math.sqrt(float(a @ a) * float(b @ b)) >= COSINE
+
+
 def unit_rows(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     def scale(batches):
         for b in batches:
-            u = unit(b.column(1))
+            u = scaled(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else x.tobytes() for x in u], pa.binary())], names=["vec_id", "u"])
 
     return df.where(F.col(vec_id).isNotNull()).select(vec_id, embedding).mapInArrow(scale, "vec_id long, u binary")
@@ -123,8 +135,8 @@ class Forest:
         return i != j
 
 
-def dual(a: Node, b: Node, x: np.ndarray, w: np.ndarray, links: np.ndarray, forest: Forest, edges: list, reach: float) -> None:
-    """Links between the points of two nodes; each pair once. Same node: pairs within it."""
+def dual(a: Node, b: Node, x: np.ndarray, v: np.ndarray, w: np.ndarray, links: np.ndarray, forest: Forest, edges: list, reach: float) -> None:
+    """Links between the points of two nodes; each pair once. Same node: pairs within it. x: the unit vectors of v."""
     todo, below = [(a, b)], COSINE - x.shape[1] * 2.0**-22 - SLACK  # more than single precision can be off for unit vectors
     while todo:
         a, b = todo.pop()
@@ -133,7 +145,10 @@ def dual(a: Node, b: Node, x: np.ndarray, w: np.ndarray, links: np.ndarray, fore
         if not a.kids and not b.kids or len(a.at) * len(b.at) <= LEAF * LEAF * 4:
             if a is not b and (a.single(x) @ b.single(x).T).max() < below:
                 continue
-            hit = x[a.at] @ x[b.at].T >= COSINE
+            cosine = x[a.at] @ x[b.at].T
+            hit = cosine >= COSINE
+            for p, q in zip(*np.nonzero(np.abs(cosine - COSINE) <= TIE), strict=True):
+                hit[p, q] = together(v[a.at[p]], v[b.at[q]])
             if a is b:
                 hit &= ~np.eye(len(a.at), dtype=bool)
             if not hit.any():
@@ -181,7 +196,7 @@ def _deal(points: DataFrame, reach: float):
     tops = {}
     for r in sizes:
         sample = points.where(F.length("u") == r["k"]).select("u").orderBy(F.xxhash64("u"), "u").limit(SAMPLE).collect()
-        x = np.stack([np.frombuffer(s["u"], np.float64) for s in sample])
+        x = np.stack([unit(np.frombuffer(s["u"], np.float64)) for s in sample])
         tops[r["k"]] = x[nets(x, min(CELLS, -(-r["count"] // BLOCK)))[-1]]
     top = spark.sparkContext.broadcast(tops)
 
@@ -189,7 +204,7 @@ def _deal(points: DataFrame, reach: float):
         for b in batches:
             out, dist, lens = [], [], []
             for u in b.column(1):
-                v = np.frombuffer(u.as_py(), np.float64)
+                v = unit(np.frombuffer(u.as_py(), np.float64))
                 c = top.value[len(v) * 8]
                 d = np.sqrt(np.maximum(2 - 2 * (c @ v), 0))
                 k = int(np.argmin(d))
@@ -227,15 +242,16 @@ def _compare(reach: float):
         same = lo == hi
         pdf = pdf.sort_values(["left", "id"], ascending=[False, True])
         ids, w = pdf["id"].to_numpy(), pdf["w"].to_numpy()
-        x = np.stack([np.frombuffer(u, np.float64) for u in pdf["u"]])
+        v = np.stack([np.frombuffer(u, np.float64) for u in pdf["u"]])
+        x = v / np.sqrt((v * v).sum(axis=1))[:, None]
         left = np.flatnonzero(pdf["left"].to_numpy())
         right = np.flatnonzero(~pdf["left"].to_numpy())
         links, forest, edges = np.zeros(len(ids), np.int64), Forest(len(ids)), []
         if same:
             n = Node(x, left)
-            dual(n, n, x, w, links, forest, edges, reach)
+            dual(n, n, x, v, w, links, forest, edges, reach)
         elif len(left) and len(right):
-            dual(Node(x, left), Node(x, right), x, w, links, forest, edges, reach)
+            dual(Node(x, left), Node(x, right), x, v, w, links, forest, edges, reach)
         some = np.flatnonzero(links)
         a = [*ids[some], *(ids[p] for p, _ in edges)]
         b = [*[None] * len(some), *(ids[q] for _, q in edges)]

@@ -479,6 +479,24 @@ def test_cover_tree(spark, monkeypatch):
         assert [got[i]["component_id"] for i in range(len(x))] == [find(up, i) for i in range(len(x))]
 
 
+def test_cover_tree_ties(spark):
+    """Pairs at a cosine of exactly 0.9, in whole numbers: they link, also when scaled; those a little below do not."""
+    whole = [v for v in np.ndindex(10, 5, 4, 3) if any(v) and math.gcd(*v) == 1]
+    whole = list(dict.fromkeys(whole))
+    x = np.array(whole, np.int64)
+    dot, n = x @ x.T, (x * x).sum(1)
+    link = (dot > 0) & (100 * dot * dot >= 81 * np.outer(n, n)) & ~np.eye(len(x), dtype=bool)
+    tied = (100 * dot * dot == 81 * np.outer(n, n)).sum()
+    assert tied > 40
+    rows = [(i, [float(a) * (1.0, 3.0, 1e-160, 1e140)[i % 4 if i % 8 > 3 else 0] for a in v]) for i, v in enumerate(whole)]
+    exact = [i for i in range(len(rows)) if i % 8 <= 3]  # those of whole numbers; the others' products round
+    got = {r["vec_id"]: r["n_links"] for r in covertree.near_duplicates(spark.createDataFrame([rows[i] for i in exact], "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in exact] == link[np.ix_(exact, exact)].sum(1).tolist()
+    both = {r["vec_id"]: r["n_links"] for r in covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    loose = (dot > 0) & (100 * dot * dot != 81 * np.outer(n, n)) & link
+    assert all(loose[i].sum() <= both[i] <= link[i].sum() for i in range(len(rows)))
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.op7_language_mixture(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
