@@ -4,7 +4,8 @@ Seeds are the window minima (of WINDOW neighbouring K-word shingles the one with
 so texts that share WINDOW + K - 1 words share a seed. Every seed of a document is linked to the
 first document (smallest doc_id) that holds it, not to all others: a passage in m documents makes m - 1
 links. Exact passages of more than LEAST words whose seeds belong to other documents are found by
-fingerprints of LEAST words. The links of a pair of documents are chained: in the order of one document's words, each link follows the best of
+fingerprints of LEAST words. Stretches of repeated seeds that no passage explains are linked anew: every shingle of them to its first document among such
+stretches and to the document before, so that a passage is found also where others hold its seeds in pieces. The links of a pair of documents are chained: in the order of one document's words, each link follows the best of
 the links before it in both, where a gap costs GAP for each of its words in either document (so the best is a prefix maximum, which a Fenwick tree
 over the other document's words keeps); the best chains are taken until none covers LEAST_SEED words. Links that no others lie near (MOST_GAP words)
 are chained apart, so that a stray link hides nothing; chains in a row with gaps of at most BRIDGE words are then joined. Chains are aligned on the
@@ -30,7 +31,7 @@ from . import textkit as tk
 from .common import stash, table
 from .jaccard import _batch, grouped
 
-K, WINDOW, GAP, LEAST_SEED, LEAST, IDENTITY, REACH, MOST_GAP, BRIDGE, PORTION = 6, 12, 0.04, 12, 50, 0.8, 96, 40, 150, 256
+K, WINDOW, GAP, LEAST_SEED, LEAST_FURTHER, LEAST, IDENTITY, REACH, MOST_GAP, BRIDGE, PORTION = 6, 12, 0.04, 12, 8, 50, 0.8, 96, 40, 150, 256
 #: What a differing word takes from an end's score (a matching one adds 1), and how far below its best an end is followed.
 MISS, DROP = 1.5, 9.0
 
@@ -107,13 +108,13 @@ def linked(rows: DataFrame) -> DataFrame:
     return both.select("doc_id", "source_id", "x", F.element_at("there", F.least(F.col("nth") + 1, F.size("there"))).alias("y"))
 
 
-def _stretches(batches):
-    """lo, hi: the stretches of a document in which all seeds are repeated, with the words around that can belong to them."""
+def _stretches(batches, gap: int = WINDOW):
+    """lo, hi: the stretches of a document in which repeated seeds are at most `gap` words apart, with the words around that can belong to them."""
     for b in batches:
         at, ids, lo, hi = b.column(1), [], [], []
         for i, places in zip(b.column(0).to_pylist(), at, strict=True):
             p = np.unique(places.values.to_numpy())
-            cut = np.append(np.flatnonzero(np.diff(p, prepend=-2 * WINDOW) > WINDOW), len(p))
+            cut = np.append(np.flatnonzero(np.diff(p, prepend=-2 * gap) > gap), len(p))
             a, e = p[cut[:-1]] - WINDOW + 1, p[cut[1:] - 1] + K + WINDOW - 1
             ok = e - a > LEAST
             ids.append(i)
@@ -122,8 +123,8 @@ def _stretches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lo, pa.list_(pa.int32())), pa.array(hi, pa.list_(pa.int32()))], names=["doc_id", "lo", "hi"])
 
 
-def _long_keys(batches):
-    """f, doc_id, x: fingerprints of all LEAST words in the stretches."""
+def _long_keys(batches, width: int = LEAST):
+    """f, doc_id, x: fingerprints of all `width` words in the stretches."""
     roll = tk.Roller()
     for c in tk.chunks(batches):
         w, _, _, bound = word_prints(c, roll)
@@ -137,9 +138,9 @@ def _long_keys(batches):
         if not parts:
             continue
         size = np.array([len(p) for p in parts])
-        sh, b = tk.shingles(np.concatenate(parts), np.concatenate([[0], np.cumsum(size)]), LEAST)
+        sh, b = tk.shingles(np.concatenate(parts), np.concatenate([[0], np.cumsum(size)]), width)
         part = np.repeat(np.arange(len(parts)), np.diff(b))
-        at = np.flatnonzero(size[part] >= LEAST)
+        at = np.flatnonzero(size[part] >= width)
         part = part[at]
         x = at - b[part] + np.array(first)[part]
         yield _batch(f=sh[at].view(np.int64), doc_id=c.ids()[np.array(owner)[part]].astype(np.int64), x=x.astype(np.int64))
@@ -185,6 +186,67 @@ def exact_passages(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "g", "x").mapInArrow(_diagonals, PASSAGES)
 
 
+def _with_previous(batches):
+    """doc_id, source_id, x, y: rows (f, doc_id, x, source_id, y), in order, to their key's first document and to the last one before their own."""
+    last, before = None, None  # the row before, and the last row of the document before its own, if it has the same key
+    for b in batches:
+        if not b.num_rows:
+            continue
+        f, doc, x, source, y = (b.column(i).to_numpy() for i in range(5))
+        n = len(f)
+        same_f, same_doc = np.zeros(n, bool), np.zeros(n, bool)
+        same_f[1:] = f[1:] == f[:-1]
+        same_doc[1:] = same_f[1:] & (doc[1:] == doc[:-1])
+        if last is not None:
+            same_f[0] = f[0] == last[0]
+            same_doc[0] = same_f[0] and doc[0] == last[1]
+        start = np.maximum.accumulate(np.where(same_doc, -1, np.arange(n)))  # of a document's rows of one key; -1: they began before
+        own = start > 0
+        prev_doc, prev_x = np.full(n, -1), np.zeros(n, np.int64)
+        has = np.zeros(n, bool)
+        i = start[own]
+        has[own], prev_doc[own], prev_x[own] = same_f[i], doc[i - 1], x[i - 1]
+        for mask, row in ((start == 0, last if same_f[0] else None), (start == -1, before)):
+            if row is not None:
+                has[mask], prev_doc[mask], prev_x[mask] = True, row[1], row[2]
+        before = (f[-1], prev_doc[-1], prev_x[-1]) if has[-1] else None
+        last = f[-1], doc[-1], x[-1]
+        first, more = doc != source, has & (prev_doc != source)
+        cols = [np.concatenate(v) for v in ((doc[first], doc[more]), (source[first], prev_doc[more]), (x[first], x[more]), (y[first], prev_x[more]))]
+        yield _batch(doc_id=cols[0], source_id=cols[1], x=cols[2], y=cols[3])
+
+
+def further_links(docs: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, source_id, x, y of the stretches whose repeated seeds no passage of their document explains.
+
+    Where earlier documents hold a passage's seeds in pieces, too short for a passage each, no seed leads to the document with the whole passage. In such stretches (repeated seeds at
+    most MOST_GAP words apart, LEAST words or more) every shingle is a key, and leads both to its first document there and to the one before: pieces do not hold the
+    shingles across their ends. Documents are in order over all partitions; where one begins within a key, its first row leads to the first document only.
+    """
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("spans"))
+    places = stash(rows.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at")).join(spans.hint("merge"), "doc_id", "left").mapInArrow(_unexplained, "doc_id long, at array<int>"))
+    ranges = stash(places.mapInArrow(lambda b: _stretches(b, MOST_GAP), "doc_id long, lo array<int>, hi array<int>").where("size(lo) > 0"))
+    keys = stash(docs.join(ranges.hint("merge"), "doc_id").select("doc_id", "text", "lo", "hi").mapInArrow(lambda b: _long_keys(b, K), "f long, doc_id long, x long"))
+    heads = stash(keys.groupBy("f").agg(F.min(F.struct("doc_id", "x")).alias("s"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("f", F.col("s.doc_id").alias("source_id"), F.col("s.x").alias("y")))
+    both = stash(keys.join(heads.hint("merge"), "f").select("f", "doc_id", "x", "source_id", "y"))
+    return both.repartitionByRange("f", "doc_id").sortWithinPartitions("f", "doc_id", "x").mapInArrow(_with_previous, "doc_id long, source_id long, x long, y long")
+
+
+def _unexplained(batches):
+    """doc_id, at: the places outside the spans (doc_id, at, spans)."""
+    for b in batches:
+        ids, out = [], []
+        for i, at, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            p = np.unique(np.array(at, np.int64))
+            if spans:
+                for r in spans:
+                    p = p[(p < r["start"]) | (p + K > r["end"])]
+            if len(p):
+                ids.append(i)
+                out.append(p.tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "at"])
+
+
 class Best:
     """Fenwick tree of prefix maxima: the largest value, and whose it is, at places up to one."""
 
@@ -208,8 +270,8 @@ class Best:
         return value, owner
 
 
-def chain(x: list[int], y: list[int]) -> list[list[int]]:
-    """The best chains of links, best first, without common links; each covers LEAST_SEED words or more.
+def chain(x: list[int], y: list[int], cover: int = LEAST_SEED) -> list[list[int]]:
+    """The best chains of links, best first, without common links; each covers `cover` words or more.
 
     A link scores K, less GAP for each word of both documents between it and its predecessor. After a chain is taken, the links outside
     its words are chained again, in parts that lie more than MOST_GAP + K words apart.
@@ -223,7 +285,7 @@ def chain(x: list[int], y: list[int]) -> list[list[int]]:
         if len(cut) > 2:
             parts += [part[a:b] for a, b in zip(cut, cut[1:], strict=False)]
             continue
-        if not part or x[part[-1]] - x[part[0]] + K < LEAST_SEED:
+        if not part or x[part[-1]] - x[part[0]] + K < cover:
             continue
         rank = {v: r for r, v in enumerate(sorted({y[i] for i in part}))}
         tree, held = Best(len(rank)), []
@@ -239,7 +301,7 @@ def chain(x: list[int], y: list[int]) -> list[list[int]]:
             back.append(p if v > 0 else -1)
             start.append(start[p] if v > 0 else x[i])
             held.append(k)
-            if x[i] - start[k] + K >= LEAST_SEED and (best < 0 or score[k] > score[best]):
+            if x[i] - start[k] + K >= cover and (best < 0 or score[k] > score[best]):
                 best = k
         if best < 0:
             continue
@@ -264,7 +326,7 @@ def bridged(chains: list, x, y) -> list[list[int]]:
     return out
 
 
-def _chains(batches):
+def _chains(batches, cover: int = LEAST_SEED):
     """Chains of every pair of documents (rows sorted by pair)."""
     for (doc, source, x, y), _ in grouped(batches):
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]), [True]])
@@ -272,12 +334,12 @@ def _chains(batches):
         out, seeds_x, seeds_y = [], [], []
         for a, b in zip(cut, cut[1:], strict=False):
             xs, ys = x[a:b], y[a:b]
-            if xs.max() - xs.min() + K < LEAST_SEED:
+            if xs.max() - xs.min() + K < cover:
                 continue
             if (np.diff(xs) > 0).all() and (np.diff(xs) == np.diff(ys)).all() and (b - a < 2 or np.diff(xs).max() <= MOST_GAP + K):
                 got = [range(b - a)]  # one diagonal
             else:
-                got = bridged(chain(xs.tolist(), ys.tolist()), xs, ys)
+                got = bridged(chain(xs.tolist(), ys.tolist(), cover), xs, ys)
             for g in got:
                 gx, gy = xs[list(g)], ys[list(g)]
                 out.append((doc[a], source[a], gx[0], gx[-1] + K, gy[0], gy[-1] + K))
@@ -409,8 +471,23 @@ def passages(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: st
 def passages_of(docs: DataFrame, least: int = LEAST) -> DataFrame:
     docs = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
     rows = repeated(docs)
-    pairs = linked(rows).repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "x", "y")
-    chains = stash(pairs.mapInArrow(_chains, "doc_id long, source_id long, x0 long, x1 long, y0 long, y1 long, xs array<int>, ys array<int>").where(F.col("x1") - F.col("x0") >= LEAST_SEED).withColumn("id", F.xxhash64("doc_id", "source_id", "x0", "y0")))
+    found = stash(aligned(docs, linked(rows), least))
+    # exact passages that lie in no passage found by chains, then what neither explains
+    found = stash(found.unionByName(outside(exact_passages(docs, rows).where(F.col("length") >= least), found)))
+    return found.unionByName(outside(aligned(docs, further_links(docs, rows, found), least, LEAST_FURTHER), found))
+
+
+def outside(more: DataFrame, found: DataFrame) -> DataFrame:
+    """The passages that lie in no passage of `found` of the same document."""
+    own = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("spans"))
+    inside = F.exists(F.coalesce("spans", F.array()), lambda p: (p["start"] <= F.col("start")) & (p["end"] >= F.col("start") + F.col("length")))
+    return stash(more).join(own.hint("merge"), "doc_id", "left").where(~inside).drop("spans")
+
+
+def aligned(docs: DataFrame, pairs: DataFrame, least: int = LEAST, cover: int = LEAST_SEED) -> DataFrame:
+    """The passages of chained and aligned links."""
+    pairs = pairs.repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "x", "y")
+    chains = stash(pairs.mapInArrow(lambda b: _chains(b, cover), "doc_id long, source_id long, x0 long, x1 long, y0 long, y1 long, xs array<int>, ys array<int>").where(F.col("x1") - F.col("x0") >= cover).withColumn("id", F.xxhash64("doc_id", "source_id", "x0", "y0")))
     asked = chains.select("doc_id", F.struct("id", F.lit(0).alias("side"), F.col("x0").alias("lo"), F.col("x1").alias("hi")).alias("e")).union(chains.select("source_id", F.struct("id", F.lit(1).alias("side"), F.col("y0").alias("lo"), F.col("y1").alias("hi"))))
     # a document that is the source of many is asked in portions of about PORTION ends
     portions = stash(asked.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / PORTION).alias("portions")))
@@ -420,12 +497,7 @@ def passages_of(docs: DataFrame, least: int = LEAST) -> DataFrame:
     a = ends.where("side = 0").select("id", F.col("before").alias("b0"), F.col("after").alias("a0"), F.col("inside").alias("i0"))
     b = ends.where("side = 1").select("id", F.col("before").alias("b1"), F.col("after").alias("a1"), F.col("inside").alias("i1"))
     full = chains.join(a, "id").join(b, "id").select("doc_id", "source_id", "x0", "x1", "y0", "y1", "xs", "ys", "b0", "a0", "i0", "b1", "a1", "i1")
-    found = stash(full.mapInArrow(lambda batches: _extend(batches, least), PASSAGES))
-    # exact passages that lie in no passage found by chains
-    more = stash(exact_passages(docs, rows).where(F.col("length") >= least))
-    own = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("spans"))
-    inside = F.exists(F.coalesce("spans", F.array()), lambda p: (p["start"] <= F.col("start")) & (p["end"] >= F.col("start") + F.col("length")))
-    return found.unionByName(more.join(own.hint("merge"), "doc_id", "left").where(~inside).drop("spans"))
+    return full.mapInArrow(lambda batches: _extend(batches, least), PASSAGES)
 
 
 def cut_passages(docs: DataFrame, spans: DataFrame, text: str = "text", doc_id: str = "doc_id", drop_empty: bool = False) -> DataFrame:

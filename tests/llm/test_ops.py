@@ -423,6 +423,54 @@ def test_recall_of_fuzzy_passages(spark):
     assert all(found[k] >= 0.9 and covered[k] >= 0.8 for k in by), (found, covered)
 
 
+@pytest.mark.parametrize("change", [0.03, 0.05, 0.1])
+def test_passages_beside_a_holder_of_pieces(spark, change):
+    """A passage of two documents is found though an earlier one, and one between them, hold its words in pieces that are short and in another order; and its words are covered as without them."""
+    g = random.Random(12)
+    word = lambda: "".join(g.choice("abcdefghijklmnop") for _ in range(g.randint(3, 8)))
+    covered = {}
+    for others in (False, True):
+        g.seed(12)
+        rows, where = [], {}
+        for k in range(12):
+            passage = [word() for _ in range(160)]
+            changed = [word() if g.random() < change else w for w in passage]
+            pieces = lambda n: [w for p in range(160 - n, -1, -n) for w in passage[p : p + n]]
+            first, between = pieces(32), pieces(20)
+            noise = lambda: [word() for _ in range(80)]
+            texts = {4 * k: first if others else noise(), 4 * k + 1: noise() + passage + noise(), 4 * k + 2: between if others else noise(), 4 * k + 3: noise() + changed + noise()}
+            where[4 * k + 3] = 4 * k + 1
+            rows += [(i, " ".join(t)) for i, t in texts.items()]
+        got = {}
+        for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+            if where.get(r["doc_id"]) == r["source_id"]:
+                got.setdefault(r["doc_id"], set()).update(range(max(r["start"], 80), min(r["start"] + r["length"], 240)))
+        assert len(got) == 12
+        covered[others] = np.mean([len(v) / 160 for v in got.values()])
+    assert covered[True] > 0.9 and covered[True] > covered[False] - 0.03, covered
+
+
+def test_links_to_the_document_before():
+    """Runs of equal keys and documents, cut into batches anywhere, against a plain loop."""
+    g = np.random.default_rng(9)
+    rows = sorted({(int(f), int(d), int(x)) for f, d, x in zip(g.integers(0, 6, 200), g.integers(0, 9, 200), g.integers(0, 5, 200), strict=True)})
+    heads = {}
+    for f, d, x in rows:
+        heads.setdefault(f, (d, x))
+    want = []
+    for f, d, x in rows:
+        before = [r for r in rows if r[0] == f and r[1] < d]
+        if d != heads[f][0]:
+            want.append((d, heads[f][0], x, heads[f][1]))
+            if before[-1][1] != heads[f][0]:
+                want.append((d, before[-1][1], x, before[-1][2]))
+    for size in (1, 2, 7, 300):
+        cut = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [chaining._batch(f=np.array([r[0] for r in c]), doc_id=np.array([r[1] for r in c]), x=np.array([r[2] for r in c]), source_id=np.array([heads[r[0]][0] for r in c]), y=np.array([heads[r[0]][1] for r in c])) for c in cut]
+        got = [tuple(r.values()) for b in chaining._with_previous(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want)
+
+
 def test_pack(docs):
     from tokenizers import Tokenizer
 
