@@ -172,14 +172,27 @@ def _diagonals(batches):
         yield _batch(doc_id=doc[a], source_id=source[a], start=x[a], length=n, source_start=x[a] - g[a], source_length=n, matched=n)
 
 
-def exact_passages(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def places_of(rows: DataFrame) -> DataFrame:
+    """doc_id, at: the places of a document's repeated seeds, in order. `rows` is of `repeated`."""
+
+    def ordered(batches):
+        for b in batches:
+            at = b.column(1)
+            lists = [np.unique(x.values.to_numpy()) for x in at]
+            bound = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bound), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32), pa.int32()))], names=["doc_id", "at"])
+
+    return rows.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at")).mapInArrow(ordered, "doc_id long, at array<int>")
+
+
+def exact_passages(docs: DataFrame, places: DataFrame) -> DataFrame:
     """Exact passages of more than LEAST words by their own words, whoever holds their seeds.
 
     The seeds of a passage may all have been in other documents before, in pieces, so that no link leads to the document with
     the whole passage. All are repeated, though: so the stretches of repeated seeds give a key for LEAST words each, and a key's
-    first document has all of these words. `rows` is of `repeated`.
+    first document has all of these words. `places` is of `places_of`.
     """
-    spans = stash(rows.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at")).mapInArrow(_stretches, "doc_id long, lo array<int>, hi array<int>").where("size(lo) > 0"))
+    spans = stash(places.mapInArrow(_stretches, "doc_id long, lo array<int>, hi array<int>").where("size(lo) > 0"))
     keys = stash(docs.join(spans.hint("merge"), "doc_id").select("doc_id", "text", "lo", "hi").mapInArrow(_long_keys, "f long, doc_id long, x long"))
     heads = stash(keys.groupBy("f").agg(F.min(F.struct("doc_id", "x")).alias("s"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("f", F.col("s.doc_id").alias("source_id"), F.col("s.x").alias("y")))
     both = keys.join(heads.hint("merge"), "f").where("doc_id <> source_id").select("doc_id", "source_id", (F.col("x") - F.col("y")).alias("g"), "x")
@@ -216,7 +229,7 @@ def _with_previous(batches):
         yield _batch(doc_id=cols[0], source_id=cols[1], x=cols[2], y=cols[3])
 
 
-def further_links(docs: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
+def further_links(docs: DataFrame, places: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, source_id, x, y of the stretches whose repeated seeds no passage of their document explains.
 
     Where earlier documents hold a passage's seeds in pieces, too short for a passage each, no seed leads to the document with the whole passage. In such stretches (repeated seeds at
@@ -224,8 +237,8 @@ def further_links(docs: DataFrame, rows: DataFrame, found: DataFrame) -> DataFra
     shingles across their ends. Documents are in order over all partitions; where one begins within a key, its first row leads to the first document only.
     """
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("spans"))
-    places = stash(rows.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at")).join(spans.hint("merge"), "doc_id", "left").mapInArrow(_unexplained, "doc_id long, at array<int>"))
-    ranges = stash(places.mapInArrow(lambda b: _stretches(b, MOST_GAP), "doc_id long, lo array<int>, hi array<int>").where("size(lo) > 0"))
+    left = places.join(spans.hint("merge"), "doc_id", "left").mapInArrow(_unexplained, "doc_id long, at array<int>")
+    ranges = stash(left.mapInArrow(lambda b: _stretches(b, MOST_GAP), "doc_id long, lo array<int>, hi array<int>").where("size(lo) > 0"))
     keys = stash(docs.join(ranges.hint("merge"), "doc_id").select("doc_id", "text", "lo", "hi").mapInArrow(lambda b: _long_keys(b, K), "f long, doc_id long, x long"))
     heads = stash(keys.groupBy("f").agg(F.min(F.struct("doc_id", "x")).alias("s"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("f", F.col("s.doc_id").alias("source_id"), F.col("s.x").alias("y")))
     both = stash(keys.join(heads.hint("merge"), "f").select("f", "doc_id", "x", "source_id", "y"))
@@ -237,10 +250,9 @@ def _unexplained(batches):
     for b in batches:
         ids, out = [], []
         for i, at, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            p = np.unique(np.array(at, np.int64))
-            if spans:
-                for r in spans:
-                    p = p[(p < r["start"]) | (p + K > r["end"])]
+            p = np.array(at, np.int64)
+            for r in spans or ():
+                p = p[(p < r["start"]) | (p + K > r["end"])]
             if len(p):
                 ids.append(i)
                 out.append(p.tolist())
@@ -471,10 +483,11 @@ def passages(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: st
 def passages_of(docs: DataFrame, least: int = LEAST) -> DataFrame:
     docs = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
     rows = repeated(docs)
+    places = stash(places_of(rows))
     found = stash(aligned(docs, linked(rows), least))
     # exact passages that lie in no passage found by chains, then what neither explains
-    found = stash(found.unionByName(outside(exact_passages(docs, rows).where(F.col("length") >= least), found)))
-    return found.unionByName(outside(aligned(docs, further_links(docs, rows, found), least, LEAST_FURTHER), found))
+    found = stash(found.unionByName(outside(exact_passages(docs, places).where(F.col("length") >= least), found)))
+    return found.unionByName(outside(aligned(docs, further_links(docs, places, found), least, LEAST_FURTHER), found))
 
 
 def outside(more: DataFrame, found: DataFrame) -> DataFrame:
