@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import KERNELS, by_symbol
+from ..operators.carried import RUNNING, carried
 from ..operators.features import FEATURES, feature, feature_sql, feature_table, latest, look_back
 from ..operators.points import FEATURE_OF
 from ..sources.bars import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars
@@ -16,6 +17,8 @@ from .overrides import SQL as _OVERRIDDEN_SQL
 from .reports import QUERIES as _REPORTS
 from .reports import SQL as _REPORTS_SQL
 from .reports import decisions, places
+from .validation import QUERIES as _VALIDATION
+from .validation import SQL as _VALIDATION_SQL
 
 WHOLE = ("latency_outlier", "gap_run", "calendar", "quantile_veto", "barrier_label", "volume_share_rank", "volume_quartile")
 #: Digits where six would round halves.
@@ -35,6 +38,14 @@ def _rounded_sql(name: str) -> str:
     return f"SELECT symbol, timestamp, {v} AS value FROM ({feature_sql(EVENT_BARS_SQL, name)})"
 
 
+#: Bars of a run in the queries of carried states.
+RUN = 100
+
+
+def _carried(name: str):
+    return lambda spark, d: carried(_bars(spark, d), name, RUN).selectExpr("symbol", "timestamp", f"round(double(value), {DIGITS.get(name, 6)}) AS value")
+
+
 def _bars(spark, d: str):
     return event_bars(spark.read.parquet(f"{d}/events.parquet"))
 
@@ -77,5 +88,7 @@ QUERIES = {
     "kernel_panel": lambda spark, d: by_symbol(_bars(spark, d), list(KERNELS)),
     **_REPORTS,
     **_OVERRIDDEN,
+    **_VALIDATION,
+    **{f"{name}_carried": _carried(name) for name in RUNNING},
 }
-SQL = {"override_values": _OVERRIDES, "bars_hourly": EVENT_BARS_SQL, "bars_daily": LINE_BARS_SQL, **{name: _rounded_sql(name) for name in FEATURES}, **_REPORTS_SQL, **_OVERRIDDEN_SQL}
+SQL = {"override_values": _OVERRIDES, "bars_hourly": EVENT_BARS_SQL, "bars_daily": LINE_BARS_SQL, **{name: _rounded_sql(name) for name in FEATURES}, **_REPORTS_SQL, **_OVERRIDDEN_SQL, **_VALIDATION_SQL, **{f"{name}_carried": _rounded_sql(name) for name in RUNNING}}

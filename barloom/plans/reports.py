@@ -5,8 +5,6 @@ Each text runs on Spark (`{bars}` is the hourly event bars, `{days}` the daily s
 
 from __future__ import annotations
 
-import itertools
-
 from ..functions.dialect import duck, frame, normal_cdf, roll, spark
 from ..operators.features import EPS, FEATURES, HI, LO, feature_table, feature_text, latest, look_back, nested
 from ..operators.points import REGISTRY
@@ -134,7 +132,6 @@ _AUTO = f"SELECT symbol, n, m, v, d - m AS e, lag(d - m, 1) OVER (PARTITION BY s
 _DM = f"SELECT symbol, n, m, m / sqrt(CASE WHEN s > 0 THEN s ELSE 1e-12 END) AS dm FROM (SELECT symbol, max(n) AS n, max(m) AS m, (max(v) + 2 * (1 - 1 / 3e0) * avg(e * e1) + 2 * (1 - 2 / 3e0) * avg(e * e2)) / max(n) AS s FROM ({_AUTO}) GROUP BY symbol)"
 TEXTS["dm_test"] = f"SELECT symbol, n, round(m, 9) AS mean_loss_diff, round(dm, 6) AS dm, round(2 * (1 - {normal_cdf('abs(dm)')}), 6) AS p_value FROM ({_DM})"
 TEXTS["purge_mask"] = f"SELECT symbol, i, CASE WHEN i >= 300 - 10 - 5 AND i <= 350 + 5 THEN 1 ELSE 0 END AS purged FROM ({_SCALED})"
-TEXTS["cpcv_paths"] = "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{','.join(map(str, t))}', '{','.join(str(x) for x in range(6) if x not in t)}')" for k, t in enumerate(itertools.combinations(range(6), 2))) + ") AS p(path, test_blocks, train_blocks)"
 TEXTS["dsr"] = f"SELECT symbol, round(sr - sqrt(2 * ln(100.0)) * sqrt(greatest(1 - sk * sr + (ku - 1) * sr * sr / 4, 0.0) / n), 6) AS dsr FROM (SELECT symbol, count(*) AS n, avg(r) / stddev_samp(r) AS sr, (avg(r * r * r) - 3 * avg(r) * avg(r * r) + 2 * power(avg(r), 3)) / power(stddev_samp(r), 3) AS sk, (avg(r * r * r * r) - 4 * avg(r) * avg(r * r * r) + 6 * power(avg(r), 2) * avg(r * r) - 3 * power(avg(r), 4)) / power(stddev_samp(r), 4) AS ku FROM ({_SCALED}) GROUP BY symbol)"
 TEXTS["var_es"] = f"SELECT s.symbol, round(max(greatest(-q, 0.0)), 6) AS var, round(-avg(CASE WHEN s.r <= q + 1e-12 THEN s.r END), 6) AS es FROM ({_SCALED}) s JOIN (SELECT symbol, PCT(r, 0.05) AS q FROM ({_SCALED}) GROUP BY symbol) v ON s.symbol = v.symbol GROUP BY s.symbol"
 TEXTS["hill"] = f"SELECT symbol, count(*) AS k, round(avg(ln(x / m)), 6) AS xi FROM (SELECT *, min(x) OVER (PARTITION BY symbol) AS m FROM (SELECT symbol, -r AS x, row_number() OVER (PARTITION BY symbol ORDER BY r, timestamp) AS k FROM ({_SCALED}) WHERE r < 0) WHERE k <= 20) GROUP BY symbol"
