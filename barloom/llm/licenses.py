@@ -5,7 +5,7 @@ runs of other characters than letters and digits to one space), and normalised s
 identifiers. A sentence that a line end cuts (no sentence end before it, and words in the next line) is also tried with the
 lines that follow it, so hard-wrapped texts are found; blank lines end sentences. A known sentence that ends in a star may be followed by more words.
 A document's identifiers in order are then matched against ordered rules: a rule holds where its
-identifiers follow each other with no other known sentence between.
+identifiers follow each other with no other known sentence between, and are not part of a match of a longer rule of another licence.
 
 Result: a row per document and licence found: doc_id, license_id, n_matches, first_sentence, last_sentence (places of the
 first and last sentence of its matches, from 0). Null and empty texts have no sentences and no rows; rows without a doc_id take no part. Copies of one row
@@ -94,6 +94,53 @@ SENTENCES = {
     "id_boost": "bsl 1 0",
     "id_unlicense": "unlicense",
     "id_cc0": "cc0 1 0",
+    "id_gpl3_short": "gpl 3 0",
+    "id_gpl2_short": "gpl 2 0",
+    "id_gpl2_note": "gpl 2 0 with linux syscall note",
+    "id_gpl2_only_note": "gpl 2 0 only with linux syscall note",
+    "id_gpl2_later_note": "gpl 2 0 or later with linux syscall note",
+    "id_lgpl3_only": "lgpl 3 0 only",
+    "id_lgpl3_short": "lgpl 3 0",
+    "id_lgpl21_later": "lgpl 2 1 or later",
+    "id_lgpl21_only": "lgpl 2 1 only",
+    "id_lgpl21_short": "lgpl 2 1",
+    "id_lgpl20_later": "lgpl 2 0 or later",
+    "id_lgpl20_only": "lgpl 2 0 only",
+    "id_agpl3_only": "agpl 3 0 only",
+    "id_agpl3_short": "agpl 3 0",
+    "id_artistic2": "artistic 2 0",
+    "id_artistic1": "artistic 1 0 perl",
+    "id_zlib": "zlib",
+    "id_0bsd": "0bsd",
+    "id_wtfpl": "wtfpl",
+    "id_ccby": "cc by 4 0",
+    "id_ccbysa": "cc by sa 4 0",
+    "id_ccbync": "cc by nc 4 0",
+    "id_ms_pl": "ms pl",
+    "id_postgresql": "postgresql",
+    "id_ofl": "ofl 1 1",
+    "id_eupl": "eupl 1 2",
+    "id_mit_or_apache": "mit or apache 2 0",
+    "id_apache_or_mit": "apache 2 0 or mit",
+    "id_apache_llvm": "apache 2 0 with llvm exception",
+    "id_gpl2_or_mit": "gpl 2 0 or mit",
+    "id_gpl2_only_or_mit": "gpl 2 0 only or mit",
+    "id_gpl2_or_bsd3": "gpl 2 0 or bsd 3 clause",
+    "id_gpl2_or_bsd2": "gpl 2 0 or bsd 2 clause",
+    "artistic2_title": "the artistic license 2 0 *",
+    "artistic2_title2": "artistic license 2 0 *",
+    "perl_terms": "you can redistribute it and or modify it under the same terms as perl itself *",
+    "artistic2_terms": "you can redistribute it and or modify it under the terms of the artistic license 2 0 *",
+    "wtfpl_title": "do what the fuck you want to public license *",
+    "ofl_ref": "this font software is licensed under the sil open font license version 1 1 *",
+    "ofl_title": "sil open font license version 1 1 *",
+    "bsd0_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "eupl_ref": "licensed under the eupl version 1 2 *",
+    "postgresql_grant": "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted *",
+    "ms_pl_title": "microsoft public license ms pl *",
+    "cddl_title": "common development and distribution license cddl version 1 0 *",
+    "psf_title": "python software foundation license version 2 *",
+    "beer": "as long as you retain this notice you can do whatever you want with this stuff *",
 }
 
 #: Rules, each a licence and its sentences in order.
@@ -107,11 +154,21 @@ RULES = [
     ("AGPL-3.0", ["agpl3_title"]), ("AGPL-3.0", ["agpl3_terms"]), ("AGPL-3.0", ["spdx", "id_agpl3"]),
     ("CC-BY-NC-4.0", ["ccbync_ref"]), ("CC-BY-4.0", ["ccby_ref"]), ("CC-BY-SA-4.0", ["ccbysa_ref"]), ("CC-BY-4.0", ["ccby_long"]), ("CC-BY-NC-4.0", ["ccbync_long"]), ("CC-BY-SA-4.0", ["ccbysa_long"]),
     ("CC0-1.0", ["cc0_title"]), ("CC0-1.0", ["cc0_waive"]), ("CC0-1.0", ["spdx", "id_cc0"]),
-    ("BSD-2-Clause", ["bsd_redist", "bsd_source", "bsd_binary"]), ("BSD-3-Clause", ["bsd_source", "bsd_binary", "bsd_names"]), ("BSD-2-Clause", ["spdx", "id_bsd2"]), ("BSD-3-Clause", ["spdx", "id_bsd3"]),
+    ("BSD-2-Clause", ["bsd_redist", "bsd_source", "bsd_binary"]), ("BSD-3-Clause", ["bsd_source", "bsd_binary", "bsd_names"]), ("BSD-3-Clause", ["bsd_redist", "bsd_source", "bsd_binary", "bsd_names"]), ("BSD-2-Clause", ["spdx", "id_bsd2"]), ("BSD-3-Clause", ["spdx", "id_bsd3"]),
     ("MPL-2.0", ["mpl_ref"]), ("MPL-2.0", ["mpl_title"]), ("MPL-2.0", ["spdx", "id_mpl"]),
     ("EPL-2.0", ["epl_ref"]), ("EPL-2.0", ["epl_ref2"]), ("EPL-2.0", ["epl_title"]), ("EPL-2.0", ["spdx", "id_epl"]),
-    ("Unlicense", ["unlicense"]), ("Unlicense", ["spdx", "id_unlicense"]), ("BSL-1.0", ["boost_title"]), ("BSL-1.0", ["boost_ref"]), ("BSL-1.0", ["spdx", "id_boost"]), ("Zlib", ["zlib_warranty", "zlib_grant"]),
+    ("Unlicense", ["unlicense"]), ("Unlicense", ["spdx", "id_unlicense"]), ("BSL-1.0", ["boost_title"]), ("BSL-1.0", ["boost_ref"]), ("BSL-1.0", ["spdx", "id_boost"]), ("Zlib", ["zlib_warranty", "zlib_grant"]), ("Zlib", ["spdx", "id_zlib"]),
+    ("GPL-3.0", ["spdx", "id_gpl3_short"]), ("GPL-2.0", ["spdx", "id_gpl2_short"]), ("GPL-2.0", ["spdx", "id_gpl2_note"]), ("GPL-2.0", ["spdx", "id_gpl2_only_note"]), ("GPL-2.0", ["spdx", "id_gpl2_later_note"]),
+    ("LGPL-3.0", ["spdx", "id_lgpl3_only"]), ("LGPL-3.0", ["spdx", "id_lgpl3_short"]), ("LGPL-2.1", ["spdx", "id_lgpl21_later"]), ("LGPL-2.1", ["spdx", "id_lgpl21_only"]), ("LGPL-2.1", ["spdx", "id_lgpl21_short"]), ("LGPL-2.0", ["spdx", "id_lgpl20_later"]), ("LGPL-2.0", ["spdx", "id_lgpl20_only"]),
+    ("AGPL-3.0", ["spdx", "id_agpl3_only"]), ("AGPL-3.0", ["spdx", "id_agpl3_short"]), ("Artistic-2.0", ["spdx", "id_artistic2"]), ("Artistic-1.0-Perl", ["spdx", "id_artistic1"]), ("0BSD", ["spdx", "id_0bsd"]), ("WTFPL", ["spdx", "id_wtfpl"]),
+    ("CC-BY-4.0", ["spdx", "id_ccby"]), ("CC-BY-SA-4.0", ["spdx", "id_ccbysa"]), ("CC-BY-NC-4.0", ["spdx", "id_ccbync"]), ("MS-PL", ["spdx", "id_ms_pl"]), ("PostgreSQL", ["spdx", "id_postgresql"]), ("OFL-1.1", ["spdx", "id_ofl"]), ("EUPL-1.2", ["spdx", "id_eupl"]),
+    ("MIT", ["spdx", "id_mit_or_apache"]), ("Apache-2.0", ["spdx", "id_mit_or_apache"]), ("MIT", ["spdx", "id_apache_or_mit"]), ("Apache-2.0", ["spdx", "id_apache_or_mit"]), ("Apache-2.0", ["spdx", "id_apache_llvm"]),
+    ("GPL-2.0", ["spdx", "id_gpl2_or_mit"]), ("MIT", ["spdx", "id_gpl2_or_mit"]), ("GPL-2.0", ["spdx", "id_gpl2_only_or_mit"]), ("MIT", ["spdx", "id_gpl2_only_or_mit"]), ("GPL-2.0", ["spdx", "id_gpl2_or_bsd3"]), ("BSD-3-Clause", ["spdx", "id_gpl2_or_bsd3"]), ("GPL-2.0", ["spdx", "id_gpl2_or_bsd2"]), ("BSD-2-Clause", ["spdx", "id_gpl2_or_bsd2"]),
+    ("Artistic-2.0", ["artistic2_title"]), ("Artistic-2.0", ["artistic2_title2"]), ("Artistic-1.0-Perl", ["perl_terms"]), ("Artistic-2.0", ["artistic2_terms"]), ("WTFPL", ["wtfpl_title"]), ("OFL-1.1", ["ofl_ref"]), ("OFL-1.1", ["ofl_title"]), ("0BSD", ["bsd0_grant", "isc_as_is"]),
+    ("EUPL-1.2", ["eupl_ref"]), ("PostgreSQL", ["postgresql_grant"]), ("MS-PL", ["ms_pl_title"]), ("CDDL-1.0", ["cddl_title"]), ("PSF-2.0", ["psf_title"]), ("Beerware", ["beer"]),
 ]
+#: Of each rule, the longer rules of other licences that hold its sentences, and at which place: where one of these matches, the shorter does not count.
+WITHIN = [[(b, o) for lb, b in RULES if lb != la and len(b) > len(a) for o in range(len(b) - len(a) + 1) if b[o : o + len(a)] == a] for la, a in RULES]
 
 
 def _hint(sentence: str) -> str:
@@ -135,19 +192,41 @@ def _body(sentence: str) -> str:
     return f"^[ {MARK}]*{words}" + (f"(?:[ {MARK}]|$)" if sentence.endswith("*") else f"(?: *{MARK}| *$)")
 
 
-def known(col):
-    """The identifier of a normalised sentence, or null."""
-    out = F.lit(None).cast("string")
-    for k, s in reversed(SENTENCES.items()):
-        out = F.when(F.concat(col, F.lit(" ")).startswith(s[:-1].rstrip() + " ") if s.endswith("*") else col == s, k).otherwise(out)
+_NAMES = list(SENTENCES)
+
+
+def _by_length(starred: bool) -> dict[int, dict[str, int]]:
+    """Places of the sentences that end in a star, or not, by their number of words."""
+    out: dict[int, dict[str, int]] = {}
+    for i, s in enumerate(SENTENCES.values()):
+        if s.endswith("*") == starred:
+            words = s.removesuffix("*").split()
+            out.setdefault(len(words), {}).setdefault(" ".join(words), i)
     return out
 
 
+def _place(table: dict[str, int], sentence):
+    """The place of a sentence in a small constant map, or null."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), sentence)
+
+
+def _first(places: list):
+    """The identifier at the smallest place that is not null."""
+    return F.try_element_at(F.array(*[F.lit(n) for n in _NAMES]), F.array_min(F.array(*places)) + 1)
+
+
+def known(col):
+    """The identifier of a normalised sentence, or null: lookups of the whole, and of as many first words as known beginnings have."""
+    whole = {s: i for table in _by_length(False).values() for s, i in table.items()}
+    return _first([_place(whole, col), *[_place(table, F.substring_index(col, " ", n)) for n, table in _by_length(True).items()]])
+
+
 def known_wrapped(col):
-    out = F.lit(None).cast("string")
-    for k, s in reversed(SENTENCES.items()):
-        out = F.when(col.rlike(_body(s)), k).otherwise(out)
-    return out
+    """The same of a sentence whose lines are joined by marks, at each of which it may end."""
+    words = F.trim(F.regexp_replace(col, f"[ {MARK}]+", " "))
+    begins = [_place(table, F.substring_index(words, " ", n)) for n, table in _by_length(True).items()]
+    ends = [F.when(col.rlike(f"^[ {MARK}]*(?:[a-z0-9]+[ {MARK}]+){{{n - 1}}}[a-z0-9]+(?: *{MARK}| *$)"), _place(table, F.substring_index(words, " ", n))) for n, table in _by_length(False).items()]
+    return _first(begins + ends)
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -163,9 +242,13 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     goes_on = F.col("t").contains(CUT + MARK)
     named = lines.select("doc_id", "v", "n", F.coalesce(known(one), F.when(goes_on, known_wrapped(joined))).alias("k")).where("k is not null").distinct()
     seq = named.groupBy("doc_id", "v").agg(F.sort_array(F.collect_list(F.struct("n", "k"))).alias("a"))
-    rules = F.array(*[F.struct(F.lit(r).alias("license_id"), F.array(*[F.lit(x) for x in ids]).alias("ids")) for r, ids in RULES])
-    ends = seq.select("doc_id", "v", "a", F.explode(rules).alias("r")).select("doc_id", "v", "a", "r.license_id", "r.ids", F.size("r.ids").alias("m"))
-    at = F.filter(F.sequence(F.lit(1), F.size("a") - F.col("m") + 1), lambda i: F.transform(F.slice("a", i, F.col("m")), lambda x: x["k"]) == F.col("ids"))
+    texts = lambda ids: F.array(*[F.lit(x) for x in ids])
+    longer = lambda w: F.array(*[F.struct(texts(b).alias("ids"), F.lit(o).alias("o")) for b, o in w]) if w else F.array().cast("array<struct<ids:array<string>,o:int>>")
+    rules = F.array(*[F.struct(F.lit(r).alias("license_id"), texts(ids).alias("ids"), longer(w).alias("longer")) for (r, ids), w in zip(RULES, WITHIN, strict=True)])
+    ends = seq.select("doc_id", "v", "a", F.transform("a", lambda x: x["k"]).alias("ks"), F.explode(rules).alias("r")).select("doc_id", "v", "a", "ks", "r.license_id", "r.ids", "r.longer", F.size("r.ids").alias("m"))
+    # from place i on the rule's sentences, and no longer rule's around them
+    inside = lambda i: F.exists("longer", lambda w: (i > w["o"]) & (F.slice("ks", F.greatest(i - w["o"], F.lit(1)), F.size(w["ids"])) == w["ids"]))
+    at = F.filter(F.sequence(F.lit(1), F.size("a") - F.col("m") + 1), lambda i: (F.slice("ks", i, F.col("m")) == F.col("ids")) & ~inside(i))
     hits = ends.where("size(a) >= m").select("doc_id", "v", "license_id", "a", "m", F.explode(at).alias("i"))
     return (
         hits.select("doc_id", "v", "license_id", F.element_at("a", F.col("i"))["n"].alias("f"), F.element_at("a", F.col("i") + F.col("m") - 1)["n"].alias("l"))
@@ -183,7 +266,8 @@ def _sql() -> str:
     """The same in SQL without look-around: lines are marked in two passes, as a line of one character is the end of one match and the start of the next."""
     case = " ".join(f"WHEN {f"starts_with(s || ' ', '{s[:-1].rstrip()} ')" if s.endswith('*') else f"s = '{s}'"} THEN '{k}'" for k, s in SENTENCES.items())
     wrapped = " ".join(f"WHEN regexp_matches(j, '{_body(s)}') THEN '{k}'" for k, s in SENTENCES.items())
-    rules = " UNION ALL ".join(f"SELECT '{r}' AS license_id, {ids!r} AS ids" for r, ids in RULES)
+    longer = lambda w: "[" + ", ".join(f"{{'ids': {b!r}, 'o': {o}}}" for b, o in w) + "]::STRUCT(ids VARCHAR[], o INT)[]"
+    rules = " UNION ALL ".join(f"SELECT '{r}' AS license_id, {ids!r} AS ids, {longer(w)} AS longer" for (r, ids), w in zip(RULES, WITHIN, strict=True))
     mark = f"'(^|[^.;:!?\\r\\n])(\\r\\n|\\n|\\r)([^a-z0-9\\n\\r{MARK}]*[a-z0-9])', '\\1\\2{MARK}\\3', 'g'"
     return f"""
     WITH low AS (SELECT DISTINCT doc_id, text, translate(text, '{_UPPER + MARK + CUT}', '{_LOWER},,') AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
@@ -195,7 +279,8 @@ def _sql() -> str:
     named AS (SELECT doc_id, text, n, coalesce(CASE {case} END, CASE WHEN more THEN CASE {wrapped} END END) AS k FROM norm),
     seq AS (SELECT doc_id, text, list(k ORDER BY n) AS ks, list(n ORDER BY n) AS ns FROM named WHERE k IS NOT NULL GROUP BY doc_id, text),
     rules AS ({rules}),
-    hits AS (SELECT doc_id, text, license_id, ns[i] AS f, ns[i + len(ids) - 1] AS l FROM seq, rules, unnest(range(1, len(ks) - len(ids) + 2)) AS u(i) WHERE ks[i : i + len(ids) - 1] = ids)
+    hits AS (SELECT doc_id, text, license_id, ns[i] AS f, ns[i + len(ids) - 1] AS l FROM seq, rules, unnest(range(1, len(ks) - len(ids) + 2)) AS u(i) WHERE ks[i : i + len(ids) - 1] = ids
+     AND len(list_filter(longer, lambda w: i > w.o AND ks[i - w.o : i - w.o + len(w.ids) - 1] = w.ids)) = 0)
     SELECT doc_id, license_id, count(*) AS n_matches, min(f)::BIGINT AS first_sentence, max(l)::BIGINT AS last_sentence FROM hits GROUP BY doc_id, text, license_id
     """
 
