@@ -4,7 +4,7 @@ Seeds are the window minima (of WINDOW neighbouring K-word shingles the one with
 so texts that share WINDOW + K - 1 words share a seed. Every seed of a document is linked to the
 first document (smallest doc_id) that holds it, not to all others: a passage in m documents makes m - 1
 links. Exact passages of more than LEAST words whose seeds belong to other documents are found by
-fingerprints of LEAST words. Stretches of repeated seeds that no passage explains are linked anew: every shingle of them to its first document among such
+fingerprints of LEAST words. Stretches of seeds that others hold first and that no passage explains are linked anew: every shingle of them to its first document among such
 stretches and to the document before, so that a passage is found also where others hold its seeds in pieces. The links of a pair of documents are chained: in the order of one document's words, each link follows the best of
 the links before it in both, where a gap costs GAP for each of its words in either document (so the best is a prefix maximum, which a Fenwick tree
 over the other document's words keeps); the best chains are taken until none covers LEAST_SEED words. Links that no others lie near (MOST_GAP words)
@@ -173,16 +173,20 @@ def _diagonals(batches):
 
 
 def places_of(rows: DataFrame) -> DataFrame:
-    """doc_id, at: the places of a document's repeated seeds, in order. `rows` is of `repeated`."""
+    """doc_id, at, other: the places of a document's repeated seeds, and of those among them whose first document is another, in order. `rows` is of `repeated`."""
+
+    def lists(parts):
+        bound = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bound), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
 
     def ordered(batches):
         for b in batches:
-            at = b.column(1)
-            lists = [np.unique(x.values.to_numpy()) for x in at]
-            bound = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bound), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32), pa.int32()))], names=["doc_id", "at"])
+            both = [x.values.to_numpy() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), lists([np.unique(np.where(x < 0, ~x, x)) for x in both]), lists([np.unique(x[x >= 0]) for x in both])], names=["doc_id", "at", "other"])
 
-    return rows.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at")).mapInArrow(ordered, "doc_id long, at array<int>")
+    # places of a document's own first seeds are negative on the way
+    marked = F.when(F.col("doc_id") == F.col("source_id"), F.transform("at", lambda x: -x - 1)).otherwise(F.col("at"))
+    return rows.groupBy("doc_id").agg(F.flatten(F.collect_list(marked)).alias("at")).mapInArrow(ordered, "doc_id long, at array<int>, other array<int>")
 
 
 def exact_passages(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -192,7 +196,7 @@ def exact_passages(docs: DataFrame, places: DataFrame) -> DataFrame:
     the whole passage. All are repeated, though: so the stretches of repeated seeds give a key for LEAST words each, and a key's
     first document has all of these words. `places` is of `places_of`.
     """
-    spans = stash(places.mapInArrow(_stretches, "doc_id long, lo array<int>, hi array<int>").where("size(lo) > 0"))
+    spans = stash(places.select("doc_id", "at").mapInArrow(_stretches, "doc_id long, lo array<int>, hi array<int>").where("size(lo) > 0"))
     keys = stash(docs.join(spans.hint("merge"), "doc_id").select("doc_id", "text", "lo", "hi").mapInArrow(_long_keys, "f long, doc_id long, x long"))
     heads = stash(keys.groupBy("f").agg(F.min(F.struct("doc_id", "x")).alias("s"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("f", F.col("s.doc_id").alias("source_id"), F.col("s.x").alias("y")))
     both = keys.join(heads.hint("merge"), "f").where("doc_id <> source_id").select("doc_id", "source_id", (F.col("x") - F.col("y")).alias("g"), "x")
@@ -232,12 +236,12 @@ def _with_previous(batches):
 def further_links(docs: DataFrame, places: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, source_id, x, y of the stretches whose repeated seeds no passage of their document explains.
 
-    Where earlier documents hold a passage's seeds in pieces, too short for a passage each, no seed leads to the document with the whole passage. In such stretches (repeated seeds at
-    most MOST_GAP words apart, LEAST words or more) every shingle is a key, and leads both to its first document there and to the one before: pieces do not hold the
+    Where earlier documents hold a passage's seeds in pieces, too short for a passage each, no seed leads to the document with the whole passage. In such stretches (seeds that
+    others hold first, at most MOST_GAP words apart, LEAST words or more) every shingle is a key, and leads both to its first document there and to the one before: pieces do not hold the
     shingles across their ends. Documents are in order over all partitions; where one begins within a key, its first row leads to the first document only.
     """
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("spans"))
-    left = places.join(spans.hint("merge"), "doc_id", "left").mapInArrow(_unexplained, "doc_id long, at array<int>")
+    left = places.where("size(other) > 0").select("doc_id", "other").join(spans.hint("merge"), "doc_id", "left").mapInArrow(_unexplained, "doc_id long, at array<int>")
     ranges = stash(left.mapInArrow(lambda b: _stretches(b, MOST_GAP), "doc_id long, lo array<int>, hi array<int>").where("size(lo) > 0"))
     keys = stash(docs.join(ranges.hint("merge"), "doc_id").select("doc_id", "text", "lo", "hi").mapInArrow(lambda b: _long_keys(b, K), "f long, doc_id long, x long"))
     heads = stash(keys.groupBy("f").agg(F.min(F.struct("doc_id", "x")).alias("s"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("f", F.col("s.doc_id").alias("source_id"), F.col("s.x").alias("y")))
