@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import KERNELS, by_symbol
 from ..operators.carried import RUNNING, carried
+from ..operators.clock import CLOCK_SQL, clock_bars
 from ..operators.features import FEATURES, feature, feature_sql, feature_table, latest, look_back
 from ..operators.points import FEATURE_OF
 from ..sources.bars import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars
+from .backtest import phyla
 from .overrides import QUERIES as _OVERRIDDEN
 from .overrides import SQL as _OVERRIDDEN_SQL
 from .reports import QUERIES as _REPORTS
@@ -80,7 +82,23 @@ _LAST = " UNION ALL ".join(f"SELECT symbol, {p} AS point_id, CAST(last(value ORD
 _OVERRIDES = f"WITH bars AS ({EVENT_BARS_SQL}), found AS ({_LAST}) SELECT d.symbol AS symbol, d.point_id AS point_id, decision, round(CASE WHEN decision = 'override' AND value IS NOT NULL THEN value ELSE 0.5 END, 5) AS value FROM ({places(decisions(), 'duck')}) d JOIN found USING (symbol, point_id)"
 
 
+def signature_phyla(spark, d: str):
+    """symbol, phylum: density clusters of the signatures' slots."""
+    found = _REPORTS["signature"](spark, d)
+    return phyla(found, [c for c in found.columns if c.startswith("slot_")]).select("symbol", "phylum")
+
+
+def customer_phyla(spark, d: str):
+    """symbol, phylum: density clusters of all customers by the mean and spread of their orders' prices and by how many they have."""
+    price = F.log(F.col("o_totalprice").cast("double"))
+    orders = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("symbol"))
+    return phyla(orders.agg(F.avg(price).alias("mean"), F.stddev_pop(price).alias("spread"), F.log(F.count(F.lit(1)).cast("double")).alias("many")), ["mean", "spread", "many"]).select("symbol", "phylum")
+
+
 QUERIES = {
+    "volume_clock_bars": lambda spark, d: clock_bars(spark.read.parquet(f"{d}/events.parquet")),
+    "signature_phyla": signature_phyla,
+    "customer_phyla": customer_phyla,
     "bars_hourly": lambda spark, d: event_bars(spark.read.parquet(f"{d}/events.parquet")),
     "bars_daily": lambda spark, d: line_bars(spark.read.parquet(f"{d}/lineitem.parquet")),
     **{name: _rounded(name) for name in FEATURES},
@@ -91,4 +109,4 @@ QUERIES = {
     **_VALIDATION,
     **{f"{name}_carried": _carried(name) for name in RUNNING},
 }
-SQL = {"override_values": _OVERRIDES, "bars_hourly": EVENT_BARS_SQL, "bars_daily": LINE_BARS_SQL, **{name: _rounded_sql(name) for name in FEATURES}, **_REPORTS_SQL, **_OVERRIDDEN_SQL, **_VALIDATION_SQL, **{f"{name}_carried": _rounded_sql(name) for name in RUNNING}}
+SQL = {"volume_clock_bars": CLOCK_SQL, "override_values": _OVERRIDES, "bars_hourly": EVENT_BARS_SQL, "bars_daily": LINE_BARS_SQL, **{name: _rounded_sql(name) for name in FEATURES}, **_REPORTS_SQL, **_OVERRIDDEN_SQL, **_VALIDATION_SQL, **{f"{name}_carried": _rounded_sql(name) for name in RUNNING}}

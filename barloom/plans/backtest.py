@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..operators.density import density_clusters
 
 
 def walk_forward_splits(n_bars: int, train: int = 500, test: int = 200, step: int = 200, expanding: bool = True) -> list[tuple[int, int, int, int]]:
@@ -63,19 +64,9 @@ def evaluate(returns: DataFrame, blocks: int = 6, tests: int = 2, horizon: int =
     return returns.where("r is not null").groupBy("symbol").applyInPandas(run, "symbol string, path int, n_train int, n_test int, train_sharpe double, test_sharpe double, deflated double, passed boolean")
 
 
-#: Signatures that are clustered at once on the driver, a row a symbol.
-MOST_SIGNATURES = 5000
-
-
 def phyla(signatures: DataFrame, columns: list[str], least: int = 4) -> DataFrame:
-    """`signatures` with phylum: the density cluster of its columns, or noise. There is a row a symbol; more than MOST_SIGNATURES are refused."""
-    spark = signatures.sparkSession
-    rows = signatures.select("symbol", *columns).orderBy("symbol").limit(MOST_SIGNATURES + 1).toPandas()
-    if len(rows) > MOST_SIGNATURES:
-        raise ValueError(f"more than {MOST_SIGNATURES} signatures")
-    label = kernels.density_clusters(rows[columns].to_numpy(float), least) if len(rows) else []
-    names = spark.createDataFrame([(s, f"phylum_{k}" if k >= 0 else "noise") for s, k in zip(rows["symbol"], label, strict=True)], "symbol string, phylum string")
-    return signatures.join(F.broadcast(names), "symbol", "left")
+    """`signatures` (a row a symbol) with phylum: the density cluster of its columns, or noise."""
+    return density_clusters(signatures, "symbol", columns, least)
 
 
 def regime_flag(reversals: int, trends: int, volatility: float, calm: float = 0.01) -> str:
