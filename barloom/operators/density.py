@@ -361,6 +361,7 @@ def density_clusters(rows: DataFrame, key: str, columns: list[str], least: int =
 
     least: the vectors of the smallest cluster. samples: the neighbour whose distance is a vector's core. size: points of a block. band: edges of a task.
     An empty table gives an empty one."""
+    rows = cut(rows)
     usual = [F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(columns)]
     x = [f"__x{k}" for k in range(len(columns))]
     valued = rows.select(F.col(key).alias("__key"), *usual).where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('inf')" for c in x))
