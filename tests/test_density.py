@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from barloom.operators.density import Blocks, density_clusters, spanning_tree
+from barloom.operators.density import Blocks, _cells, density_clusters, spanning_tree
 
 
 def plain_clusters(x, least, samples):
@@ -108,3 +108,27 @@ def test_tree_length(spark):
         inside[k] = True
         near = np.minimum(near, d[k])
     assert len(edges) == len(x) - 1 and edges["w"].sum() == pytest.approx(total)
+
+
+def test_cells_of_repeated_values():
+    x = np.zeros((1000, 2))
+    x[600:, 0], x[:, 1] = np.arange(1, 401), np.linspace(0, 1, 1000)
+    assert len(_cells(x, 16)) == 15
+
+
+def test_tree_of_planes(spark):
+    """Few values in one column, as of counts: components that are far from each other, and points far out; joined in rounds of few edges a task."""
+    g = np.random.default_rng(3)
+    x = np.column_stack([np.log(g.poisson(3, 2500) + 1.0), g.normal(0, 0.3, 2500), g.normal(0, 0.3, 2500)])
+    x[:20] = g.uniform(-4, 4, (20, 3))
+    points = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, x array<double>, w long")
+    edges = spanning_tree(Blocks(points, 64), 1, 40).toPandas()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    inside, near, total = np.zeros(len(x), bool), d[0].copy(), []
+    inside[0] = True
+    for _ in range(len(x) - 1):
+        k = int(np.argmin(np.where(inside, np.inf, near)))
+        total.append(near[k])
+        inside[k] = True
+        near = np.minimum(near, d[k])
+    assert np.allclose(np.sort(edges["w"]), np.sort(total), rtol=1e-12, atol=0)
